@@ -4,12 +4,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.cooccurrence import associations, baskets
+from tickloom.llm.mixing import measured, mix, shares
 from tickloom.llm.neighbours import nearest_neighbours
+from tickloom.llm.packing import pack
 from tickloom.llm.splitting import bisection, split_sequences
+from tickloom.llm.tokens import counted
+from tickloom.llm.truncation import truncated, truncation_rates
+from tickloom.plans.storage import materialise
 from tickloom.sources.tables import table
 
 CONTEXT, OVERLAP = 254, 24
 NEIGHBOURS, SIMILAR = 10, 0.9
+CAPACITY = 2_048
 
 
 def _packages(spark: SparkSession, root: str) -> DataFrame:
@@ -55,6 +61,50 @@ def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return near.select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.round("x.cosine", 6).alias("cosine"))
 
 
+def _packed(spark: SparkSession, root: str) -> DataFrame:
+    sizes = table(spark, root, "documents").select("doc_id", "text").mapInArrow(counted(), "doc_id long, n_tokens long")
+    return pack(materialise(sizes, "sizes"), "doc_id", "n_tokens", CAPACITY).withColumnRenamed("item", "doc_id")
+
+
+def p7_packed(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's place in a context of 2,048 tokens."""
+    return _packed(spark, root)
+
+
+def p7_report(spark: SparkSession, root: str) -> DataFrame:
+    """Contexts, tokens, and the share of padding."""
+    out = _packed(spark, root).where("pack_id IS NOT NULL").agg(F.max("pack_id").alias("last"), F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_parts"))
+    packs = F.coalesce(F.col("last") + 1, F.lit(0))
+    return out.select(packs.alias("n_packs"), "n_parts", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), (1 - F.col("n_tokens") / (packs * CAPACITY)).alias("padding_share"))
+
+
+def _mixture(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = measured(table(spark, root, "documents"), "doc_id", "source", "lang", "text")
+    targets = table(spark, root, "source_targets")
+    return mix(docs, targets), docs, targets
+
+
+def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of the mixture and how often each is used."""
+    return _mixture(spark, root)[0]
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return shares(*_mixture(spark, root))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncated(table(spark, root, "documents"), "doc_id", "source", "text").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, root: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    docs = table(spark, root, "documents")
+    return truncation_rates(docs, truncated(docs, "doc_id", "source", "text"), "source")
+
+
 _PAIRS = """
 WITH held AS (SELECT DISTINCT package_id, strftime(trade_date, '%Y-%m') AS trade_month, unnest(token_ids) AS token FROM sentences WHERE trade_date IS NOT NULL AND package_id IS NOT NULL),
 items AS (SELECT * FROM held WHERE token IS NOT NULL),
@@ -83,4 +133,4 @@ SQL = {
     "p2_pairs": f"{_PAIRS} SELECT trade_month, token_a, token_b, n_ab, n_a, n_b, round(CASE WHEN n_ab * n >= n_a * n_b THEN {_LLR} ELSE -{_LLR} END, 4) + 0.0 AS llr FROM rated",
     "p6_found": f"{_NEAR} SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM ranked WHERE rank <= 10 AND cosine >= 0.9",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_bisected, p6_found, p6_neighbours)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_bisected, p6_found, p6_neighbours, p7_packed, p7_report, p8_mixture, p8_shares, p9_found, p9_rates)}
