@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 PIECE_PAIRS = 1_000_000
 #: A split's stripes are written out and begun anew beyond this many entries.
 STRIPE_LIMIT = 3_000_000
-SLICES = 16
+#: A stripe is sliced by ranges of 2^16 neighbour ids, taken modulo this many.
+SLICES = 64
 
 
 def baskets(df: DataFrame, basket: Column, group: Column, items: Column) -> DataFrame:
@@ -77,7 +78,7 @@ def _stripes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def write() -> Iterator[pa.RecordBatch]:
         for name, parts in held.items():
             a, b, n = _merge(*map(np.concatenate, zip(*parts)))
-            part = (b % SLICES).astype(np.int32)
+            part = ((b >> 16) % SLICES).astype(np.int32)
             order = np.lexsort((b, part, a))
             a, b, n, part = a[order], b[order], n[order], part[order]
             first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])]) if len(a) else np.zeros(0, np.int64)
@@ -102,31 +103,34 @@ def _stripes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_stripes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks arrive sorted by (grp, item, slice); equal keys are merged as they pass."""
-    key, rest = None, []
+    """Blocks arrive sorted by (grp, item, slice); equal keys are merged as they pass, and the last is kept for the next batch."""
 
-    def pairs(key: tuple, parts: list) -> pa.RecordBatch:
-        a = np.full(sum(len(b) for b, _ in parts), key[1], np.int64)
-        a, b, n = _merge(a, *map(np.concatenate, zip(*parts)))
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(n)], ["grp", "item_a", "item_b", "n_ab"])
+    def pairs(names: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        key, b, n = _merge(key, b, n)
+        return pa.RecordBatch.from_arrays([pa.array(names[key], pa.string()), pa.array(a[key]), pa.array(b), pa.array(n)], ["grp", "item_a", "item_b", "n_ab"])
 
-    waiting: list[pa.RecordBatch] = []
+    last, rest = None, []
     for batch in batches:
-        names, items, slices = (batch.column(i).to_pylist() for i in range(3))
-        neighbours, counts = batch.column(3), batch.column(4)
-        for row, now in enumerate(zip(names, items, slices)):
-            if now != key:
-                if rest:
-                    waiting.append(pairs(key, rest))
-                key, rest = now, []
-            rest.append((neighbours[row].values.to_numpy(zero_copy_only=False), counts[row].values.to_numpy(zero_copy_only=False)))
-            if sum(w.num_rows for w in waiting[-1:]) and len(waiting) >= 500:
-                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-                waiting = []
+        if not batch.num_rows:
+            continue
+        names = np.asarray(batch.column(0).to_pylist(), object)
+        item, part = (batch.column(i).to_numpy() for i in (1, 2))
+        first = np.r_[True, (names[1:] != names[:-1]) | (item[1:] != item[:-1]) | (part[1:] != part[:-1])]
+        starts, size = np.flatnonzero(first), pc.list_value_length(batch.column(3)).to_numpy()
+        key = np.repeat(np.cumsum(first) - 1, size)
+        b, n = (pc.list_flatten(batch.column(i)).to_numpy() for i in (3, 4))
+        if rest and last != (names[0], item[0], part[0]):
+            yield pairs(np.array([last[0]], object), np.zeros(sum(len(x) for x, _ in rest), np.int64), np.array([last[1]]), *map(np.concatenate, zip(*rest)))
+            rest = []
+        if rest:
+            b, n = (np.concatenate([*held, own]) for held, own in zip(zip(*rest), (b, n)))
+            key = np.r_[np.zeros(len(b) - len(key), key.dtype), key]
+        done = key < len(starts) - 1
+        if done.any():
+            yield pairs(names[starts], key[done], item[starts], b[done], n[done])
+        last, rest = (names[-1], item[-1], part[-1]), [(b[~done], n[~done])]
     if rest:
-        waiting.append(pairs(key, rest))
-    if waiting:
-        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+        yield pairs(np.array([last[0]], object), np.zeros(sum(len(x) for x, _ in rest), np.int64), np.array([last[1]]), *map(np.concatenate, zip(*rest)))
 
 
 def pair_counts(of: DataFrame) -> DataFrame:
