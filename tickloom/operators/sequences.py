@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.counter_rng import philox, uniform
 from tickloom.operators.dictionary import BOS, EOS
 from tickloom.plans.ranking import rank_in_group
 from tickloom.plans.storage import materialise
@@ -117,3 +118,22 @@ def fixed_context(tokens: Column, context: int, pad: int = 0) -> tuple[Column, C
 def anchor_positions(family: Column, anchor: int = 3) -> Column:
     """0-based positions whose next token is an anchor: where a model predicts one."""
     return F.filter(F.sequence(F.lit(0), F.greatest(F.size(family) - 2, F.lit(0))), lambda i: F.get(family, i + 1) == anchor)
+
+
+def mixture_plan(sequences: DataFrame, seq_id: str, is_tape: Column, tape_share: float, key: tuple[int, int]) -> DataFrame:
+    """``position, is_tape, seq_id``: a training order in which about ``tape_share`` of the positions hold a tape sequence.
+
+    There are n + floor(n share / (1 - share)) positions for n other sequences.
+    Each position draws by its own counter whether it holds a tape sequence and
+    which; the others take the other sequences in turn. Without tape sequences
+    all positions take those; without others there are no positions.
+    """
+    spark = sequences.sparkSession
+    rows = sequences.select(F.col(seq_id).alias("seq_id"), F.coalesce(is_tape, F.lit(False)).alias("is_tape")).where("seq_id IS NOT NULL").distinct()
+    ranked = rank_in_group(rows, ["is_tape"], ["seq_id"], F.floor(F.col("seq_id") / 4096), salts=1)
+    counts = {r["is_tape"]: r["count"] for r in rows.groupBy("is_tape").count().collect()}
+    n, n_tape = counts.get(False, 0), counts.get(True, 0)
+    words = philox(F.col("id"), 3, key)
+    drawn = spark.range(n + int(n * tape_share / (1 - tape_share))).select(F.col("id").alias("position"), (F.lit(n_tape > 0) & (uniform(words[0]) < tape_share)).alias("is_tape"), uniform(words[1]).alias("u"))
+    index = F.when(F.col("is_tape"), F.floor(F.col("u") * n_tape)).otherwise(F.col("position") % max(n, 1)).cast("long")
+    return drawn.withColumn("rank", index).join(ranked, ["is_tape", "rank"]).select("position", "is_tape", "seq_id")

@@ -10,7 +10,8 @@ from tickloom.operators import disclosure as P
 from tickloom.operators import grid as G
 from tickloom.operators import summary as S
 from tickloom.operators.packages import latest_lines, sentences, window_pair_counts
-from tickloom.operators.sequences import anchor_positions, fixed_context, greedy_sequences, packed
+from tickloom.operators.sequences import anchor_positions, fixed_context, greedy_sequences, mixture_plan, packed
+from tickloom.operators.tape_windows import tape_windows
 from tickloom.sources.tables import table
 
 CONTEXT = 256
@@ -151,6 +152,18 @@ def packed_sessions(spark: SparkSession, root: str) -> DataFrame:
     return out.select(F.col("grp").alias("client_id"), "seq_no", "n_lines", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
+def tape_stretches(spark: SparkSession, root: str) -> DataFrame:
+    """Windows of a context along each month's lines of all clients, each half a context on from the last."""
+    month = F.year("trade_date") * 12 + F.month("trade_date") - 1
+    out = tape_windows(_lines(spark, root), month, "ts_us", "event_id", F.when(F.col("line_no") == 0, 7).otherwise(3), CONTEXT - 2, (CONTEXT - 2) // 2)
+    return out.withColumnRenamed("grp", "month_no")
+
+
+def training_mixture(spark: SparkSession, root: str) -> DataFrame:
+    """Written sequences in a training order, a quarter of it tape."""
+    return mixture_plan(table(spark, root, "packed_corpus").where("tokens IS NOT NULL"), "seq_id", F.col("axis") == "tape", 0.25, (11, 13))
+
+
 def fixed_contexts(spark: SparkSession, root: str) -> DataFrame:
     """Written sequences cut or padded to a context: tokens kept, padding, sum of the labels."""
     inputs, labels = fixed_context(F.col("tokens"), CONTEXT)
@@ -339,6 +352,14 @@ FROM placed a JOIN placed b ON a.trade_date = b.trade_date AND a.rn // 64 = b.rn
 WITH RECURSIVE {_BLOCKS}, {_WINDOWS[_WINDOWS.index("sized AS"):]}
 SELECT c.client_id, c.seq_no, count(*) AS n_lines, CAST(sum(len(toks)) + 2 AS BIGINT) AS n_tokens, '1 ' || string_agg(array_to_string(toks, ' '), ' ' ORDER BY c.rn) || ' 2' AS tokens
 FROM cut c JOIN blk b ON b.event_id = c.event_id GROUP BY 1, 2""",
+    "tape_stretches": f"""
+WITH RECURSIVE {_LINES},
+sized AS (SELECT year(trade_date) * 12 + month(trade_date) - 1 AS month_no, CASE WHEN line_no = 0 THEN 7 ELSE 3 END AS len, row_number() OVER w - 1 AS rn, ts_us, event_id FROM lines WINDOW w AS (PARTITION BY year(trade_date) * 12 + month(trade_date) ORDER BY ts_us, event_id)),
+cum AS (SELECT month_no, rn, len, CAST(coalesce(sum(len) OVER (PARTITION BY month_no ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c FROM sized),
+ends AS (SELECT month_no, rn, c FROM cum UNION ALL SELECT month_no, max(rn) + 1, max(c + len) FROM cum GROUP BY 1),
+nxt AS (SELECT a.month_no, a.rn, a.c, max(CASE WHEN b.c <= a.c + 127 THEN b.rn END) AS next_rn, max(b.rn) AS end_rn, max(b.c) AS end_c FROM cum a JOIN ends b ON a.month_no = b.month_no AND b.rn BETWEEN a.rn AND a.rn + 90 AND b.c <= a.c + 254 GROUP BY ALL),
+chain AS (SELECT month_no, rn, CAST(0 AS BIGINT) AS window_no FROM nxt WHERE rn = 0 UNION ALL SELECT n.month_no, m.rn, h.window_no + 1 FROM chain h JOIN nxt n ON n.month_no = h.month_no AND n.rn = h.rn JOIN nxt m ON m.month_no = n.month_no AND m.rn = greatest(n.next_rn, n.rn + 1))
+SELECT n.month_no, h.window_no, n.rn AS first_rank, n.end_rn - n.rn AS n_lines, n.end_c - n.c AS n_tokens FROM chain h JOIN nxt n ON n.month_no = h.month_no AND n.rn = h.rn""",
     "fixed_contexts": """
 SELECT seq_id, CAST(256 AS BIGINT) AS n_inputs, CAST(least(len(tokens), 256) AS BIGINT) AS n_kept, CAST(coalesce(list_sum(tokens[1:256]), 0) AS BIGINT) AS input_sum,
     CAST(coalesce(list_sum(tokens[1:256]), 0) - 100 * greatest(256 - len(tokens), 0) AS BIGINT) AS label_sum FROM packed_corpus WHERE tokens IS NOT NULL""",
@@ -379,7 +400,7 @@ QUERIES = {f"observable_{name}": _observable(name) for name in POLICIES} | {
     f.__name__: f
     for f in (
         leakage_audit, leakage_audit_clean, invariant_report, observable_tokens, token_parity, vocabulary, vocabulary_layout, tokens_alive, vocabulary_encode, gap_buckets, size_dealer_buckets, token_blocks,
-        package_sentences, multi_author_packages, pair_counts, session_windows, packed_sessions, fixed_contexts, anchor_predictions, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
+        package_sentences, multi_author_packages, pair_counts, session_windows, packed_sessions, tape_stretches, training_mixture, fixed_contexts, anchor_predictions, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
         drift_budget, activity_level, validation_battery, token_counts, token_gini,
     )
 }
