@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.storage import materialise
 
+BROKEN = "\u0001"  # stands where a word was broken at a line's end
 #: Occurrences, other than as a text's last token, from which a word counts as known.
 KNOWN_FROM = 3
 #: A limit: at least so many texts within 4 units up to it, and so many times the average of the stretch before it.
@@ -28,9 +29,9 @@ SHAPE_SHARE, SHAPE_LEAST = 0.002, 3
 
 def vocabulary(texts: Column, df: DataFrame) -> DataFrame:
     """``word, n``: lower-case words of whole texts, without each text's last token and words broken at line ends."""
-    whole = F.regexp_replace(texts, r"\p{L}+-?\s*$", "")
-    whole = F.regexp_replace(whole, r"\p{L}+-\s*\n\s*\p{L}+", " ")
-    words = df.select(F.explode(F.split(F.lower(whole), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    joined = F.replace(F.regexp_replace(texts, r"[-\s]+$", ""), F.lit("-\n"), F.lit(BROKEN))
+    words = F.split(F.lower(joined), rf"[^\p{{L}}{BROKEN}]+")
+    words = df.select(F.explode(F.slice(words, 1, F.size(words) - 1)).alias("word")).where((F.col("word") != "") & ~F.contains("word", F.lit(BROKEN)))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -101,11 +102,8 @@ def truncated(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     rated = tails.where("ending <> 'empty'").join(limits, "source", "left").withColumn("at_limit", F.coalesce(at, F.lit(False)))
     plain = rated.where("at_limit OR ending IN ('broken', 'hyphen', 'open')").select("doc_id", "source", F.when(F.col("at_limit"), "limit").when(F.col("ending") == "broken", "broken").otherwise("sentence").alias("evidence"))
     open_ = rated.where("NOT at_limit AND ending = 'letter'")
-    total = tails.agg(F.count(F.lit(1)).alias("total"))
-    closing = (
-        open_.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("shape").rlike(r"[^aA\s]"))
-        .join(F.broadcast(total), (F.col("n") >= SHAPE_LEAST) & (F.col("n") >= SHAPE_SHARE * F.col("total")), "left_semi").select("shape", F.lit(True).alias("closes"))
-    )
+    often = max(SHAPE_LEAST, SHAPE_SHARE * tails.count())
+    closing = open_.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("shape").rlike(r"[^aA\s]") & (F.col("n") >= often)).select("shape", F.lit(True).alias("closes"))
     nodes = trie(vocabulary(F.col(text), df.where(F.col(text).isNotNull())).where(F.col("n") >= KNOWN_FROM).select("word"))
     judged = open_.join(nodes, F.col("token") == F.col("prefix"), "left").join(closing, "shape", "left")
     inside_word = F.coalesce(F.col("goes_on") & ~F.col("is_word"), F.lit(False))
