@@ -29,7 +29,7 @@ DIRECTIONS = 8
 CONFIDENCE = 0.95
 LEAF = 256
 BLOCK = 128
-SAMPLE = 10_000  # vectors on which the cells' planes are fitted
+SAMPLE = 10_000  # vectors, about, on which the cells' planes are fitted
 CELL_ROWS = (4_096, 65_536)  # least and most vectors of a cell
 DIGITS = 12
 
@@ -279,7 +279,8 @@ def nearest_neighbours(df: DataFrame, vec_id: str, v: str, k: int = 10, m: int =
     cells = max(1, -(-total // min(max(total // 12, CELL_ROWS[0]), CELL_ROWS[1])))
     planes: list = []
     if cells > 1:
-        sample = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()
+        # By the hash of a unique id: about SAMPLE rows, wherever they lie.
+        sample = reps.where(F.pmod(F.xxhash64("rep"), F.lit(total)) < SAMPLE).select("v").toArrow()
         matrix = _unit(_matrix(sample["v"].combine_chunks()))
         planes = _plant(matrix @ directions(matrix.shape[1], m), cells)
 
