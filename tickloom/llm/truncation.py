@@ -52,8 +52,12 @@ def length_limits(tails: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n").over(order.rangeBetween(-STRETCH, -4)), F.lit(0)).alias("before"),
         F.coalesce(F.sum("n").over(order.rangeBetween(1, STRETCH)), F.lit(0)).alias("after"),
     )
+    density = F.col("before") / (STRETCH - 3)
     # Few go beyond a limit; a block size of a transfer may be exceeded by the next block.
-    return piled.where((F.col("near") >= PILE) & (F.col("n") >= 2) & (F.col("near") >= PILE_RATIO * F.col("before") * 4 / (STRETCH - 3)) & (F.col("near") >= 4 * F.col("after"))).select("source", "unit", F.col("size").alias("top"))
+    top = (F.col("near") >= PILE) & (F.col("n") >= 2) & (F.col("near") >= PILE_RATIO * 4 * density) & (F.col("near") >= 4 * F.col("after"))
+    # A stripped blank or half a character shortens a cut text by up to 3.
+    marked = piled.withColumn("below_top", F.max(top).over(order.rangeBetween(0, 3))).withColumn("much", F.col("n") >= F.greatest(F.lit(3.0), PILE_RATIO * density))
+    return marked.where(top | (F.col("below_top") & F.col("much"))).select("source", "unit", F.col("size").alias("top"))
 
 
 def _shape(line: Column) -> Column:
