@@ -46,10 +46,11 @@ def earliest(df: DataFrame, item: str, entity: str, ts_us: str) -> DataFrame:
     """One row per item, at its earliest usable time: ``item, entity, ts_us``.
 
     Unusable are rows without an item or entity and times that are null or not
-    after the epoch. Of several entities at the earliest time the smallest counts.
+    after the epoch. Should an item's usable rows name several entities, the
+    smallest counts.
     """
     usable = df.select(F.col(item).alias("item"), F.col(entity).alias("entity"), F.col(ts_us).alias("ts_us")).where("item IS NOT NULL AND entity IS NOT NULL AND ts_us > 0")
-    return usable.groupBy("item").agg(F.min(F.struct("ts_us", "entity")).alias("first")).select("item", "first.entity", "first.ts_us")
+    return usable.groupBy("item").agg(F.min("entity").alias("entity"), F.min("ts_us").alias("ts_us"))
 
 
 def sessions(events: DataFrame, entity: str, ts_us: str, gap_us: int) -> DataFrame:
