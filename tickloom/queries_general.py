@@ -7,6 +7,7 @@ from tickloom.functions.epoch import micros, utc_month
 from tickloom.operators.activity_sessions import earliest, sessions
 from tickloom.operators.asof_versions import asof_versions
 from tickloom.operators.heavy_keys import dominant_keys, totals_by_key
+from tickloom.plans.storage import materialise
 from tickloom.sources.tables import table
 
 SESSION_GAP_US = 1_800_000_000
@@ -20,7 +21,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Keys that hold at least 4 % of a month's items."""
     lines = _lines(spark, root).select(F.concat(F.lit("line_blocks|"), utc_month(F.col("ts_us"))).alias("grp"), F.col("entity").alias("key"))
     vectors = table(spark, root, "oracle_token_vectors").select(F.concat(F.lit("oracle_token_vectors|"), F.date_format("asof_date", "yyyy-MM")).alias("grp"), F.col("token_id").alias("key"))
-    counts = totals_by_key(lines.unionByName(vectors), F.col("key"), F.col("grp"))
+    counts = materialise(totals_by_key(lines.unionByName(vectors), F.col("key"), F.col("grp")), "totals")
     part = F.split("grp", r"\|")
     return dominant_keys(counts).select(part[0].alias("src"), part[1].alias("trade_month"), "key_id")
 
