@@ -47,11 +47,11 @@ def gram_correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str]
     ready = df
     for c in columns:
         ready = ready.where(F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull()))
-    widths = ready.select(*(F.size(c).alias(c) for c in columns)).limit(1).collect()
+    widths = ready.select(*(F.size(c).alias(f"c{i}") for i, c in enumerate(columns))).limit(1).collect()
     if not widths:
         return {(a, b): float("nan") for i, a in enumerate(columns) for b in columns[i + 1 :]}
-    d = [widths[0][c] for c in columns]
-    rows = ready.select(*(F.col(c).cast("array<double>").alias(c) for c in columns)).mapInArrow(_moments(len(columns)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    d = list(widths[0])
+    rows = ready.select(*(F.col(c).cast("array<double>").alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(_moments(len(columns)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
     flat = np.zeros(len(rows))  # 1 + sums + d x d products: as large as the vectors are wide
     for r in rows:
         flat[r["at"]] = r["x"]

@@ -116,8 +116,9 @@ def fixed_context(tokens: Column, context: int, pad: int = 0) -> tuple[Column, C
 
 
 def anchor_positions(family: Column, anchor: int = 3) -> Column:
-    """0-based positions whose next token is an anchor: where a model predicts one."""
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(family) - 2, F.lit(0))), lambda i: F.get(family, i + 1) == anchor)
+    """0-based positions whose next token is an anchor: where a model predicts one. Null for null."""
+    found = F.filter(F.sequence(F.lit(0), F.greatest(F.size(family) - 2, F.lit(0))), lambda i: F.get(family, i + 1) == anchor)
+    return F.when(family.isNotNull(), found)
 
 
 def mixture_plan(sequences: DataFrame, seq_id: str, is_tape: Column, tape_share: float, key: tuple[int, int]) -> DataFrame:
