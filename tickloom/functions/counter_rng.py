@@ -57,3 +57,15 @@ def categorical(u: Column, weights: Column) -> Column:
     """Index drawn from an array of non-negative weights; -1 if they sum to 0, null if there are none to read."""
     running = F.aggregate(weights, F.struct(F.lit(0.0).alias("t"), F.array().cast("array<double>").alias("c")), lambda a, w: F.struct((a["t"] + w).alias("t"), F.concat(a["c"], F.array(a["t"] + w)).alias("c")))
     return F.when(running["t"] > 0, F.size(F.filter(running["c"], lambda c: c < u * running["t"]))).when(weights.isNotNull(), -1)
+
+
+def poisson(u: Column, mean: Column, most: int = 64) -> Column:
+    """A Poisson count by inverse distribution from one uniform number, at most ``most``; 0 for a mean of 0, null for null."""
+
+    def add(state: Column, k: Column) -> Column:
+        term = state["term"] * mean / k
+        return F.struct(term.alias("term"), (state["cdf"] + term).alias("cdf"), (state["n"] + (u > state["cdf"]).cast("int")).alias("n"))
+
+    first = F.exp(-mean.cast("double"))
+    start = F.struct(first.alias("term"), first.alias("cdf"), F.lit(0).alias("n"))
+    return F.when(mean.isNotNull() & u.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, add)["n"])

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.plans.ranking import rank_in_group
+from tickloom.sources.layout import shard_of
 
 
 def latest_lines(tape: DataFrame) -> DataFrame:
@@ -27,6 +28,21 @@ def sentences(lines: DataFrame, token: str = "token_id") -> DataFrame:
     return by.select("package_id", "first.client_id", "first.trade_date", F.col("first.ts_us").alias("ts_first_us"), F.expr("transform(rows, x -> x.token)").alias("tokens"), "n_clients")
 
 
+def packages_by_first_lines(lines: DataFrame, item: str = "event_id", line_no: str = "line_no", width: int = 4096) -> DataFrame:
+    """``item, package``: the last item up to each one, in the order of ids of one shard, whose line number is 0; null before the first.
+
+    Ids are numbered in stretches of ``width``; a stretch's lines before its
+    first package look at the stretches before it, of which there is one row each.
+    """
+    rows = lines.select(F.col(item).alias("item"), F.when(F.col(line_no) == 0, F.col(item)).alias("first")).where("item IS NOT NULL")
+    keyed = rows.withColumn("shard", shard_of(F.col("item"))).withColumn("stretch", F.floor(F.col("item") / width))
+    lasts = keyed.groupBy(F.col("shard").alias("sh"), F.col("stretch").alias("st")).agg(F.max("first").alias("last"))
+    before = lasts.select("sh", "st", F.max("last").over(W.partitionBy("sh").orderBy("st").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    inside = F.max("first").over(W.partitionBy("shard", "stretch").orderBy("item").rangeBetween(W.unboundedPreceding, 0))
+    found = keyed.withColumn("inside", inside).join(before, (F.col("shard") == F.col("sh")) & (F.col("stretch") == F.col("st")))
+    return found.select("item", F.coalesce("inside", "before").alias("package"))
+
+
 def window_pair_counts(lines: DataFrame, token: str = "token_id", window: int = 64, slot_us: int = 60_000_000) -> DataFrame:
     """``token_a, token_b, same_client, n``: unordered token pairs within disjoint stretches of ``window`` lines of a day.
 

@@ -9,7 +9,7 @@ from tickloom.operators import dictionary as D
 from tickloom.operators import disclosure as P
 from tickloom.operators import grid as G
 from tickloom.operators import summary as S
-from tickloom.operators.packages import latest_lines, sentences, window_pair_counts
+from tickloom.operators.packages import latest_lines, packages_by_first_lines, sentences, window_pair_counts
 from tickloom.operators.sequences import anchor_positions, fixed_context, greedy_sequences, mixture_plan, packed
 from tickloom.operators.tape_windows import tape_windows
 from tickloom.sources.tables import table
@@ -131,6 +131,12 @@ def multi_author_packages(spark: SparkSession, root: str) -> DataFrame:
     return out.where("n_clients > 1").select(F.col("package_id").alias("instrument_id"), "n_clients", F.size("tokens").cast("long").alias("n_lines"))
 
 
+def line_packages(spark: SparkSession, root: str) -> DataFrame:
+    """Each line's package, from the ids and line numbers alone."""
+    out = packages_by_first_lines(_lines(spark, root))
+    return out.select(F.col("item").alias("event_id"), F.col("package").alias("package_id"))
+
+
 def pair_counts(spark: SparkSession, root: str) -> DataFrame:
     """Token pairs within stretches of 64 lines of a day, by whether one client sent both."""
     return window_pair_counts(_lines(spark, root))
@@ -343,6 +349,7 @@ WITH {_LINES}
 SELECT package_id, first(client_id ORDER BY ts_us, line_no, event_id) AS client_id, first(trade_date ORDER BY ts_us, line_no, event_id) AS trade_date, min(ts_us) AS ts_first_us, string_agg(token_id, ' ' ORDER BY line_no, ts_us, event_id) AS tokens
 FROM lines GROUP BY package_id""",
     "multi_author_packages": f"WITH {_LINES} SELECT instrument_id, count(DISTINCT client_id) AS n_clients, count(*) AS n_lines FROM lines GROUP BY 1 HAVING count(DISTINCT client_id) > 1",
+    "line_packages": f"WITH {_LINES} SELECT event_id, max(CASE WHEN line_no = 0 THEN event_id END) OVER (ORDER BY event_id) AS package_id FROM lines",
     "pair_counts": f"""
 WITH {_LINES}, placed AS (SELECT trade_date, token_id, client_id, row_number() OVER (PARTITION BY trade_date ORDER BY ts_us, event_id) - 1 AS rn FROM lines)
 SELECT least(a.token_id, b.token_id) AS token_a, greatest(a.token_id, b.token_id) AS token_b, coalesce(a.client_id = b.client_id, false) AS same_client, count(*) AS n
@@ -400,7 +407,7 @@ QUERIES = {f"observable_{name}": _observable(name) for name in POLICIES} | {
     f.__name__: f
     for f in (
         leakage_audit, leakage_audit_clean, invariant_report, observable_tokens, token_parity, vocabulary, vocabulary_layout, tokens_alive, vocabulary_encode, gap_buckets, size_dealer_buckets, token_blocks,
-        package_sentences, multi_author_packages, pair_counts, session_windows, packed_sessions, tape_stretches, training_mixture, fixed_contexts, anchor_predictions, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
+        package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, tape_stretches, training_mixture, fixed_contexts, anchor_predictions, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
         drift_budget, activity_level, validation_battery, token_counts, token_gini,
     )
 }

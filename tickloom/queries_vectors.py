@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import counter_rng as R
 from tickloom.functions import vectors as V
+from tickloom.functions.epoch import micros
 from tickloom.operators import attributes as A
 from tickloom.operators import choice as C
 from tickloom.operators import recovery as M
@@ -53,6 +54,12 @@ def bucket_draws(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy(R.inverse_cdf(F.col("u"), cumulative).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def resampled_hours(spark: SparkSession, root: str) -> DataFrame:
+    """Events per hour and a Poisson count drawn with an eighth of it as mean."""
+    hours = table(spark, root, "events").groupBy(F.floor(micros(F.col("ts")) / 3_600_000_000).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.select("hour", "n", R.poisson(R.uniform(R.philox(F.col("hour"), 13, KEY)[0]), F.col("n") / 8).cast("long").alias("drawn"))
+
+
 def _logit() -> tuple:
     return F.get("embedding", 0).cast("double") * 2, F.col("vec_id") % 7 != 0
 
@@ -208,6 +215,12 @@ def stream_gaps(spark: SparkSession, root: str) -> DataFrame:
     return out.select(F.col("key").alias("user_id"), F.col("item").alias("event_id"), "gap_us")
 
 
+def stream_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """A user's events in blocks of 64, from a stream with state."""
+    out = T.drained(T.blocks(T.stream_table(spark, root, "events"), "user_id", "ts", "event_id", 64), "append")
+    return out.select(F.col("key").alias("user_id"), F.col("item").alias("event_id"), "block")
+
+
 def stream_windows(spark: SparkSession, root: str) -> DataFrame:
     """Events per hour and type, from a stream."""
     return T.drained(T.windowed(T.stream_table(spark, root, "events"), "ts", "1 hour", "2 hours", "event_type"), "complete")
@@ -260,6 +273,11 @@ WITH {_philox_sql("vec_id", "embeddings", 7)}, w AS (SELECT vec_id, unnest(range
 run AS (SELECT vec_id, sum(w) OVER (PARTITION BY vec_id ORDER BY pos) AS c, sum(w) OVER (PARTITION BY vec_id) AS t FROM w)
 SELECT vec_id, count(*) FILTER (c < {_U.format("c0")} * t) AS chosen FROM run JOIN r10 ON id = vec_id GROUP BY 1""",
     "bucket_draws": f"WITH {_philox_sql('event_id', 'events', 9)}, u AS (SELECT {_U.format('c1')} AS u FROM r10) SELECT CAST(CAST(u > 0.5 AS INT) + CAST(u > 0.75 AS INT) + CAST(u > 0.875 AS INT) + CAST(u > 0.9375 AS INT) AS BIGINT) AS bucket, count(*) AS n FROM u GROUP BY 1",
+    "resampled_hours": f"""
+WITH hours AS (SELECT CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1), {_philox_sql("hour", "hours", 13)},
+terms AS (SELECT hour, n, range AS k, exp(-n / 8) * pow(n / 8, range) / gamma(range + 1) AS p FROM hours, range(64)),
+cdf AS (SELECT hour, n, sum(p) OVER (PARTITION BY hour ORDER BY k) AS c FROM terms)
+SELECT hour, n, count(*) FILTER ({_U.format("c0")} > c) AS drawn FROM cdf JOIN r10 ON id = hour GROUP BY 1, 2""",
     "log_partition": """
 WITH l AS (SELECT CAST(label AS BIGINT) AS label, CASE WHEN vec_id % 7 <> 0 THEN CAST(embedding[1] AS DOUBLE) * 2 END AS l FROM embeddings)
 SELECT label, round(ln(sum(exp(l))), 6) AS log_z, count(l) AS n_candidates, count(*) - count(l) AS n_masked FROM l GROUP BY 1""",
@@ -298,12 +316,13 @@ s AS (SELECT token_id, avg(list_dot_product(v, v) / 128) AS s FROM good GROUP BY
     "monthly_layout": "SELECT strftime(trade_date, '%Y-%m') AS trade_month, count(*) AS n_rows FROM rfq_lines GROUP BY 1",
     "layout_mismatches": "SELECT '' AS file, '' AS problem WHERE false",
     "stream_gaps": "SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events",
+    "stream_blocks": "SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 64 AS block FROM events",
     "stream_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 QUERIES = {
     f.__name__: f
     for f in (
-        philox_words, philox_numbers, categorical_draws, bucket_draws, log_partition, softmax_draws, best_offers, vector_norms, token_means, side_axis, gram_recovery, axis_recovery, instrument_features, standard_features,
-        token_weights, entropy_floor, entropy_floor_by_size, excess_over_floor, norm_frequency, event_ids, monthly_layout, layout_mismatches, stream_gaps, stream_windows,
+        philox_words, philox_numbers, categorical_draws, bucket_draws, resampled_hours, log_partition, softmax_draws, best_offers, vector_norms, token_means, side_axis, gram_recovery, axis_recovery, instrument_features, standard_features,
+        token_weights, entropy_floor, entropy_floor_by_size, excess_over_floor, norm_frequency, event_ids, monthly_layout, layout_mismatches, stream_gaps, stream_blocks, stream_windows,
     )
 }

@@ -54,6 +54,19 @@ def gaps(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key long, item long, gap_us long", "last long", "append", "NoTimeout")
 
 
+def blocks(events: DataFrame, key: str, ts: str, item: str, size: int) -> DataFrame:
+    """``key, item, block``: each key's events in blocks of ``size`` in the order they come; how many came is kept as state."""
+
+    def step(name: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).sort_values(["us", "item"])
+        state.update((seen + len(rows),))
+        yield pd.DataFrame({"key": name[0], "item": rows["item"], "block": [(seen + i) // size for i in range(len(rows))]})
+
+    rows = events.select(F.col(key).alias("key"), F.col(item).alias("item"), F.unix_micros(ts).alias("us")).where("key IS NOT NULL AND us IS NOT NULL")
+    return rows.groupBy("key").applyInPandasWithState(step, "key long, item long, block long", "seen long", "append", "NoTimeout")
+
+
 def windowed(events: DataFrame, ts: str, window: str, late: str, *by: str) -> DataFrame:
     """``start_us, by, n``: events per tumbling window; those later than ``late`` behind the stream are dropped from open streams."""
     counts = events.withWatermark(ts, late).groupBy(F.window(ts, window), *by).agg(F.count(F.lit(1)).alias("n"))
