@@ -28,7 +28,8 @@ from tickloom.plans.storage import materialise
 DIRECTIONS = 8
 CONFIDENCE = 0.95
 LEAF = 256
-BLOCK = 128
+BLOCK = 256  # queries that are verified together
+STEP = 8  # leaves that are verified at once
 SAMPLE = 10_000  # vectors, about, on which the cells' planes are fitted
 CELL_ROWS = (4_096, 65_536)  # least and most vectors of a cell
 DIGITS = 12
@@ -58,7 +59,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def kd_leaves(y: np.ndarray, size: int) -> list[np.ndarray]:
-    """Row numbers of the leaves of a balanced kd-tree over ``y``, each cut across its widest direction."""
+    """Row numbers of the leaves of a kd-tree over ``y``, each cut across its widest direction; all but one are full."""
     leaves, todo = [], [np.arange(len(y))]
     while todo:
         rows = todo.pop()
@@ -66,8 +67,9 @@ def kd_leaves(y: np.ndarray, size: int) -> list[np.ndarray]:
             leaves.append(rows)
             continue
         part = y[rows]
-        half = np.argpartition(part[:, np.argmax(np.ptp(part, axis=0))], len(rows) // 2)
-        todo += [rows[half[len(rows) // 2 :]], rows[half[: len(rows) // 2]]]
+        cut = size * (-(-len(rows) // size) // 2)
+        half = np.argpartition(part[:, np.argmax(np.ptp(part, axis=0))], cut)
+        todo += [rows[half[cut:]], rows[half[:cut]]]
     return leaves
 
 
@@ -84,6 +86,23 @@ def _merged(nearest: tuple[np.ndarray, np.ndarray], row: np.ndarray, ids: np.nda
     return ids[best].reshape(n, keep), cosines[best].reshape(n, keep)
 
 
+def _in_steps(leaves: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Leaves in their order, a few at a time; one that is not full stands alone."""
+    short = np.flatnonzero(size[leaves] != LEAF)
+    parts = np.split(leaves, np.unique(np.r_[short, short + 1]))
+    return [step for part in parts if len(part) for step in np.array_split(part, -(-len(part) // STEP))]
+
+
+def _at_least(near: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of entries that reach their row's floor. Most leaves hold none, so their maxima are looked at first."""
+    if near.shape[1] % LEAF:
+        return np.nonzero(near >= floor[:, None])
+    leaves = near.reshape(len(near), -1, LEAF)
+    i, leaf = np.nonzero(leaves.max(axis=2) >= floor[:, None])
+    k, j = np.nonzero(leaves[i, leaf] >= floor[i, None])
+    return i[k], leaf[k] * LEAF + j
+
+
 def search(q: np.ndarray, bound: np.ndarray, x: np.ndarray, x_ids: np.ndarray, keep: int, m: int = DIRECTIONS, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
     """The ``keep`` nearest of unit vectors ``x`` for each unit vector ``q``, of those at a cosine of ``bound`` or more.
 
@@ -109,7 +128,7 @@ def search(q: np.ndarray, bound: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
         nearest = (out_ids[rows], out[rows])
         kth = bound[rows].copy()
         by_distance = np.argsort(away.min(axis=0), kind="stable")
-        for some in np.array_split(by_distance, -(-len(by_distance) // 4)):
+        for some in _in_steps(by_distance, ends - begins):
             open_ = (away[:, some] <= reach * np.maximum(2 - 2 * kth, 1e-12)[:, None]).any(axis=1)  # the others' tests hold
             if not open_.any():
                 continue
@@ -121,7 +140,7 @@ def search(q: np.ndarray, bound: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
                 floor = np.maximum(kth[active], first)
             else:
                 floor = kth[active]
-            i, j = np.nonzero(near >= (floor - 3e-6)[:, None])
+            i, j = _at_least(near, (floor - 3e-6).astype(np.float32))
             if not len(i):
                 continue
             cosines = np.round(np.einsum("ij,ij->i", own[active[i]], x[at[j]]), DIGITS)
