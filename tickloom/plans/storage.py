@@ -5,20 +5,23 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local temporary folder only on a local master."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder, and only on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
+    return found if found else _local_dir(spark.sparkContext.master)
+
+
+@lru_cache(maxsize=1)
+def _local_dir(master: str) -> str:
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", "file://" + made)
     return "file://" + made
 
 
