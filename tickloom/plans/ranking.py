@@ -12,9 +12,11 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], stratum: Co
 
     A group is cut into its strata and those by a hash of ``order`` into
     ``salts`` parts; each part is numbered by itself and begins where the parts
-    before it end. Ranks rise with the stratum (nulls first), are otherwise
-    arbitrary but repeatable, and rows equal in ``order`` may exchange theirs.
-    The table of parts has at most groups x strata x salts rows.
+    before it end. Ranks rise with the stratum, are otherwise arbitrary but
+    repeatable, and rows equal in ``order`` may exchange theirs. Rows with a
+    null group or stratum have a null rank. The table of parts has at most
+    groups x strata x salts rows; plain equality joins it back, so that rows
+    keep the partitioning of their numbering.
     """
     parts = df.withColumn("_stratum", F.lit(0) if stratum is None else stratum).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salts)))
     key = [*group, "_stratum", "_part"]
@@ -22,8 +24,8 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], stratum: Co
     before = W.partitionBy(*group).orderBy("_stratum", "_part").rowsBetween(W.unboundedPreceding, -1)
     begins = sizes.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_begin"))
     numbered = parts.withColumn("_row", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
+    same = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(key)]
     met = same[0]
     for s in same[1:]:
         met = met & s
-    return numbered.join(begins, met).select(*df.columns, (F.col("_begin") + F.col("_row") - 1).alias("rank"))
+    return numbered.join(begins, met, "left").select(*df.columns, (F.col("_begin") + F.col("_row") - 1).alias("rank"))
