@@ -128,7 +128,24 @@ WITH good AS (
 near AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 12) AS cosine FROM good a JOIN good b ON a.vec_id <> b.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour) AS rank FROM near)"""
 
+_END = "CASE WHEN stop - st <= 254 THEN stop ELSE coalesce(list_max(list_filter(packages, lambda i: i > reached AND i <= st + 254)), list_max(list_filter(line_starts, lambda i: i > reached AND i <= st + 254)), st + 254) END"
+_PIECES = f"""
+WITH RECURSIVE arrays AS (SELECT DISTINCT seq_id, tokens FROM packed_corpus WHERE tokens IS NOT NULL AND seq_id IS NOT NULL),
+content AS (SELECT seq_id, tokens, list_filter(range(len(tokens)), lambda i: coalesce(tokens[i + 1], 0) > 2) AS pos FROM arrays),
+long AS (
+    SELECT row_number() OVER () AS k, seq_id, pos[1] AS begin, pos[len(pos)] + 1 AS stop, list_filter(pos, lambda i: tokens[i + 1] = 3) AS packages, list_filter(pos, lambda i: tokens[i + 1] IN (3, 4)) AS line_starts
+    FROM content WHERE len(pos) > 254
+),
+pieces AS (
+    SELECT k, begin AS st, begin AS reached FROM long
+    UNION ALL
+    SELECT k, coalesce(list_min(list_filter(line_starts, lambda i: i > st AND i >= piece_end - 24 AND i <= piece_end)), piece_end), piece_end
+    FROM (SELECT p.k, st, stop, line_starts, {_END} AS piece_end FROM pieces p JOIN long l ON l.k = p.k) WHERE stop - st > 254
+)
+SELECT DISTINCT seq_id, st AS piece_start, {_END} AS piece_end FROM pieces p JOIN long l ON l.k = p.k"""
+
 SQL = {
+    "p3_found": _PIECES,
     "p2_found": f"{_PAIRS} SELECT trade_month, token_a, token_b FROM rated WHERE n_ab >= 6 AND n_ab * n >= 10 * n_a * n_b",
     "p2_pairs": f"{_PAIRS} SELECT trade_month, token_a, token_b, n_ab, n_a, n_b, round(CASE WHEN n_ab * n >= n_a * n_b THEN {_LLR} ELSE -{_LLR} END, 4) + 0.0 AS llr FROM rated",
     "p6_found": f"{_NEAR} SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM ranked WHERE rank <= 10 AND cosine >= 0.9",
