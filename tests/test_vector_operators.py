@@ -107,6 +107,12 @@ def test_grid(spark):
     assert G.drift_summary(drift.where("false")).first()["n"] == 0
 
 
+def test_grid_counts_keep_lines_outside_the_frame(spark):
+    rows = spark.createDataFrame([(1, 3), (1, 3), (1, 8), (2, 25), (2, None), (None, 8)], "d long, s long")
+    got = sorted(tuple(r) for r in G.grid_counts(rows, "d", F.col("s"), 7, 9).collect())
+    assert got == [(1, 3, 2), (1, 7, 0), (1, 8, 1), (1, 9, 0), (2, 7, 0), (2, 8, 0), (2, 9, 0), (2, 25, 1)]
+
+
 def test_layout_round_trip_and_tampering(spark, tmp_path):
     df = spark.createDataFrame([(i, f"2026-0{1 + i % 2}-10") for i in range(7)], "event_id long, day string").withColumn("day", F.to_date("day"))
     path = str(tmp_path / "tape")

@@ -30,11 +30,14 @@ def session_clock(events: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def grid_counts(lines: DataFrame, day: str, slot: Column, first: int, last: int) -> DataFrame:
-    """``day, slot, n``: lines per slot of every day that has lines, 0 for empty slots in [first, last]."""
+    """``day, slot, n``: lines per slot of every day that has lines, and 0 for empty slots in [first, last].
+
+    The frame only adds zeros: slots outside it that have lines come out too.
+    """
     keyed = lines.select(F.col(day).alias("day"), slot.cast("long").alias("slot")).where("day IS NOT NULL AND slot IS NOT NULL")
     counts = keyed.groupBy("day", "slot").agg(F.count(F.lit(1)).alias("n"))
-    frame = counts.select("day").distinct().withColumn("slot", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
-    return frame.join(counts, ["day", "slot"], "left").select("day", "slot", F.coalesce("n", F.lit(0)).alias("n"))
+    frame = counts.select("day").distinct().select("day", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("slot"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(frame).groupBy("day", "slot").agg(F.sum("n").alias("n"))
 
 
 def sojourns(rows: DataFrame, keys: list[str], order: list[str], time_us: str, state: str) -> DataFrame:

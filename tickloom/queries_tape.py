@@ -184,10 +184,18 @@ def anchor_predictions(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("seq_id", F.size("p").cast("long").alias("n_anchors"), F.array_min("p").cast("long").alias("first_pos"), F.array_max("p").cast("long").alias("last_pos"))
 
 
+def _hours(spark: SparkSession, root: str, first: int, last: int) -> DataFrame:
+    return G.grid_counts(_lines(spark, root), "trade_date", F.floor(F.pmod(F.col("ts_us"), F.lit(86_400_000_000)) / 3_600_000_000), first, last)
+
+
+def hour_grid(spark: SparkSession, root: str) -> DataFrame:
+    """Lines per hour of day, empty hours included: every line is in one hour."""
+    return _hours(spark, root, 0, 23)
+
+
 def minute_grid(spark: SparkSession, root: str) -> DataFrame:
-    """Lines per hour of day, empty hours included."""
-    lines = _lines(spark, root)
-    return G.grid_counts(lines, "trade_date", F.floor(F.pmod(F.col("ts_us"), F.lit(86_400_000_000)) / 3_600_000_000), 7, 23)
+    """Lines per hour of day from 7 to 23, the hours that its SQL asks for, empty ones included; ``hour_grid`` has the whole day."""
+    return _hours(spark, root, 7, 23).where("slot BETWEEN 7 AND 23")
 
 
 def trading_clock(spark: SparkSession, root: str) -> DataFrame:
@@ -373,6 +381,9 @@ SELECT seq_id, CAST(256 AS BIGINT) AS n_inputs, CAST(least(len(tokens), 256) AS
     "anchor_predictions": """
 WITH p AS (SELECT seq_id, list_filter(range(len(family) - 1), lambda i: family[i + 2] = 3) AS p FROM packed_corpus WHERE len(family) > 1)
 SELECT seq_id, len(p) AS n_anchors, list_min(p) AS first_pos, list_max(p) AS last_pos FROM p""",
+    "hour_grid": f"""
+WITH {_LINES}, counts AS (SELECT trade_date AS day, CAST((ts_us % 86400000000) // 3600000000 AS BIGINT) AS slot, count(*) AS n FROM lines GROUP BY ALL)
+SELECT d.day, s.range AS slot, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT day FROM counts) d CROSS JOIN range(0, 24) s LEFT JOIN counts c ON c.day = d.day AND c.slot = s.range""",
     "minute_grid": f"""
 WITH {_LINES}, counts AS (SELECT trade_date AS day, CAST((ts_us % 86400000000) // 3600000000 AS BIGINT) AS slot, count(*) AS n FROM lines GROUP BY ALL)
 SELECT d.day, s.range AS slot, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT day FROM counts) d CROSS JOIN range(7, 24) s LEFT JOIN counts c ON c.day = d.day AND c.slot = s.range""",
@@ -407,7 +418,7 @@ QUERIES = {f"observable_{name}": _observable(name) for name in POLICIES} | {
     f.__name__: f
     for f in (
         leakage_audit, leakage_audit_clean, invariant_report, observable_tokens, token_parity, vocabulary, vocabulary_layout, tokens_alive, vocabulary_encode, gap_buckets, size_dealer_buckets, token_blocks,
-        package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, tape_stretches, training_mixture, fixed_contexts, anchor_predictions, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
+        package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, tape_stretches, training_mixture, fixed_contexts, anchor_predictions, hour_grid, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
         drift_budget, activity_level, validation_battery, token_counts, token_gini,
     )
 }
