@@ -29,6 +29,29 @@ def test_draws_follow_their_weights(spark):
     assert abs(mean) < 0.03 and abs(std - 1) < 0.03 and abs(corr) < 0.03
 
 
+def test_poisson_counts_have_no_greatest_value(spark):
+    u = R.uniform(R.philox(F.col("id"), 3)[0])
+    for mean in (0.5, 40.0, 174.0, 300.0, 2_000.0, 1_000_000.0):
+        rows = 1_000 if mean > 10_000 else 4_000
+        got = spark.range(rows).select(R.poisson(u, F.lit(mean)).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
+        assert abs(got[0] - mean) < 5 * math.sqrt(mean / rows) and abs(got[1] / mean - 1) < 0.25
+    edges = spark.createDataFrame([(0.0, 0.3), (None, 0.3), (3.0, None), (-1.0, 0.3), (math.inf, 0.3), (math.nan, 0.3), (3.0, 1 - 2.0**-33), (3.0, 2.0**-33)], "m double, u double")
+    assert [r[0] for r in edges.select(R.poisson(F.col("u"), F.col("m"))).collect()] == [0, None, None, None, None, None, 19, 0]  # 1 - cdf(18) = 5e-10 and 1 - cdf(19) = 8e-11
+
+
+def test_poisson_counts_equal_the_inverse_distribution(spark):
+    rows = [(m, (i + 0.5) / 50) for m in (3.0, 64.0, 700.0, 900.0) for i in range(50)]
+    want = []
+    for m, u in rows:
+        k, cdf = 0, math.exp(-m)
+        while u > cdf:
+            k += 1
+            cdf += math.exp(k * math.log(m) - m - math.lgamma(k + 1))
+        want.append(k)
+    df = spark.createDataFrame(rows, "m double, u double").coalesce(1)
+    assert [r[0] for r in df.select(R.poisson(F.col("u"), F.col("m"))).collect()] == want
+
+
 def test_partition_and_softmax_draw(spark):
     rows = [(1, i, math.log(w), i != 3) for i, w in enumerate((1, 2, 3, 99, 4))] + [(2, 0, 0.0, False), (3, 0, None, True)]
     df = spark.createDataFrame(rows, "g long, c long, logit double, ok boolean")

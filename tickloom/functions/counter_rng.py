@@ -59,13 +59,27 @@ def categorical(u: Column, weights: Column) -> Column:
     return F.when(running["t"] > 0, F.size(F.filter(running["c"], lambda c: c < u * running["t"]))).when(weights.isNotNull(), -1)
 
 
-def poisson(u: Column, mean: Column, most: int = 64) -> Column:
-    """A Poisson count by inverse distribution from one uniform number, at most ``most``; 0 for a mean of 0, null for null."""
+def poisson(u: Column, mean: Column) -> Column:
+    """A Poisson count by inverse distribution from one uniform number; 0 for a mean of 0, null for a null, negative or infinite mean.
+
+    Terms are taken relative to the first one and divided by their sum, so that
+    none underflows. They span 12 standard deviations and 64 about the mean;
+    what lies beyond has less than e^-70 of the distribution, while a number
+    made of a 32-bit word is at least 2^-33 from 0 and 1.
+    """
+    m = mean.cast("double")
+    spread = 12 * F.sqrt(m) + 64
+    low = F.greatest(F.floor(m - spread).cast("long"), _lit(0))
+    rest = F.sequence(low + 1, F.ceil(m + spread).cast("long"))
+
+    def total(state: Column, k: Column) -> Column:
+        term = state["term"] * m / k
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
 
     def add(state: Column, k: Column) -> Column:
-        term = state["term"] * mean / k
-        return F.struct(term.alias("term"), (state["cdf"] + term).alias("cdf"), (state["n"] + (u > state["cdf"]).cast("int")).alias("n"))
+        term = state["term"] * m / k
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"), state["at"].alias("at"), (state["n"] + (state["at"] > state["sum"]).cast("long")).alias("n"))
 
-    first = F.exp(-mean.cast("double"))
-    start = F.struct(first.alias("term"), first.alias("cdf"), F.lit(0).alias("n"))
-    return F.when(mean.isNotNull() & u.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, add)["n"])
+    one = F.lit(1.0)
+    at = u * F.aggregate(rest, F.struct(one.alias("term"), one.alias("sum")), total)["sum"]
+    return F.when(u.isNotNull() & (m >= 0) & (m < float("inf")), F.aggregate(rest, F.struct(one.alias("term"), one.alias("sum"), at.alias("at"), low.alias("n")), add)["n"])
