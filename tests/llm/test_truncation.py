@@ -53,6 +53,26 @@ def test_nulls_empty_and_repeated(spark):
     assert set(ids) == cut | {1000} and ids.count(twice[0]) == 2
 
 
+def test_texts_without_a_source_are_held_against_all_limits(spark):
+    docs, cut = corpus()
+    whole = page(random.Random(9), 40).replace("\n", " ")
+    closed = whole[:598].rsplit(" ", 1)[0].rstrip(".")
+    more = [
+        (1000, None, whole[:592] + " xqzt..."), (1001, None, whole[:594] + " xqzt…"), (1002, None, whole[:596] + " 17%"), (1003, None, whole[:599] + ","),
+        (1004, None, closed + "m" * (599 - len(closed)) + "."), (1005, None, closed + "m" * (598 - len(closed)) + ".»"), (1006, None, closed + " 17%"),
+    ]
+    assert [len(t) for _, _, t in more[:6]] == [600] * 6 and len(more[6][2]) != 600
+    _, out = found(spark, docs + more)
+    assert {r["doc_id"]: r["evidence"] for r in out.where("doc_id >= 1000").collect()} == {i: "limit" for i in (1000, 1001, 1002, 1003)}
+
+
+def test_a_broken_word_before_an_ellipsis_is_found(spark):
+    docs, cut = corpus()
+    more = [(1000 + i, s, docs[1][2] + end) for i, (s, end) in enumerate([("free", " doub..."), (None, " doub…"), ("free", " doubtful..."), (None, " xqzt..."), (None, " 17...")])]
+    _, out = found(spark, docs + more)
+    assert {r["doc_id"]: r["evidence"] for r in out.where("doc_id >= 1000").collect()} == {1000: "word", 1001: "word"}
+
+
 def test_no_documents(spark):
     df, out = found(spark, [])
     assert out.count() == 0 and truncation_rates(df, out, "source").count() == 0

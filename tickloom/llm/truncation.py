@@ -1,8 +1,10 @@
 """Texts cut off by a field's limit or in transfer.
 
 Evidence of length: a source's texts pile up at a greatest length, in
-characters or in bytes. Evidence of the ending: the last token is an unknown
-proper prefix of known words, by a trie of the corpus's vocabulary, or the text
+characters or in bytes. A text without a source is held against the lengths of
+all sources and must also end without an end mark or in an ellipsis. Evidence
+of the ending: the last token, before an ellipsis too, is an unknown proper
+prefix of known words, by a trie of the corpus's vocabulary, or the text
 stops in a sentence: without an end mark and not on a line that pages end with
 (a signature, an imprint, a page reference, an ornament), whose shapes are
 learned too.
@@ -81,31 +83,34 @@ def text_tails(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
         .when(F.col("last2").rlike(r"\p{L}-$"), "hyphen")
         .when(F.col("last2").rlike(r"\p{L}$"), "letter")
         .when(F.col("last2").rlike(r"[,;:(\[&“„«]$"), "open")
-        .otherwise("closed")
+        .when(F.col("last2").rlike(r"(\.\.|…)$"), "dots")
+        .when(F.col("last2").rlike(r"[.!?][^\p{L}\p{N}]?$"), "closed")
+        .otherwise("other")
     )
     letter = F.col("ending") == "letter"
-    return rows.withColumn("ending", ending).select(
-        "doc_id", "source", "chars", "bytes", "ending",
-        F.when(letter, F.lower(F.regexp_extract("line", r"(\p{L}+)$", 1))).alias("token"), F.when(letter, _shape(F.col("line"))).alias("shape"),
-    )
+    token = F.when(letter, F.regexp_extract("line", r"(\p{L}+)$", 1)).when(F.col("ending") == "dots", F.regexp_extract("line", r"(\p{L}+)(?:\.\.\.|…)$", 1))
+    return rows.withColumn("ending", ending).select("doc_id", "source", "chars", "bytes", "ending", F.lower(token).alias("token"), F.when(letter, _shape(F.col("line"))).alias("shape"))
 
 
 def truncated(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     """``doc_id, source, evidence`` of every document whose text was cut; evidence is limit, broken, word or sentence.
 
-    A null text or one of white space only is no cut text. A null source is a
-    source of its own, with no limit. Repeated documents come out as often as
-    they occur, each judged by itself. Trailing white space alone is no
+    A null text or one of white space only is no cut text. A text with a null
+    source may stand at any source's limit, but that counts only if it does not
+    close with an end mark. Repeated documents come out as often as they occur,
+    each judged by itself. Trailing white space or an ellipsis alone is no
     evidence. No documents give no rows. Other columns are not read.
     """
     tails = materialise(text_tails(df, doc_id, source, text), "tails")
-    limits = length_limits(tails.where("source IS NOT NULL AND ending <> 'empty'")).groupBy("source").agg(
+    tops = length_limits(tails.where("source IS NOT NULL AND ending <> 'empty'"))
+    # The null source has the limits of all.
+    limits = tops.withColumn("limited", F.explode(F.array("source", F.lit(None).cast(tops.schema["source"].dataType)))).groupBy("limited").agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("top"))).alias("char_tops"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("top"))).alias("byte_tops")
     )
-    at = F.array_contains("char_tops", F.col("chars")) | F.array_contains("byte_tops", F.col("bytes"))
-    rated = tails.where("ending <> 'empty'").join(limits, "source", "left").withColumn("at_limit", F.coalesce(at, F.lit(False)))
+    at = (F.array_contains("char_tops", F.col("chars")) | F.array_contains("byte_tops", F.col("bytes"))) & (F.col("source").isNotNull() | (F.col("ending") != "closed"))
+    rated = tails.where("ending <> 'empty'").join(limits, F.col("source").eqNullSafe(F.col("limited")), "left").withColumn("at_limit", F.coalesce(at, F.lit(False)))
     plain = rated.where("at_limit OR ending IN ('broken', 'hyphen', 'open')").select("doc_id", "source", F.when(F.col("at_limit"), "limit").when(F.col("ending") == "broken", "broken").otherwise("sentence").alias("evidence"))
-    open_ = rated.where("NOT at_limit AND ending = 'letter'")
+    open_ = rated.where("NOT at_limit AND ending IN ('letter', 'dots')")
     often = max(SHAPE_LEAST, SHAPE_SHARE * tails.count())
     closing = open_.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("shape").rlike(r"[^aA\s]") & (F.col("n") >= often)).select("shape", F.lit(True).alias("closes"))
     nodes = trie(vocabulary(F.col(text), df.where(F.col(text).isNotNull())).where(F.col("n") >= KNOWN_FROM).select("word"))
