@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom import queries_tape
 from tickloom.operators import classes as C
 from tickloom.operators import dictionary as D
 from tickloom.operators import disclosure as P
@@ -91,6 +92,14 @@ def test_sentences(spark):
     assert {r["n_clients"] for r in sentences(rows.withColumn("client_id", F.col("event_id"))).where("package_id = 2").collect()} == {2}
 
 
+def test_multi_author_packages_gather_no_group(spark, tmp_path):
+    changes = {"instrument_id_1": 100, "client_id_1": 8, "instrument_id_2": 100, "instrument_id_4": None, "instrument_id_5": None, "client_id_5": 9}
+    tape(spark, **changes).write.parquet(f"{tmp_path}/rfq_lines.parquet")
+    out = queries_tape.multi_author_packages(spark, str(tmp_path))
+    assert {r["instrument_id"]: (r["n_clients"], r["n_lines"]) for r in out.collect()} == {100: (2, 3), None: (2, 2)}
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_pair_counts_by_hand(spark):
     rows = [(t, c, date(2026, 1, 5), i, i) for i, (t, c) in enumerate(zip([1, 2, 3, 1, 2, 2], [7, 7, 8, 7, 7, 7]))]
     df = spark.createDataFrame(rows, "token_id long, client_id long, trade_date date, ts_us long, event_id long")

@@ -127,8 +127,8 @@ def package_sentences(spark: SparkSession, root: str) -> DataFrame:
 
 def multi_author_packages(spark: SparkSession, root: str) -> DataFrame:
     """Packages with more than one client, here taken by instrument to have some."""
-    out = sentences(_lines(spark, root).withColumn("package_id", F.col("instrument_id")))
-    return out.where("n_clients > 1").select(F.col("package_id").alias("instrument_id"), "n_clients", F.size("tokens").cast("long").alias("n_lines"))
+    out = _lines(spark, root).groupBy("instrument_id").agg(F.count_distinct("client_id").alias("n_clients"), F.count(F.lit(1)).alias("n_lines"))
+    return out.where("n_clients > 1")
 
 
 def line_packages(spark: SparkSession, root: str) -> DataFrame:
