@@ -4,6 +4,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
+from tickloom import queries_vectors
 from tickloom.functions import counter_rng as R
 from tickloom.functions import vectors as V
 from tickloom.operators import choice as C
@@ -11,6 +12,7 @@ from tickloom.operators import grid as G
 from tickloom.operators import recovery as M
 from tickloom.operators import summary as S
 from tickloom.sources import layout as L
+from tickloom.streaming import tape as T
 
 
 def test_generator_gives_the_published_words(spark):
@@ -153,6 +155,29 @@ def test_layout_round_trip_and_tampering(spark, tmp_path):
     assert [r["problem"] for r in L.mismatches(recorded, L.inventory(spark, path)).collect()] == ["missing"]
 
 
+def test_streams_hold_a_day_of_a_key_at_a_time(spark, tmp_path, monkeypatch):
+    day = 86_400_000_000
+    rows = [(i, 1 if i % 3 else 2, (i * 7919 % 400) * day // 100) for i in range(300)] + [(900, 3, -5), (901, None, 5), (902, 1, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, us long").select("event_id", "user_id", F.timestamp_micros("us").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    widest = []
+    drained = T.drained
+
+    def watched(stream, mode):
+        out = drained(stream, mode)
+        widest.append((out.columns, out.groupBy("key", "day").count().agg(F.max("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(T, "drained", watched)
+    gaps, blocks = {}, {}
+    for user in (1, 2, 3):
+        order = sorted((us, i) for i, u, us in rows if u == user and us is not None)
+        for k, (us, i) in enumerate(order):
+            gaps[i], blocks[i] = us - order[k - 1][0] if k else None, k // 64
+    assert {r["event_id"]: r["gap_us"] for r in queries_vectors.stream_gaps(spark, str(tmp_path)).collect()} == gaps
+    assert {r["event_id"]: r["block"] for r in queries_vectors.stream_blocks(spark, str(tmp_path)).collect()} == blocks
+    assert len(widest) == 2 and all(n <= 60 for _, n in widest)
+
+
 def test_event_ids(spark):
     row = spark.range(1).select(L.event_id(F.lit(5), F.lit(77)).alias("i")).select("i", L.shard_of(F.col("i")), L.counter_of(F.col("i"))).first()
     assert tuple(row) == ((5 << 48) + 77, 5, 77)

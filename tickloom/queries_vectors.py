@@ -211,13 +211,13 @@ def layout_mismatches(spark: SparkSession, root: str) -> DataFrame:
 
 def stream_gaps(spark: SparkSession, root: str) -> DataFrame:
     """Gaps between a user's events, from a stream with state."""
-    out = T.drained(T.gaps(T.stream_table(spark, root, "events"), "user_id", "ts", "event_id"), "append")
+    out = T.gaps(T.drained(T.day_gaps(T.stream_table(spark, root, "events"), "user_id", "ts", "event_id"), "append"))
     return out.select(F.col("key").alias("user_id"), F.col("item").alias("event_id"), "gap_us")
 
 
 def stream_blocks(spark: SparkSession, root: str) -> DataFrame:
     """A user's events in blocks of 64, from a stream with state."""
-    out = T.drained(T.blocks(T.stream_table(spark, root, "events"), "user_id", "ts", "event_id", 64), "append")
+    out = T.blocks(T.drained(T.day_places(T.stream_table(spark, root, "events"), "user_id", "ts", "event_id"), "append"), 64)
     return out.select(F.col("key").alias("user_id"), F.col("item").alias("event_id"), "block")
 
 

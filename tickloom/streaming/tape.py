@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
@@ -38,8 +39,16 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
-def gaps(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
-    """``key, item, gap_us``: microseconds since the key's previous event, null for its first; the last time is kept as state."""
+def _by_day(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
+    rows = events.select(F.col(key).alias("key"), F.col(item).alias("item"), F.unix_micros(ts).alias("us")).where("key IS NOT NULL AND us IS NOT NULL")
+    return rows.withColumn("day", F.floor(F.col("us") / 86_400_000_000).cast("long"))
+
+
+def day_gaps(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
+    """``key, day, item, us, gap_us``: microseconds since the key's previous event of the day, null for its first; the last time is kept as state.
+
+    A micro-batch may be the whole table, so a group is a day of a key and never all of it; ``gaps`` joins the days.
+    """
 
     def step(name: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -48,23 +57,38 @@ def gaps(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
         if last is not None and len(rows):
             before.iloc[0] = last
         state.update((int(rows["us"].iloc[-1]),))
-        yield pd.DataFrame({"key": name[0], "item": rows["item"], "gap_us": rows["us"] - before})
+        yield pd.DataFrame({"key": name[0], "day": name[1], "item": rows["item"], "us": rows["us"], "gap_us": rows["us"] - before})
 
-    rows = events.select(F.col(key).alias("key"), F.col(item).alias("item"), F.unix_micros(ts).alias("us")).where("key IS NOT NULL AND us IS NOT NULL")
-    return rows.groupBy("key").applyInPandasWithState(step, "key long, item long, gap_us long", "last long", "append", "NoTimeout")
+    return _by_day(events, key, ts, item).groupBy("key", "day").applyInPandasWithState(step, "key long, day long, item long, us long, gap_us long", "last long", "append", "NoTimeout")
 
 
-def blocks(events: DataFrame, key: str, ts: str, item: str, size: int) -> DataFrame:
-    """``key, item, block``: each key's events in blocks of ``size`` in the order they come; how many came is kept as state."""
+def gaps(drained_days: DataFrame) -> DataFrame:
+    """``key, item, gap_us``: microseconds since the key's previous event, null for its first, from what ``day_gaps`` wrote.
+
+    A day's first event looks at the last one of the days before, of which there is one row per key and day.
+    """
+    lasts = drained_days.groupBy("key", "day").agg(F.max("us").alias("last"))
+    before = lasts.select("key", "day", F.lag("last").over(W.partitionBy("key").orderBy("day")).alias("before"))
+    return drained_days.join(before, ["key", "day"], "left").select("key", "item", F.coalesce("gap_us", F.col("us") - F.col("before")).alias("gap_us"))
+
+
+def day_places(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
+    """``key, day, item, place``: each event's number, from 0, within its key's day in the order they come; how many came is kept as state."""
 
     def step(name: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(["us", "item"])
         state.update((seen + len(rows),))
-        yield pd.DataFrame({"key": name[0], "item": rows["item"], "block": [(seen + i) // size for i in range(len(rows))]})
+        yield pd.DataFrame({"key": name[0], "day": name[1], "item": rows["item"], "place": range(seen, seen + len(rows))})
 
-    rows = events.select(F.col(key).alias("key"), F.col(item).alias("item"), F.unix_micros(ts).alias("us")).where("key IS NOT NULL AND us IS NOT NULL")
-    return rows.groupBy("key").applyInPandasWithState(step, "key long, item long, block long", "seen long", "append", "NoTimeout")
+    return _by_day(events, key, ts, item).groupBy("key", "day").applyInPandasWithState(step, "key long, day long, item long, place long", "seen long", "append", "NoTimeout")
+
+
+def blocks(drained_days: DataFrame, size: int) -> DataFrame:
+    """``key, item, block``: each key's events in blocks of ``size``, from what ``day_places`` wrote and the counts of the days before."""
+    counts = drained_days.groupBy("key", "day").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("key", "day", F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return drained_days.join(before, ["key", "day"], "left").select("key", "item", F.floor((F.col("before") + F.col("place")) / size).cast("long").alias("block"))
 
 
 def windowed(events: DataFrame, ts: str, window: str, late: str, *by: str) -> DataFrame:
