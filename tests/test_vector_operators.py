@@ -138,6 +138,18 @@ def test_grid_counts_keep_lines_outside_the_frame(spark):
     assert got == [(1, 3, 2), (1, 7, 0), (1, 8, 1), (1, 9, 0), (2, 7, 0), (2, 8, 0), (2, 9, 0), (2, 25, 1)]
 
 
+def test_levels_of_a_long_tape_equal_the_recursion(spark):
+    days = [*range(0, 2500, 7), 9000, 9001]
+    df = spark.createDataFrame([(k, d, float(1 + d % 5)) for k in (1, 2) for d in days], "k long, d int, x double").withColumn("day", F.date_add(F.lit("2000-01-01").cast("date"), F.col("d")))
+    for phi in (0.5, 0.999, 0.01):
+        want, level, last = [], 0.0, 0
+        for d in days:
+            level, last = level * phi ** (d - last) + 1 + d % 5, d
+            want.append(level)
+        got = [r["level"] for r in G.decayed_level(df, "k", F.col("day"), F.col("x"), phi).where("k = 2").orderBy("day").collect()]
+        assert np.allclose(got, want, rtol=1e-9, atol=0)
+
+
 def test_layout_round_trip_and_tampering(spark, tmp_path):
     df = spark.createDataFrame([(i, f"2026-0{1 + i % 2}-10") for i in range(7)], "event_id long, day string").withColumn("day", F.to_date("day"))
     path = str(tmp_path / "tape")

@@ -86,11 +86,19 @@ def decayed_level(rows: DataFrame, key: str, day: Column, value: Column, phi: fl
     """``key, day, level``: the recursion level(t) = phi level(t-1) + value(t) over days, in closed form.
 
     Days are first summed per key, so that the sum of phi^(t-s) value(s) is a
-    running sum of value(s) phi^-s over at most one row per day; s counts from
-    each key's first day.
+    running sum of value(s) phi^-s over at most one row per day. s counts from
+    the start of a stretch of days, short enough that phi^-s stays below 10^200;
+    a stretch's level at its end goes on to later ones, one row per key and stretch.
     """
     daily = rows.select(F.col(key).alias("key"), F.datediff(day, F.lit("1970-01-01")).alias("t"), value.cast("double").alias("x")).where("key IS NOT NULL AND t IS NOT NULL").groupBy("key", "t").agg(F.sum("x").alias("x"))
-    whole = W.partitionBy("key")
-    s = (F.col("t") - F.min("t").over(whole)).cast("double")
-    run = F.sum(F.col("x") * F.pow(F.lit(phi), -F.col("s"))).over(whole.orderBy("t").rowsBetween(W.unboundedPreceding, 0))
-    return daily.withColumn("s", s).select(F.col("key").alias(key), F.date_add(F.lit("1970-01-01").cast("date"), F.col("t")).alias("day"), (run * F.pow(F.lit(phi), F.col("s"))).alias("level"))
+    length = 100_000 if phi == 1 else max(1, min(100_000, int(200 * math.log(10) / abs(math.log(phi)))))
+    since = F.col("t") - F.min("t").over(W.partitionBy("key"))
+    placed = daily.withColumn("since", since).withColumn("stretch", F.floor(F.col("since") / length)).withColumn("s", (F.col("since") - F.col("stretch") * length).cast("double"))
+    power = lambda n: F.pow(F.lit(phi), n)
+    run = F.sum(F.col("x") * power(-F.col("s"))).over(W.partitionBy("key", "stretch").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
+    ends = placed.groupBy("key", "stretch").agg(F.sum(F.col("x") * power(length - F.col("s"))).alias("end"))
+    earlier = F.collect_list(F.struct("stretch", "end")).over(W.partitionBy("key").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
+    carry = F.aggregate(earlier, F.lit(0.0), lambda a, e: a + e["end"] * power(((F.col("stretch") - e["stretch"] - 1) * length).cast("double")))
+    carried = ends.select("key", "stretch", carry.alias("carry"))
+    level = (F.col("run") + F.col("carry")) * power(F.col("s"))
+    return placed.withColumn("run", run).join(carried, ["key", "stretch"]).select(F.col("key").alias(key), F.date_add(F.lit("1970-01-01").cast("date"), F.col("t")).alias("day"), level.alias("level"))
