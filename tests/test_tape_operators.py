@@ -100,6 +100,12 @@ def test_multi_author_packages_gather_no_group(spark, tmp_path):
     assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
+def test_all_contexts_drop_no_token(spark, tmp_path):
+    spark.createDataFrame([(i, [1] * n) for i, n in enumerate((0, 1, 256, 257, 700))] + [(9, None)], "seq_id long, tokens array<int>").write.parquet(f"{tmp_path}/packed_corpus.parquet")
+    got = sorted((r["seq_id"], r["context_no"], r["n_kept"], r["input_sum"]) for r in queries_tape.all_contexts(spark, str(tmp_path)).collect())
+    assert got == [(i, k, n, n) for i, k, n in [(0, 0, 0), (1, 0, 1), (2, 0, 256), (3, 0, 256), (3, 1, 1), (4, 0, 256), (4, 1, 256), (4, 2, 188)]]
+
+
 def test_pair_counts_by_hand(spark):
     rows = [(t, c, date(2026, 1, 5), i, i) for i, (t, c) in enumerate(zip([1, 2, 3, 1, 2, 2], [7, 7, 8, 7, 7, 7]))]
     df = spark.createDataFrame(rows, "token_id long, client_id long, trade_date date, ts_us long, event_id long")

@@ -178,6 +178,16 @@ def fixed_contexts(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("seq_id", F.size("i").cast("long").alias("n_inputs"), F.least("n", F.lit(CONTEXT)).cast("long").alias("n_kept"), add("i").alias("input_sum"), add("l").alias("label_sum"))
 
 
+def all_contexts(spark: SparkSession, root: str) -> DataFrame:
+    """Written sequences in as many contexts as they fill, so that no token is dropped; the last one is padded."""
+    last = F.greatest(F.floor((F.size("tokens") - 1) / CONTEXT).cast("int"), F.lit(0))
+    parts = table(spark, root, "packed_corpus").where("tokens IS NOT NULL").select("seq_id", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    parts = parts.select("seq_id", "k", F.slice("tokens", F.col("k") * CONTEXT + 1, F.lit(CONTEXT)).alias("t"))
+    inputs, labels = fixed_context(F.col("t"), CONTEXT)
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    return parts.select("seq_id", F.col("k").cast("long").alias("context_no"), F.size("t").cast("long").alias("n_kept"), add(inputs).alias("input_sum"), add(labels).alias("label_sum"))
+
+
 def anchor_predictions(spark: SparkSession, root: str) -> DataFrame:
     """Per written sequence: positions at which the next token is an anchor."""
     rows = table(spark, root, "packed_corpus").where("size(family) > 1").select("seq_id", anchor_positions(F.col("family")).alias("p"))
@@ -378,6 +388,9 @@ SELECT n.month_no, h.window_no, n.rn AS first_rank, n.end_rn - n.rn AS n_lines,
     "fixed_contexts": """
 SELECT seq_id, CAST(256 AS BIGINT) AS n_inputs, CAST(least(len(tokens), 256) AS BIGINT) AS n_kept, CAST(coalesce(list_sum(tokens[1:256]), 0) AS BIGINT) AS input_sum,
     CAST(coalesce(list_sum(tokens[1:256]), 0) - 100 * greatest(256 - len(tokens), 0) AS BIGINT) AS label_sum FROM packed_corpus WHERE tokens IS NOT NULL""",
+    "all_contexts": """
+WITH k AS (SELECT seq_id, tokens, unnest(range(greatest((len(tokens) - 1) // 256, 0) + 1)) AS k FROM packed_corpus WHERE tokens IS NOT NULL), t AS (SELECT seq_id, k, tokens[k * 256 + 1:k * 256 + 256] AS t FROM k)
+SELECT seq_id, k AS context_no, CAST(len(t) AS BIGINT) AS n_kept, CAST(coalesce(list_sum(t), 0) AS BIGINT) AS input_sum, CAST(coalesce(list_sum(t), 0) - 100 * (256 - len(t)) AS BIGINT) AS label_sum FROM t""",
     "anchor_predictions": """
 WITH p AS (SELECT seq_id, list_filter(range(len(family) - 1), lambda i: family[i + 2] = 3) AS p FROM packed_corpus WHERE len(family) > 1)
 SELECT seq_id, len(p) AS n_anchors, list_min(p) AS first_pos, list_max(p) AS last_pos FROM p""",
@@ -418,7 +431,7 @@ QUERIES = {f"observable_{name}": _observable(name) for name in POLICIES} | {
     f.__name__: f
     for f in (
         leakage_audit, leakage_audit_clean, invariant_report, observable_tokens, token_parity, vocabulary, vocabulary_layout, tokens_alive, vocabulary_encode, gap_buckets, size_dealer_buckets, token_blocks,
-        package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, tape_stretches, training_mixture, fixed_contexts, anchor_predictions, hour_grid, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
+        package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, tape_stretches, training_mixture, fixed_contexts, all_contexts, anchor_predictions, hour_grid, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
         drift_budget, activity_level, validation_battery, token_counts, token_gini,
     )
 }
