@@ -18,7 +18,9 @@ def corpus(seed=3, n=400):
         if i % 4 == 0:
             source, limit = "short", 600
             if len(text) > limit:
-                text, cut = text[:limit], cut | {i}
+                text = text[:limit]
+                if not text.endswith("."):  # a text that closes does not stop inside a sentence
+                    cut = cut | {i}
         elif i % 4 == 1:
             source = "free"
             text += rng.choice(["", "\nContinued on Page 4", "\n* * *", "\nH. Orchard", " ", "..."])
@@ -78,6 +80,37 @@ def test_no_documents(spark):
     assert out.count() == 0 and truncation_rates(df, out, "source").count() == 0
 
 
-def test_trie(spark):
-    nodes = {r["prefix"]: (r["is_word"], r["goes_on"]) for r in trie(spark.createDataFrame([("ab",), ("abc",), ("b",)], "word string")).collect()}
-    assert nodes == {"a": (False, True), "ab": (True, True), "abc": (True, False), "b": (True, False)}
+def test_trie_has_the_nodes_that_tokens_lead_to(spark):
+    words = spark.createDataFrame([("ab",), ("abc",), ("b",), ("z" * 30_000,)], "word string")
+    nodes = lambda *tokens: {r["prefix"]: (r["is_word"], r["goes_on"]) for r in trie(words, spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    assert nodes("a", "ab", "abc", "b", "b", None, "abcd", "x") == {"a": (False, True), "ab": (True, True), "abc": (True, False), "b": (True, False)}
+    assert nodes("zz") == {"zz": (False, True)}
+    assert nodes() == {}
+
+
+def test_the_trie_decides(spark):
+    docs, cut = corpus()
+    df, _ = found(spark, docs)
+    wire = {i for i in cut if i % 4 == 2}
+    without = {r["doc_id"] for r in truncated(df, "doc_id", "source", "text", known_from=10**9).collect()}
+    assert wire and cut - without == wire
+    more = [(1000, "wire", docs[2][2] + " widow"), (1001, "wire", docs[2][2] + " Xqztal"), (1002, "wire", docs[2][2] + " consid"), (1003, "wire", docs[2][2] + "\nH. Orch")]
+    _, out = found(spark, docs + more)
+    assert {r["doc_id"]: r["evidence"] for r in out.where("doc_id >= 1000").collect()} == {1000: "sentence", 1002: "word", 1003: "word"}
+
+
+def test_a_text_that_closes_at_the_limit_is_whole(spark):
+    docs, cut = corpus()
+    text = docs[min(cut)][2][:590].rstrip()
+    more = [(1000, "short", text + "m" * (599 - len(text)) + "."), (1001, "short", text + "m" * (600 - len(text)))]
+    _, out = found(spark, docs + more)
+    assert {r["doc_id"] for r in out.where("doc_id >= 1000").collect()} == {1001}
+
+
+def test_long_lines_are_read_whole(spark):
+    docs, _ = corpus()
+    line = " ".join(WORDS * 200)
+    runs = ["A" * 200_000 + "b", "a" * 200_000, "1" + " " * 200_000 + "x" * 200_000 + ".", "a9" * 100_000 + " "]
+    more = [(1000, "wire", "H. " + line), (1001, "wire", line + " consid"), *((2000 + i, "wire", t) for i, t in enumerate(runs))]
+    _, out = found(spark, docs + more)
+    assert {r["doc_id"]: r["evidence"] for r in out.where("doc_id >= 1000").collect()} == {1000: "sentence", 1001: "word"}

@@ -1,17 +1,20 @@
 """Texts cut off by a field's limit or in transfer.
 
-Evidence of length: a source's texts pile up at a greatest length, in
-characters or in bytes. A text without a source is held against the lengths of
-all sources and must also end without an end mark or in an ellipsis. Evidence
-of the ending: the last token, before an ellipsis too, is an unknown proper
-prefix of known words, by a trie of the corpus's vocabulary, or the text
-stops in a sentence: without an end mark and not on a line that pages end with
-(a signature, an imprint, a page reference, an ornament), whose shapes are
-learned too.
+Two kinds of evidence are combined. Of length: a source's texts pile up at a
+greatest length, in characters or in bytes; a text that stands there and does
+not close with an end mark was cut. A text without a source is held against the
+lengths of all sources. Of the ending, for the others: a trie of the corpus's
+vocabulary says of the last token, before an ellipsis too, whether it is an
+unknown proper prefix of known words (the text stops inside a word), a known
+word (it stops in a sentence, unless the line is of a shape that pages end with,
+such as a signature, which is learned too) or neither, such as a name nobody
+else uses, which is no evidence. A text may also stop at a hyphen, an opening
+mark or half a character.
 
 The trie is a table with one row per node, keyed by the node's prefix, that
-knows whether its prefix is a word and whether words go on below; looking tokens
-up is a join, so neither vocabulary nor documents meet in one place.
+knows whether its prefix is a word and whether words go on below; only the
+nodes that final tokens lead to are made. Looking tokens up is a join, so
+neither vocabulary nor documents meet in one place.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.storage import materialise
 
+BLANKS = " \t\n\u000b\f\r"
 BROKEN = "\u0001"  # stands where a word was broken at a line's end
 #: Occurrences, other than as a text's last token, from which a word counts as known.
 KNOWN_FROM = 3
@@ -31,16 +35,23 @@ SHAPE_SHARE, SHAPE_LEAST = 0.002, 3
 
 def vocabulary(texts: Column, df: DataFrame) -> DataFrame:
     """``word, n``: lower-case words of whole texts, without each text's last token and words broken at line ends."""
-    joined = F.replace(F.regexp_replace(texts, r"[-\s]+$", ""), F.lit("-\n"), F.lit(BROKEN))
+    joined = F.replace(F.rtrim(texts, F.lit("-" + BLANKS)), F.lit("-\n"), F.lit(BROKEN))
     words = F.split(F.lower(joined), rf"[^\p{{L}}{BROKEN}]+")
     words = df.select(F.explode(F.slice(words, 1, F.size(words) - 1)).alias("word")).where((F.col("word") != "") & ~F.contains("word", F.lit(BROKEN)))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def trie(words: DataFrame) -> DataFrame:
-    """``prefix, is_word, goes_on``: the nodes of the trie of ``word``."""
-    nodes = words.select(F.explode(F.expr("transform(sequence(1, length(word)), i -> struct(left(word, i) AS prefix, i = length(word) AS ends))")).alias("x"))
-    return nodes.groupBy("x.prefix").agg(F.max("x.ends").alias("is_word"), F.max(~F.col("x.ends")).alias("goes_on"))
+def trie(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``prefix, is_word, goes_on``: the nodes of the trie of ``word`` that a ``token`` leads to.
+
+    Of each word only prefixes as long as some token are made (the distinct
+    lengths of tokens pass through the driver), so that an endless run of
+    letters in the vocabulary does not multiply.
+    """
+    asked = tokens.where("token IS NOT NULL").select(F.col("token").alias("prefix")).distinct()
+    lengths = sorted(r["n"] for r in asked.select(F.length("prefix").alias("n")).distinct().collect())
+    nodes = words.select("word", F.explode(F.lit(lengths).cast("array<int>")).alias("n")).where(F.col("n") <= F.length("word")).select(F.expr("left(word, n)").alias("prefix"), (F.col("n") == F.length("word")).alias("ends"))
+    return nodes.join(asked, "prefix", "left_semi").groupBy("prefix").agg(F.max("ends").alias("is_word"), F.max(~F.col("ends")).alias("goes_on"))
 
 
 def length_limits(tails: DataFrame) -> DataFrame:
@@ -64,19 +75,19 @@ def length_limits(tails: DataFrame) -> DataFrame:
 
 def _shape(line: Column) -> Column:
     """Tokens with a digit become 9, single capitals I, words in capitals AA, other words A or a; marks stay."""
-    line = F.regexp_replace(line, r"[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*", "9")
+    line = F.regexp_replace(line, r"(?<![\p{L}\p{N}])\p{L}*+\p{N}[\p{L}\p{N}]*+", "9")  # each run of letters is read once
     line = F.regexp_replace(line, r"(?<!\p{L})\p{Lu}(?![\p{L}\p{N}])", "\u0001")
-    line = F.regexp_replace(line, r"\p{Lu}{2,}(?!\p{L})", "\u0002")
-    line = F.regexp_replace(line, r"\p{Lu}\p{L}+", "\u0003")
-    line = F.regexp_replace(line, r"\p{L}+", "a")
+    line = F.regexp_replace(line, r"(?<!\p{L})\p{Lu}{2,}+(?!\p{L})", "\u0002")
+    line = F.regexp_replace(line, r"\p{Lu}\p{L}++", "\u0003")
+    line = F.regexp_replace(line, r"\p{L}++", "a")
     return F.translate(line, "\u0001\u0002\u0003", "IHA")
 
 
 def text_tails(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    """What the decision needs of each text: ``doc_id, source, chars, bytes, ending, token, shape, spaced``."""
+    """What the decision needs of each text: ``doc_id, source, chars, bytes, ending, token, shape``."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where("text IS NOT NULL")
-    bare = F.regexp_replace("text", r"\s+$", "")
-    rows = rows.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.right(bare, F.lit(2)).alias("last2"), F.substring_index(F.right(bare, F.lit(400)), "\n", -1).alias("line"))
+    bare = F.rtrim("text", F.lit(BLANKS))
+    rows = rows.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.right(bare, F.lit(2)).alias("last2"), F.substring_index(bare, "\n", -1).alias("line"))
     ending = (
         F.when(F.col("last2") == "", "empty")
         .when(F.col("last2").rlike(r"�$"), "broken")
@@ -88,18 +99,21 @@ def text_tails(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
         .otherwise("other")
     )
     letter = F.col("ending") == "letter"
-    token = F.when(letter, F.regexp_extract("line", r"(\p{L}+)$", 1)).when(F.col("ending") == "dots", F.regexp_extract("line", r"(\p{L}+)(?:\.\.\.|…)$", 1))
-    return rows.withColumn("ending", ending).select("doc_id", "source", "chars", "bytes", "ending", F.lower(token).alias("token"), F.when(letter, _shape(F.col("line"))).alias("shape"))
+    token = F.when(letter, F.regexp_extract("line", r"(?<!\p{L})(\p{L}++)$", 1)).when(F.col("ending") == "dots", F.regexp_extract("line", r"(?<!\p{L})(\p{L}++)(?:\.\.\.|…)$", 1))
+    return rows.withColumn("ending", ending).select("doc_id", "source", "chars", "bytes", "ending", F.nullif(F.lower(token), F.lit("")).alias("token"), F.when(letter, _shape(F.col("line"))).alias("shape"))
 
 
-def truncated(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
+def truncated(df: DataFrame, doc_id: str, source: str, text: str, known_from: int = KNOWN_FROM) -> DataFrame:
     """``doc_id, source, evidence`` of every document whose text was cut; evidence is limit, broken, word or sentence.
 
-    A null text or one of white space only is no cut text. A text with a null
-    source may stand at any source's limit, but that counts only if it does not
-    close with an end mark. Repeated documents come out as often as they occur,
-    each judged by itself. Trailing white space or an ellipsis alone is no
-    evidence. No documents give no rows. Other columns are not read.
+    A null text or one of white space only is no cut text, nor is one that
+    closes with an end mark, wherever it stands. A text with a null source may
+    stand at any source's limit. A last token that is neither a word that
+    occurs ``known_from`` times elsewhere nor the beginning of one is no
+    evidence. Repeated documents come out as often as they occur, each judged
+    by itself. Trailing white space or an ellipsis alone is no evidence. No
+    documents give no rows. Whole lines are read, however long; other columns
+    are not.
     """
     tails = materialise(text_tails(df, doc_id, source, text), "tails")
     tops = length_limits(tails.where("source IS NOT NULL AND ending <> 'empty'"))
@@ -107,16 +121,18 @@ def truncated(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     limits = tops.withColumn("limited", F.explode(F.array("source", F.lit(None).cast(tops.schema["source"].dataType)))).groupBy("limited").agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("top"))).alias("char_tops"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("top"))).alias("byte_tops")
     )
-    at = (F.array_contains("char_tops", F.col("chars")) | F.array_contains("byte_tops", F.col("bytes"))) & (F.col("source").isNotNull() | (F.col("ending") != "closed"))
-    rated = tails.where("ending <> 'empty'").join(limits, F.col("source").eqNullSafe(F.col("limited")), "left").withColumn("at_limit", F.coalesce(at, F.lit(False)))
+    at = F.array_contains("char_tops", F.col("chars")) | F.array_contains("byte_tops", F.col("bytes"))
+    rated = tails.where("ending NOT IN ('empty', 'closed')").join(limits, F.col("source").eqNullSafe(F.col("limited")), "left").withColumn("at_limit", F.coalesce(at, F.lit(False)))
     plain = rated.where("at_limit OR ending IN ('broken', 'hyphen', 'open')").select("doc_id", "source", F.when(F.col("at_limit"), "limit").when(F.col("ending") == "broken", "broken").otherwise("sentence").alias("evidence"))
     open_ = rated.where("NOT at_limit AND ending IN ('letter', 'dots')")
     often = max(SHAPE_LEAST, SHAPE_SHARE * tails.count())
     closing = open_.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("shape").rlike(r"[^aA\s]") & (F.col("n") >= often)).select("shape", F.lit(True).alias("closes"))
-    nodes = trie(vocabulary(F.col(text), df.where(F.col(text).isNotNull())).where(F.col("n") >= KNOWN_FROM).select("word"))
-    judged = open_.join(nodes, F.col("token") == F.col("prefix"), "left").join(closing, "shape", "left")
-    inside_word = F.coalesce(F.col("goes_on") & ~F.col("is_word"), F.lit(False))
-    ended = judged.select("doc_id", "source", F.when(inside_word, "word").when(F.col("closes").isNull() & ~F.col("shape").rlike("^[HI9\\W]*H[HI9\\W]*$"), "sentence").alias("evidence"))
+    words = vocabulary(F.col(text), df.where(F.col(text).isNotNull())).where(F.col("n") >= known_from).select("word")
+    # Every final token is asked for, so that the trie does not wait for the limits.
+    nodes = trie(words, tails.where("ending IN ('letter', 'dots')"))
+    judged = open_.join(nodes, F.col("token") == F.col("prefix")).join(closing, "shape", "left")
+    heading = F.col("shape").rlike("^[HI9\\W]*H[HI9\\W]*$")
+    ended = judged.select("doc_id", "source", F.when(~F.col("is_word"), "word").when((F.col("ending") == "letter") & F.col("closes").isNull() & ~heading, "sentence").alias("evidence"))
     return plain.unionByName(ended.where("evidence IS NOT NULL"))
 
 
