@@ -3,15 +3,24 @@
 Unit vectors are projected onto a few Gaussian (2-stable) directions. The
 projected space is cut into cells by a kd-tree whose upper planes are fitted on
 a bounded sample; every vector is indexed in its cell, and each cell has its own
-kd-tree down to leaves. A query verifies leaves in the order of their projected
-distance, with exact cosines, until a chi-square test says that a vector nearer
-than the current k-th neighbour would, with probability ``CONFIDENCE``, have
-been met by then: the squared projected distance over the squared true distance
-follows a chi-square law with as many degrees of freedom as directions.
-
-First every cell searches itself, which bounds each query's k-th distance. A
-query then visits exactly the other cells whose box still fails the test.
-Equal vectors are searched once and share the result.
+kd-tree down to leaves. Along a direction, the squared projected distance over
+the squared true distance follows a chi-square law of one degree of freedom, and
+over all m directions one of m degrees. Two tests use this to stop:
+
+* Between cells: the chance that a neighbour at the distance of the current k-th
+  lies in a cell is the product over the directions of what the one-degree law
+  gives for the cell's interval. A query visits cells in the order of this
+  chance until the chance of all others together is below 1 - ``CONFIDENCE``.
+* Between the leaves of a cell, in the order of their projected distance, exact
+  cosines are verified until the m-degree law says that a nearer vector would,
+  with probability ``CONFIDENCE``, have been met by then.
+
+First every cell searches itself, which bounds each query's k-th distance; a
+least similarity that the caller asks for bounds it from the start. Then each
+query goes to the other cells it must visit, and each cell's index moves once
+for as many queries as one task takes. A pair at the asked similarity that
+either side finds counts for both. Equal vectors are searched once and share the
+result.
 """
 
 import math
@@ -20,21 +29,28 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.plans.storage import materialise
 
 DIRECTIONS = 8
-CONFIDENCE = 0.95
+CONFIDENCE = 0.99
 LEAF = 256
 BLOCK = 256  # queries that are verified together
 STEP = 8  # leaves that are verified at once
-SAMPLE = 10_000  # vectors, about, on which the cells' planes are fitted
-CELL_ROWS = (4_096, 65_536)  # least and most vectors of a cell
+SAMPLE = 20_000  # vectors, about, on which the cells' planes are fitted
+CELL_ROWS = (4_096, 65_536)  # least and most vectors of a cell, about
+CELLS = 1_024  # cells that are aimed at between these sizes
+VISITS = 4  # times a cell's rows: the queries that one task takes
 DIGITS = 12
 
-_FOUND = "rep long, ids array<long>, cosines array<double>"
+_Z = np.linspace(-9, 9, 8193)
+_BELOW = np.array([math.erfc(-z / math.sqrt(2)) / 2 for z in _Z])  # the one-degree law, by sign
+_ASSIGNED = "rep long, cell int, share int, v array<float>, asks boolean"
+_ROUTED = "rep long, target int, share int, v array<float>, bound double"
+_FOUND = "rep long, near long, cosine double"
 _FIRST = "rep long, cell int, v array<float>, bound double, ids array<long>, cosines array<double>"
 
 
@@ -108,6 +124,9 @@ def search(q: np.ndarray, bound: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
 
     Absent neighbours have the id -1 and the cosine -inf.
     """
+    out_ids, out = np.full((len(q), keep), -1, np.int64), np.full((len(q), keep), -np.inf)
+    if not len(q) or not len(x):
+        return out_ids, out
     r = directions(q.shape[1], m)
     qy, xy = q @ r, x @ r
     leaves = kd_leaves(xy, LEAF)
@@ -118,7 +137,6 @@ def search(q: np.ndarray, bound: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
     low, high = (np.array([f(xy[b:e], axis=0) for b, e in zip(begins, ends)]) for f in (np.min, np.max))
     x32 = x.astype(np.float32)
     reach = chi_square_quantile(confidence, m)
-    out_ids, out = np.full((len(q), keep), -1, np.int64), np.full((len(q), keep), -np.inf)
     for rows in kd_leaves(qy, BLOCK):
         y, own = qy[rows], q[rows]
         own32 = own.astype(np.float32)
@@ -232,54 +250,116 @@ def _smallest(keep: int):
     return run
 
 
-def _search_own(keep: int, m: int, confidence: float):
+def _salt(rep: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """A part below ``parts`` for each id."""
+    mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return (mixed % parts.astype(np.uint64)).astype(np.int64)
+
+
+class _Cells:
+    """The cells of a kd-tree; one that holds too many rows is kept as several parts with one box."""
+
+    def __init__(self, planes: list, cells: int, m: int) -> None:
+        self.planes, self.m = planes, m
+        self.low, self.high = _boxes(planes, cells, m)
+        self.parts = np.ones(cells, np.int64)
+
+    def divide(self, rows: dict[int, int], most: int) -> None:
+        self.parts = np.array([max(1, -(-rows.get(c, 0) // most)) for c in range(len(self.parts))])
+
+    def of(self, rep: np.ndarray, v: np.ndarray) -> np.ndarray:
+        base = _cell_of(_unit(v) @ directions(v.shape[1], self.m), self.planes)
+        return (np.cumsum(self.parts) - self.parts)[base] + _salt(rep, self.parts[base])
+
+    def visits(self, y: np.ndarray, cell: np.ndarray, bound: np.ndarray, confidence: float) -> np.ndarray:
+        """Which cells, other than their own, queries at projections ``y`` must visit."""
+        square = np.maximum(2 - 2 * np.maximum(bound, -1), 1e-12)
+        chance, away = np.ones((len(y), len(self.parts))), np.zeros((len(y), len(self.parts)))
+        for d in range(self.m):
+            edges, at = np.unique(np.r_[self.low[:, d], self.high[:, d]], return_inverse=True)
+            low, high = at[: len(self.parts)], at[len(self.parts) :]
+            offset = edges - y[:, d, None]
+            below = np.interp(offset / np.sqrt(square)[:, None], _Z, _BELOW)
+            chance *= below[:, high] - below[:, low]
+            away += np.maximum(0, np.maximum(offset[:, low], -offset[:, high])) ** 2
+        of = np.repeat(np.arange(len(self.parts)), self.parts)
+        each, chance = (chance / self.parts)[:, of], chance[:, of]
+        order = np.argsort(-chance, axis=1, kind="stable")
+        before = np.cumsum(np.take_along_axis(each, order, 1), axis=1) - np.take_along_axis(each, order, 1)
+        visit = np.zeros(chance.shape, bool)
+        np.put_along_axis(visit, order, before < confidence, 1)
+        visit &= away[:, of] <= chi_square_quantile(confidence, self.m) * square[:, None]
+        visit[np.arange(len(y)), cell] = False
+        return visit
+
+
+def _assign(cells: _Cells, shares: np.ndarray | None = None):
+    """(rep, v, asks) to their cells, as often as the cell has shares."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell = cells.of(batch.column(0).to_numpy(), _matrix(batch.column(1)))
+                times = np.ones(len(cell), np.int64) if shares is None else shares[cell]
+                row = np.repeat(np.arange(len(cell)), times)
+                share = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                taken = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(cell[row].astype(np.int32)), pa.array(share.astype(np.int32)), taken.column(1), taken.column(2)], ["rep", "cell", "share", "v", "asks"])
+
+    return run
+
+
+def _search_own(keep: int, m: int, confidence: float, floor: float):
     def run(table: pa.Table) -> pa.Table:
-        x, ids = _unit(_matrix(table["v"])), table["rep"].to_numpy()
-        found, cosines = search(x, np.full(len(x), -np.inf), x, ids, keep, m, confidence)
-        lists = _lists(found, cosines)
-        return pa.table([table["rep"], table["cell"], table["v"], pa.array(cosines[:, -1]), *lists], ["rep", "cell", "v", "bound", "ids", "cosines"])
+        x, ids, asks = _unit(_matrix(table["v"])), table["rep"].to_numpy(), table["asks"].to_numpy()
+        own = table.filter(table["asks"])
+        found, cosines = search(x[asks], np.full(int(asks.sum()), floor), x, ids, keep, m, confidence)
+        return pa.table([own["rep"], own["cell"], own["v"], pa.array(np.maximum(cosines[:, -1], floor)), *_lists(found, cosines)], ["rep", "cell", "v", "bound", "ids", "cosines"])
 
     return run
 
 
-def _route(planes: list, cells: int, m: int, confidence: float):
-    """Cells other than its own that a query must visit."""
-    low, high = _boxes(planes, cells, m)
-    reach = chi_square_quantile(confidence, m)
+def _route(cells: _Cells, confidence: float, shares: np.ndarray):
+    """Queries (rep, cell, v, bound) to the cells they must visit, and there to one of its shares."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, 1_000_000 // len(shares))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             v = _matrix(batch.column(2))
-            y = _unit(v) @ directions(v.shape[1], m)
-            away = np.zeros((len(y), cells))
-            for d in range(m):
-                away += np.maximum(0, np.maximum(low[:, d] - y[:, d, None], y[:, d, None] - high[:, d])) ** 2
-            cell, bound = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            visit = away <= reach * np.maximum(2 - 2 * bound, 1e-12)[:, None]
-            visit[np.arange(len(y)), cell] = False
+            visit = cells.visits(_unit(v) @ directions(v.shape[1], cells.m), batch.column(1).to_numpy(), batch.column(3).to_numpy(), confidence)
             row, target = np.nonzero(visit)
             taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(target.astype(np.int32)), taken.column(2), taken.column(3)], ["rep", "source", "target", "v", "bound"])
+            share = _salt(taken.column(0).to_numpy(), shares[target])
+            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(target.astype(np.int32)), pa.array(share.astype(np.int32)), taken.column(2), taken.column(3)], ["rep", "target", "share", "v", "bound"])
 
     return run
 
 
-def _search_other(keep: int, m: int, confidence: float):
+def _search_other(keep: int, m: int, confidence: float, mutual: bool):
     def run(queries: pa.Table, index: pa.Table) -> pa.Table:
         if not queries.num_rows or not index.num_rows:
-            ids, cosines = np.zeros((0, keep), np.int64), np.zeros((0, keep))
-            reps = pa.array([], pa.int64())
-        else:
-            reps = queries["rep"].combine_chunks()
-            ids, cosines = search(_unit(_matrix(queries["v"])), queries["bound"].to_numpy(), _unit(_matrix(index["v"])), index["rep"].to_numpy(), keep, m, confidence)
-        return pa.table([reps, *_lists(ids, cosines)], ["rep", "ids", "cosines"])
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["rep", "near", "cosine"])
+        reps = queries["rep"].to_numpy()
+        ids, cosines = search(_unit(_matrix(queries["v"])), queries["bound"].to_numpy(), _unit(_matrix(index["v"])), index["rep"].to_numpy(), keep, m, confidence)
+        i, j = np.nonzero(ids >= 0)
+        rep, near, cosine = reps[i], ids[i, j], cosines[i, j]
+        if mutual:
+            rep, near, cosine = np.r_[rep, near], np.r_[near, rep], np.r_[cosine, cosine]
+        return pa.table([pa.array(rep), pa.array(near), pa.array(cosine)], ["rep", "near", "cosine"])
 
     return run
 
 
-def nearest_neighbours(df: DataFrame, vec_id: str, v: str, k: int = 10, m: int = DIRECTIONS, confidence: float = CONFIDENCE) -> DataFrame:
+def _nearest(found: DataFrame, keep: int) -> DataFrame:
+    """``rep, found`` of (rep, near, cosine): the ``keep`` nearest, by one shuffle and ranks that stop at ``keep``."""
+    once = found.repartition("rep").groupBy("rep", "near").agg(F.max("cosine").alias("cosine"))
+    rank = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("cosine"), "near"))
+    return once.withColumn("_rank", rank).where(F.col("_rank") <= keep).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), F.col("near").alias("near")))).alias("found"))
+
+
+def nearest_neighbours(
+    df: DataFrame, vec_id: str, v: str, k: int = 10, m: int = DIRECTIONS, confidence: float = CONFIDENCE, at_least: float | None = None, queries: Column | None = None
+) -> DataFrame:
     """``vec_id, neighbours``: for every usable vector its k most similar others, best first.
 
     ``neighbours`` holds structs ``(cosine, id)``. Cosines are exact, computed
@@ -288,41 +368,45 @@ def nearest_neighbours(df: DataFrame, vec_id: str, v: str, k: int = 10, m: int =
     vectors are neighbours of each other; fewer than k others give shorter
     lists; an empty table gives no rows. ``vec_id`` is unique. Other columns
     are not read.
+
+    With ``at_least``, neighbours below that cosine are left out, which spares
+    a search most cells. ``queries``, a condition on ``vec_id``, says whose
+    neighbours are searched; all rows are searched through.
     """
     if m % 2:
         raise ValueError("the number of directions is even")
-    spark, keep = df.sparkSession, k + 1
+    spark, keep, floor = df.sparkSession, k + 1, -np.inf if at_least is None else at_least
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     rows = usable(df, vec_id, v)
-    reps = materialise(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
+    reps = materialise(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max(asks).alias("asks")), "vectors")
     total = reps.count()
-    cells = max(1, -(-total // min(max(total // 12, CELL_ROWS[0]), CELL_ROWS[1])))
+    cell_rows = min(max(total // CELLS, CELL_ROWS[0]), CELL_ROWS[1])
+    n_cells = max(1, -(-total // cell_rows))
     planes: list = []
-    if cells > 1:
+    if n_cells > 1:
         # By the hash of a unique id: about SAMPLE rows, wherever they lie.
         sample = reps.where(F.pmod(F.xxhash64("rep"), F.lit(total)) < SAMPLE).select("v").toArrow()
         matrix = _unit(_matrix(sample["v"].combine_chunks()))
-        planes = _plant(matrix @ directions(matrix.shape[1], m), cells)
-
-    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(1))
-                cell = _cell_of(_unit(x) @ directions(x.shape[1], m), planes).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), batch.column(1)], ["rep", "cell", "v"])
-
-    assigned = reps.select("rep", "v").mapInArrow(assign, "rep long, cell int, v array<float>")
-    first = materialise(assigned.groupBy("cell").applyInArrow(_search_own(keep, m, confidence), _FIRST), "cells")
-    routed = first.select("rep", "cell", "v", "bound").mapInArrow(_route(planes, cells, m, confidence), "rep long, source int, target int, v array<float>, bound double")
-    visited = routed.select(F.col("source").alias("from"), F.col("target").alias("to")).distinct()
-    index = first.select("rep", "cell", "v").join(visited, F.col("cell") == F.col("to")).select("rep", F.col("from").alias("source"), F.col("to").alias("target"), "v")
-    other = routed.groupBy("source", "target").cogroup(index.groupBy("source", "target")).applyInArrow(_search_other(keep, m, confidence), _FOUND)
-    every = first.select("rep", "ids", "cosines").unionByName(other)
-    best = every.select("rep", F.inline(F.arrays_zip("ids", "cosines"))).groupBy("rep").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosines")).alias("far"), F.col("ids").alias("near")))), 1, keep).alias("found")
-    )
+        planes = _plant(matrix @ directions(matrix.shape[1], m), n_cells)
+    cells = _Cells(planes, n_cells, m)
+    vectors = reps.select("rep", "v", "asks")
+    if n_cells > 1:  # a row per cell
+        cells.divide({r["cell"]: r["count"] for r in vectors.mapInArrow(_assign(cells), _ASSIGNED).groupBy("cell").count().collect()}, 2 * cell_rows)
+    first = materialise(vectors.mapInArrow(_assign(cells), _ASSIGNED).groupBy("cell").applyInArrow(_search_own(keep, m, confidence, floor), _FIRST), "cells")
+    found = first.select("rep", F.inline(F.arrays_zip(F.col("ids").alias("near"), F.col("cosines").alias("cosine"))))
+    if (count := int(cells.parts.sum())) > 1:
+        asked = first.select("rep", "cell", "v", "bound")
+        one = np.ones(count, np.int64)
+        loads = {r["target"]: r["count"] for r in asked.mapInArrow(_route(cells, confidence, one), _ROUTED).groupBy("target").count().collect()}  # a row per cell
+        shares = np.array([-(-loads.get(c, 0) // (VISITS * cell_rows)) for c in range(count)])
+        routed = asked.mapInArrow(_route(cells, confidence, np.maximum(shares, 1)), _ROUTED)
+        index = vectors.mapInArrow(_assign(cells, shares), _ASSIGNED).select("rep", "cell", "share", "v")
+        mutual = at_least is not None and queries is None
+        found = found.unionByName(routed.groupBy("target", "share").cogroup(index.groupBy("cell", "share")).applyInArrow(_search_other(keep, m, confidence, mutual), _FOUND))
+    best = _nearest(found, keep)
     # Members of groups of equal vectors: every id, and of each group the few smallest, which are all that can be someone's neighbour.
     repeated = rows.join(reps.where("n > 1").select("v", "rep"), "v").select("rep", "vec_id")
-    members = reps.where("n = 1").select("rep", F.col("rep").alias("vec_id")).unionByName(repeated)
+    members = reps.where("n = 1 AND asks").select("rep", F.col("rep").alias("vec_id")).unionByName(repeated.where(asks))
     smallest = repeated.mapInArrow(_smallest(keep), "rep long, vec_id long").groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, keep).alias("ids"))
     expanded = (
         best.select("rep", F.inline("found"))
@@ -334,3 +418,41 @@ def nearest_neighbours(df: DataFrame, vec_id: str, v: str, k: int = 10, m: int =
     return members.join(expanded, "rep").select(
         "vec_id", F.expr(f"transform(slice(filter(found, x -> x.id <> vec_id), 1, {k}), x -> struct(-x.far AS cosine, x.id AS id))").alias("neighbours")
     )
+
+
+def _verify(k: int):
+    """Every query of a block against a part of the rows: its ``k`` nearest there."""
+
+    def run(queries: pa.Table, index: pa.Table) -> pa.Table:
+        out: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if queries.num_rows and index.num_rows:
+            q, x, q_ids, ids = _unit(_matrix(queries["v"])), _unit(_matrix(index["v"])), queries["vec_id"].to_numpy(), index["vec_id"].to_numpy()
+            for at in range(0, len(q), BLOCK):
+                own = q_ids[at : at + BLOCK]
+                near = np.round(q[at : at + BLOCK] @ x.T, DIGITS)
+                near[own[:, None] == ids] = -np.inf
+                floor = np.partition(near, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))]
+                i, j = np.nonzero((near >= floor[:, None]) & np.isfinite(near))
+                order = np.lexsort((ids[j], -near[i, j], i))
+                i, j = i[order], j[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out = [np.r_[a, b] for a, b in zip(out, (own[i[first]], ids[j[first]], near[i[first], j[first]]))]
+        return pa.table([pa.array(c) for c in out], ["rep", "near", "cosine"])
+
+    return run
+
+
+def exact_neighbours(df: DataFrame, vec_id: str, v: str, k: int, queries: Column, part_rows: int = 65_536) -> DataFrame:
+    """``vec_id, neighbours`` as from ``nearest_neighbours``, by brute force for the stated ``queries``: a measure of recall.
+
+    The queries go in blocks to every part of the rows, so the work is their
+    number times that of the rows.
+    """
+    rows = usable(df, vec_id, v)
+    parts, blocks = (max(1, -(-x // part_rows)) for x in (rows.count(), rows.where(queries).count()))
+    of = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = rows.where(queries).withColumn("part", every(parts)).withColumn("block", of(blocks))
+    index = rows.withColumn("part", of(parts)).withColumn("block", every(blocks))
+    best = _nearest(asked.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInArrow(_verify(k), _FOUND), k)
+    return best.select(F.col("rep").alias("vec_id"), F.expr("transform(found, x -> struct(-x.far AS cosine, x.near AS id))").alias("neighbours"))

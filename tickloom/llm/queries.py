@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.cooccurrence import associations, baskets
 from tickloom.llm.mixing import measured, mix, shares
-from tickloom.llm.neighbours import nearest_neighbours
+from tickloom.llm.neighbours import exact_neighbours, nearest_neighbours
 from tickloom.llm.packing import pack
 from tickloom.llm.splitting import bisection, split_sequences
 from tickloom.llm.tokens import counted
@@ -45,22 +45,33 @@ def p3_bisected(spark: SparkSession, root: str) -> DataFrame:
     return split_sequences(table(spark, root, "packed_corpus"), "seq_id", "tokens", CONTEXT, OVERLAP, bisection)
 
 
-def _similar(spark: SparkSession, root: str) -> DataFrame:
-    return nearest_neighbours(table(spark, root, "oracle_token_vectors"), "vec_id", "v", NEIGHBOURS)
-
-
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of vectors at a cosine of 0.9 or more, one among the 10 nearest of the other."""
-    near = _similar(spark, root).select("vec_id", F.explode(F.expr(f"filter(neighbours, x -> x.cosine >= {SIMILAR})")).alias("x"))
-    return near.select(F.least("vec_id", "x.id").alias("vec_a"), F.greatest("vec_id", "x.id").alias("vec_b")).distinct()
+    near = nearest_neighbours(table(spark, root, "oracle_token_vectors"), "vec_id", "v", NEIGHBOURS, at_least=SIMILAR)
+    pairs = near.select("vec_id", F.explode("neighbours").alias("x"))
+    return pairs.select(F.least("vec_id", "x.id").alias("vec_a"), F.greatest("vec_id", "x.id").alias("vec_b")).distinct()
+
+
+_ASKED = "vec_id % 50 = 0"
 
 
 def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    """The 10 nearest vectors of every vector."""
-    near = _similar(spark, root).select("vec_id", F.posexplode("neighbours").alias("pos", "x"))
+    """The 10 nearest, among all vectors, of every vector whose id is divisible by 50."""
+    near = nearest_neighbours(table(spark, root, "oracle_token_vectors"), "vec_id", "v", NEIGHBOURS, queries=F.expr(_ASKED))
+    near = near.select("vec_id", F.posexplode("neighbours").alias("pos", "x"))
     return near.select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.round("x.cosine", 6).alias("cosine"))
 
 
+def p6_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Of the true 10 nearest of every vector whose id is divisible by 50, how many ``p6_neighbours`` finds."""
+    vectors = table(spark, root, "oracle_token_vectors")
+    true = exact_neighbours(vectors, "vec_id", "v", NEIGHBOURS, F.expr(_ASKED)).select("vec_id", F.col("neighbours.id").alias("true_ids"))
+    found = nearest_neighbours(vectors, "vec_id", "v", NEIGHBOURS, queries=F.expr(_ASKED)).select("vec_id", F.col("neighbours.id").alias("ids"))
+    hits = true.join(found, "vec_id", "left").select(F.size("true_ids").alias("n"), F.coalesce(F.size(F.array_intersect("true_ids", "ids")), F.lit(0)).alias("hits"))
+    whole = hits.agg(F.count(F.lit(1)).alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_true"), F.coalesce(F.sum("hits"), F.lit(0)).alias("n_found"))
+    return whole.select("*", F.expr("CASE WHEN n_true > 0 THEN n_found / n_true END").alias("recall"))
+
+
 def _packed(spark: SparkSession, root: str) -> DataFrame:
     sizes = table(spark, root, "documents").select("doc_id", "text").mapInArrow(counted(), "doc_id long, n_tokens long")
     return pack(materialise(sizes, "sizes"), "doc_id", "n_tokens", CAPACITY).withColumnRenamed("item", "doc_id")
@@ -148,6 +159,7 @@ SQL = {
     "p3_found": _PIECES,
     "p2_found": f"{_PAIRS} SELECT trade_month, token_a, token_b FROM rated WHERE n_ab >= 6 AND n_ab * n >= 10 * n_a * n_b",
     "p2_pairs": f"{_PAIRS} SELECT trade_month, token_a, token_b, n_ab, n_a, n_b, round(CASE WHEN n_ab * n >= n_a * n_b THEN {_LLR} ELSE -{_LLR} END, 4) + 0.0 AS llr FROM rated",
+    "p6_neighbours": f"{_NEAR} SELECT vec_id, rank, neighbour, round(cosine, 6) AS cosine FROM ranked WHERE rank <= 10 AND vec_id % 50 = 0",
     "p6_found": f"{_NEAR} SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM ranked WHERE rank <= 10 AND cosine >= 0.9",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_bisected, p6_found, p6_neighbours, p7_packed, p7_report, p8_mixture, p8_shares, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_bisected, p6_found, p6_neighbours, p6_recall, p7_packed, p7_report, p8_mixture, p8_shares, p9_found, p9_rates)}
