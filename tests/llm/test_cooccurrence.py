@@ -40,6 +40,40 @@ def test_against_brute_force(spark, monkeypatch):
     assert abs(abs(r["llr"]) - g2) < 1e-6
 
 
+def test_hot_items_are_sliced(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, "m", [1, 2, *rng.sample(range(3, 400), 6)]) for i in range(800)]
+    whole = rated(spark, rows)
+    monkeypatch.setattr(C, "SLICE_LOAD", 500)
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA)
+    hot = C._hot(C.item_loads(C.baskets(df, F.col("p"), F.col("g"), F.col("t"))))
+    assert hot["m"][0].tolist() == [1, 2] and (hot["m"][1] > 4).all()
+    b = np.arange(3, 400)
+    parts = C._slices(hot, "m", np.ones(len(b), np.int64), b)
+    assert len(set(parts.tolist())) == hot["m"][1][0] and not C._slices(hot, "m", np.full(len(b), 3), b).any() and not C._slices(hot, "n", b, b).any()
+    assert rated(spark, rows) == whole
+
+
+def test_carried_stripes_stay_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches(n):
+        for i in range(n):
+            b = np.arange(i % 7, 20_000, 7)
+            yield pa.RecordBatch.from_arrays([pa.array(["m"]), pa.array([1]), pa.array([0], pa.int32()), pa.array([b.tolist()], pa.list_(pa.int64())), pa.array([[1] * len(b)], pa.list_(pa.int64()))], list("abcde"))
+
+    peak = []
+    for n in (100, 400):
+        tracemalloc.start()
+        got = pa.Table.from_batches(C._merge_stripes(batches(n)))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert got.num_rows == 20_000 and sum(got["n_ab"].to_pylist()) == sum(len(range(i % 7, 20_000, 7)) for i in range(n))
+    assert peak[1] < 1.5 * peak[0]
+
+
 def test_small_limits_give_the_same(spark):
     values = np.arange(300)
     a, b = C._later(values, np.array([0, 100, 300]), np.array([0, 0]), np.array([100, 200]))
