@@ -47,3 +47,11 @@ def test_what_becomes_known_later_is_not_used(spark):
 def test_empty_tables(spark):
     assert got(spark, [], [(1, 1, D0, None, 10)]) == []
     assert got(spark, [(1, 1, D0, 9)], []) == [(1, 1, D0, 9, None)]
+
+
+def test_many_versions_of_one_entity_are_spread(spark):
+    rng = random.Random(5)
+    day = lambda: D0 + timedelta(days=rng.randrange(4))
+    events = [(i % 60, 1, day(), rng.randrange(2000)) for i in range(80)]
+    versions = [(v, 1, D0 - timedelta(days=rng.randrange(9)), rng.choice([None, day()]), rng.randrange(2000)) for v in range(1500)] + [(v, 2, D0, None, 1) for v in range(5000, 5400)]
+    assert got(spark, events, versions, rows=100) == brute(events, versions)

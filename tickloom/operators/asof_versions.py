@@ -1,17 +1,24 @@
 """The attribute version known at an event's time.
 
-Entities are hash-partitioned into buckets of even size; an entity with more
-rows than a bucket should hold is spread over several, each of which gets its
-versions. Within a bucket, versions become a current-state history per entity
-and day in order of availability (of the versions in force that day, the best
-one known so far), with ties settled beforehand, and an embedded DuckDB ASOF
-LEFT JOIN picks for every event the last state available at its time.
+Entities are hash-partitioned into buckets of even size. What an entity costs is
+its events and, for each day that these fall on, its versions. One that costs
+more than a bucket should hold is split by day; a day with too many events is
+split by event, each part getting the day's versions, and a day with too many
+versions is split by version, each part getting the day's events and the best of
+the parts' answers being taken. Versions of entities without events are dropped.
+
+Within a bucket, versions become a current-state history per entity and day in
+order of availability (of the versions in force that day, the best one known so
+far), with ties settled beforehand, and an embedded DuckDB ASOF LEFT JOIN picks
+for every event the last state available at its time.
 """
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.plans.storage import materialise
+
 BUCKET_ROWS = 60_000
 
 _JOIN = """
@@ -25,21 +32,23 @@ states AS (
     SELECT entity, day, known_us, max(best) OVER (PARTITION BY entity, day ORDER BY known_us ROWS UNBOUNDED PRECEDING) AS best
     FROM known
 )
-SELECT e.event_id, e.entity, e.day, e.ts_us, s.best[3] AS version_id
+SELECT e.event_id, e.entity, e.day, e.ts_us, e.chunks, s.best[1] AS from_day, s.best[2] AS known_us, s.best[3] AS version_id
 FROM events e ASOF LEFT JOIN states s ON e.entity = s.entity AND e.day = s.day AND e.ts_us >= s.known_us
 """
 
 
+_FOUND = pa.schema([("event_id", pa.int64()), ("entity", pa.int64()), ("day", pa.date32()), ("ts_us", pa.int64()), ("chunks", pa.int32()), ("from_day", pa.date32()), ("known_us", pa.int64()), ("version_id", pa.int64())])
+
+
 def _bucket_join(events: pa.Table, versions: pa.Table) -> pa.Table:
     import duckdb
 
-    schema = pa.schema([("event_id", pa.int64()), ("entity", pa.int64()), ("day", pa.date32()), ("ts_us", pa.int64()), ("version_id", pa.int64())])
     if not events.num_rows:
-        return schema.empty_table()
-    with duckdb.connect(config={"threads": 1, "memory_limit": "400MB"}) as db:
+        return _FOUND.empty_table()
+    with duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""}) as db:  # a bucket fits; nothing spills beside Spark
         db.register("events", events)
         db.register("versions", versions)
-        return db.execute(_JOIN).to_arrow_table().select(schema.names).cast(schema)
+        return db.sql(_JOIN).to_arrow_table().select(_FOUND.names).cast(_FOUND)
 
 
 def asof_versions(
@@ -59,21 +68,46 @@ def asof_versions(
     lines = events.select(F.col(event_id).alias("event_id"), F.col(entity).cast("long").alias("entity"), F.col(day).alias("day"), F.col(ts_us).alias("ts_us"))
     datable = F.col("entity").isNotNull() & F.col("day").isNotNull() & F.col("ts_us").isNotNull()
     usable = lines.where(datable)
-    total = usable.count()
-    buckets = max(1, -(-total // bucket_rows))
-    # At most total / bucket_rows entities can exceed bucket_rows: the broadcast has at most `buckets` rows.
-    hot = usable.groupBy("entity").count().where(F.col("count") > bucket_rows).select("entity", F.expr(f"CAST(ceil(count / {bucket_rows}) AS INT)").alias("parts"))
-    spread = usable.join(F.broadcast(hot), "entity", "left").withColumn("part", F.expr("pmod(xxhash64(event_id), coalesce(parts, 1))"))
-    states = (
-        versions.select(
-            F.col(version_id).alias("version_id"), F.col(entity).cast("long").alias("entity"), F.col(effective_from).alias("from_day"), F.col(effective_to).alias("to_day"), F.col(known_us).alias("known_us")
-        )
-        .where("entity IS NOT NULL AND from_day IS NOT NULL AND known_us IS NOT NULL AND (to_day IS NULL OR from_day < to_day)")
-        .join(F.broadcast(hot), "entity", "left")
-        .withColumn("part", F.explode(F.expr("sequence(0L, coalesce(parts, 1) - 1L)")))
+    states = versions.select(
+        F.col(version_id).alias("version_id"), F.col(entity).cast("long").alias("entity"), F.col(effective_from).alias("from_day"), F.col(effective_to).alias("to_day"), F.col(known_us).alias("known_us")
+    ).where("entity IS NOT NULL AND from_day IS NOT NULL AND known_us IS NOT NULL AND (to_day IS NULL OR from_day < to_day)")
+
+    daily = usable.groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n"))
+    held = states.groupBy(F.col("entity").alias("of")).agg(F.count(F.lit(1)).alias("n_versions"))
+    days = daily.groupBy("entity").agg(F.collect_list(F.struct("day", "n")).alias("days"))  # an entity's days
+    cost = F.expr("aggregate(days, 0L, (s, d) -> s + d.n) + size(days) * n_versions")
+    costs = materialise(days.join(held, F.col("entity") == F.col("of"), "left").select("entity", "days", F.coalesce("n_versions", F.lit(0)).alias("n_versions")).withColumn("cost", cost), "costs")
+    buckets = max(1, -(-(costs.agg(F.sum("cost").alias("c")).head()["c"] or 0) // bucket_rows))
+    parts = lambda n: F.expr(f"greatest(1, CAST(ceil({n} / {bucket_rows}) AS INT))")
+    # Written tables: Spark knows their size and broadcasts them only where they are small.
+    units = materialise(costs.where(F.col("cost") > bucket_rows).select("entity", "n_versions", F.inline("days")).select("entity", "day", parts("n").alias("parts"), parts("n_versions").alias("chunks")), "units")
+
+    bucket = F.expr(f"pmod(xxhash64(entity, unit, part, chunk), {buckets})").alias("bucket")
+    left = (
+        usable.join(units.select(F.col("entity").alias("of"), F.col("day").alias("unit"), "parts", "chunks"), (F.col("entity") == F.col("of")) & (F.col("day") == F.col("unit")), "left")
+        .withColumn("part", F.expr("pmod(xxhash64(event_id), coalesce(parts, 1))"))
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+        .select("event_id", "entity", "day", "ts_us", "chunks", bucket)
+    )
+    wanted = states.join(costs.select(F.col("entity").alias("of"), (F.col("cost") > bucket_rows).alias("split")), F.col("entity") == F.col("of"))
+    whole = wanted.where("NOT split").select("version_id", "entity", "from_day", "to_day", "known_us", F.lit(None).cast("date").alias("unit"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("chunk"))
+    in_force = F.filter("units", lambda u: (u["day"] >= F.col("from_day")) & (F.col("to_day").isNull() | (u["day"] < F.col("to_day"))))
+    divided = (
+        wanted.where("split")
+        .join(units.groupBy(F.col("entity").alias("whose")).agg(F.collect_list(F.struct(F.col("day"), "parts", "chunks")).alias("units")), F.col("entity") == F.col("whose"))
+        .select("version_id", "entity", "from_day", "to_day", "known_us", F.explode(in_force).alias("u"))
+        .select("version_id", "entity", "from_day", "to_day", "known_us", F.col("u.day").alias("unit"), F.explode(F.expr("sequence(0L, u.parts - 1L)")).alias("part"), F.expr("CAST(pmod(xxhash64(version_id, from_day, known_us), u.chunks) AS INT)").alias("chunk"))
     )
-    bucket = F.expr(f"pmod(xxhash64(entity, part), {buckets})").alias("bucket")
-    left = spread.select("event_id", "entity", "day", "ts_us", bucket)
-    right = states.select("version_id", "entity", "from_day", "to_day", "known_us", bucket)
-    found = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_bucket_join, "event_id long, entity long, day date, ts_us long, version_id long")
-    return found.unionByName(lines.where(~datable).withColumn("version_id", F.lit(None).cast("long")))
+    right = whole.unionByName(divided).select("version_id", "entity", "from_day", "to_day", "known_us", bucket)
+    found = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_bucket_join, "event_id long, entity long, day date, ts_us long, chunks int, from_day date, known_us long, version_id long")
+    names = ["event_id", "entity", "day", "ts_us"]
+    if units.where("chunks > 1").isEmpty():
+        answered = found.select(*names, "version_id")
+    else:
+        found = materialise(found, "found")
+        best = F.max(F.when(F.col("version_id").isNotNull(), F.struct("from_day", "known_us", "version_id"))).alias("best")
+        merged = found.where("chunks > 1").groupBy(*names, "chunks").agg(best, F.count(F.lit(1)).alias("n"))
+        merged = merged.select(*names, F.col("best.version_id").alias("version_id"), F.explode(F.expr("sequence(1L, n DIV chunks)")).alias("copy")).drop("copy")
+        answered = found.where("chunks = 1").select(*names, "version_id").unionByName(merged)
+    return answered.unionByName(lines.where(~datable).withColumn("version_id", F.lit(None).cast("long")))
