@@ -11,32 +11,35 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenization pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer runs of one kind of character are encoded in pieces of this length, which bounds the encoder's time.
+#: Longer texts are encoded in pieces of at most this length, cut where the pattern itself ends a match, so that the
+#: tokens are those of the whole. Only a longer run of one kind of character has no such place and is cut inside, which
+#: bounds the encoder's time (it is quadratic in such a run).
 LONGEST_RUN = 50_000
+#: Between two kinds of character a match ends, but for a blank before a word and an apostrophe before a letter.
+BREAK = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])"
 
 
 @lru_cache(maxsize=2)
 def encoder(folder: str = TOKENIZERS) -> Callable[[str], list[int]]:
     """One encoder for each Python worker."""
+    import regex
     import tiktoken
 
     with open(os.path.join(folder, VOCABULARY), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encode = tiktoken.Encoding("tickloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    last_break = regex.compile(f"(?r)(?:{BREAK})")
+
     def run(text: str) -> list[int]:
-        if len(text) <= LONGEST_RUN:
-            return encode(text)
         tokens: list[int] = []
         at = 0
-        while at < len(text):
-            end = min(len(text), at + LONGEST_RUN)
-            if end < len(text):  # a break before a line's or word's first character leaves the tokens as they are
-                cut = max(text.rfind("\n", at + 1, end), text.rfind(" ", at + 1, end))
-                end = cut if cut > at and not text[cut - 1].isspace() and not text[cut + 1 : cut + 2].isspace() else end
+        while len(text) - at > LONGEST_RUN:
+            found = last_break.search(text, at + 1, at + LONGEST_RUN + 1)
+            end = found.start() if found else at + LONGEST_RUN
             tokens += encode(text[at:end])
             at = end
-        return tokens
+        return tokens + encode(text[at:])
 
     return run
 
