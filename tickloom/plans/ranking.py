@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
-def rank_in_group(df: DataFrame, group: list[str], order: list[str], stratum: Column | None = None, salts: int = SALTS) -> DataFrame:
+def rank_in_group(df: DataFrame, group: list[str], order: list[str], stratum: Column | None = None, salts: int | Column = SALTS) -> DataFrame:
     """``df`` with ``rank``: 0, 1, 2, ... in each group.
 
     A group is cut into its strata and those by a hash of ``order`` into
@@ -15,10 +15,11 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], stratum: Co
     before it end. Ranks rise with the stratum, are otherwise arbitrary but
     repeatable, and rows equal in ``order`` may exchange theirs. Rows with a
     null group or stratum have a null rank. The table of parts has at most
-    groups x strata x salts rows; plain equality joins it back, so that rows
+    groups x strata x salts rows, where ``salts`` may be a column that is one
+    value per group and grows with the group; plain equality joins it back, so that rows
     keep the partitioning of their numbering.
     """
-    parts = df.withColumn("_stratum", F.lit(0) if stratum is None else stratum).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    parts = df.withColumn("_stratum", F.lit(0) if stratum is None else stratum).withColumn("_part", F.pmod(F.xxhash64(*order), salts if isinstance(salts, Column) else F.lit(salts)))
     key = [*group, "_stratum", "_part"]
     sizes = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(*group).orderBy("_stratum", "_part").rowsBetween(W.unboundedPreceding, -1)
