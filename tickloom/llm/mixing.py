@@ -4,17 +4,24 @@ Token weights are raked over the cells source x language x topic: the source
 marginal to the target shares, the others to the corpus's own shares, each
 cell's weight limited by its source's cap on repeats. A cell's weight is then
 the expected number of copies of each of its documents. Whole copies are given
-to all, the rest by systematic sampling along the documents' length, large
-documents first, so that realised shares come close to the targets.
-
-Topics are the nearest of a few centroids of hashed token histograms, trained
-on a bounded sample (about ``SAMPLE`` documents); every document gets one.
+to all; the rest is one draw. For it a cell is cut into bins of nearly equal
+length, and every bin gets a whole number of documents, from the longest bin to
+the shortest, so that what one bin has too many or too few tokens the next ones
+make up for. Within a bin the documents are drawn evenly by rank.
+
+Topics are the nearest of a few centroids of hashed token histograms, by
+spherical k-means over all documents: every round assigns all and sums them up
+per centroid in Spark. Only the seeds come from a bounded sample (about
+``SAMPLE`` documents).
 """
 
+import math
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,53 +32,87 @@ from tickloom.plans.storage import materialise
 
 SAMPLE = 2_000
 TOPICS = 6
+ROUNDS, MOVED = 10, 1e-3  # k-means ends after so many rounds, or when no centroid moves more
 BUCKETS = 512
-LARGE = 4  # times its source's mean length
-
+BINS = 16  # of length, in an octave
+PART_ROWS = 200_000  # documents that one task ranks, about
 
-def _histogram(tokens: list[int]) -> np.ndarray:
-    h = np.sqrt(np.bincount(np.asarray(tokens, np.int64) % BUCKETS, minlength=BUCKETS))
-    norm = np.linalg.norm(h)
-    return h / norm if norm else h
 
-
-def _centroids(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Spherical k-means from deterministic, mutually distant seeds."""
+def _seeds(x: np.ndarray, k: int) -> np.ndarray:
+    """Deterministic, mutually distant rows."""
     if len(x) <= k:
-        return np.vstack([x, np.zeros((k - len(x), x.shape[1]))])
+        return np.vstack([x, np.zeros((k - len(x), BUCKETS))])
     c = x[:1]
     while len(c) < k:
         c = np.vstack([c, x[np.argmin((x @ c.T).max(axis=1))]])
-    for _ in range(rounds):
-        near = np.argmax(x @ c.T, axis=1)
-        c = np.array([x[near == i].sum(axis=0) if (near == i).any() else c[i] for i in range(k)])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
 
-def _features(folder: str):
+def _unit(counts: np.ndarray) -> np.ndarray:
+    x = np.sqrt(counts.reshape(-1, BUCKETS))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _read(column: pa.Array) -> np.ndarray:
+    return _unit(pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64))
+
+
+def _count(folder: str):
+    """(doc_id, source, lang, text) to (doc_id, source, lang, n_tokens, histogram)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(folder)
         for batch in batches:
-            x = [_histogram(encode(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64()))], ["x"])
+            tokens = [np.asarray(encode(t) if t else [], np.int64) for t in batch.column(3).to_pylist()]
+            histograms = np.array([np.bincount(t % BUCKETS, minlength=BUCKETS) for t in tokens], np.int32).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * BUCKETS), pa.array(histograms))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in tokens], pa.int64()), lists], ["doc_id", "source", "lang", "n_tokens", "histogram"])
 
     return run
 
 
-def _measure(folder: str, centroids: np.ndarray):
-    """(doc_id, source, lang, text) to (doc_id, source, lang, n_tokens, topic)."""
+def _sums(centroids: np.ndarray):
+    """A partition's sum of unit histograms for each centroid that is their nearest."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(folder)
+        total = np.zeros_like(centroids)
+        for batch in batches:
+            if batch.num_rows:
+                x = _read(batch.column(0))
+                near = np.argmax(x @ centroids.T, axis=1)
+                total += np.eye(len(centroids))[near].T @ x
+        k, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at])], ["k", "at", "s"])
+
+    return run
+
+
+def _topic(centroids: np.ndarray):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [encode(t) if t else [] for t in batch.column(3).to_pylist()]
-            topic = [int(np.argmax(centroids @ _histogram(t))) for t in tokens]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in tokens], pa.int64()), pa.array(topic, pa.int32())], ["doc_id", "source", "lang", "n_tokens", "topic"])
+            near = np.argmax(_read(batch.column(4)) @ centroids.T, axis=1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near.astype(np.int32))], ["doc_id", "source", "lang", "n_tokens", "topic"])
 
     return run
 
 
+def centroids(counted: DataFrame, topics: int) -> np.ndarray:
+    """Unit centroids of the documents' histograms; ``topics`` x ``BUCKETS`` numbers a round come to the driver."""
+    known = counted.where("n_tokens > 0").select("histogram", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(max(1, counted.count()))).alias("h"))
+    sample = known.where(F.col("h") < SAMPLE).select("histogram").toArrow()
+    c = _seeds(_read(sample["histogram"].combine_chunks()), topics)
+    for _ in range(ROUNDS):
+        new = np.zeros_like(c)
+        for r in known.select("histogram").mapInArrow(_sums(c), "k int, at int, s double").groupBy("k", "at").agg(F.sum("s").alias("s")).collect():
+            new[r["k"], r["at"]] = r["s"]
+        size = np.linalg.norm(new, axis=1, keepdims=True)
+        new = np.where(size > 0, new / np.maximum(size, 1e-12), c)
+        moved, c = np.abs(new - c).max(), new
+        if moved <= MOVED:
+            break
+    return c
+
+
 def measured(docs: DataFrame, doc_id: str, source: str, lang: str, text: str, folder: str = TOKENIZERS, topics: int = TOPICS) -> DataFrame:
     """``doc_id, source, lang, n_tokens, topic`` of every document, written once to the shared folder.
 
@@ -79,23 +120,23 @@ def measured(docs: DataFrame, doc_id: str, source: str, lang: str, text: str, fo
     language ``und``. An empty or null text has no tokens and topic 0.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.lower(F.split(F.col(lang), "[-_]")[0]), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    # About SAMPLE documents by the hash of their id; the limit only bounds what repeated ids could add.
-    some = rows.where((F.length("text") > 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count()))) < SAMPLE)).select("text").limit(2 * SAMPLE)
-    sample = some.mapInArrow(_features(folder), "x array<double>").toArrow()
-    x = np.array(sample["x"].to_pylist()).reshape(-1, BUCKETS)
-    return materialise(rows.mapInArrow(_measure(folder, _centroids(x, topics)), "doc_id long, source string, lang string, n_tokens long, topic int"), "measured")
+    counted = materialise(rows.mapInArrow(_count(folder), "doc_id long, source string, lang string, n_tokens long, histogram array<int>"), "counted")
+    return materialise(counted.mapInArrow(_topic(centroids(counted, topics)), "doc_id long, source string, lang string, n_tokens long, topic int"), "measured")
 
 
 Cell = tuple[str, str, int]
 
 
-def raked(cells: dict[Cell, float], targets: dict[str, tuple[float, float | None]], rounds: int = 200) -> dict[Cell, float]:
+def raked(cells: dict[Cell, float], targets: dict[str, tuple[float, float | None]], rounds: int = 10_000) -> dict[Cell, float]:
     """Copies per document in each cell ``(source, language, topic)``, given the cells' tokens.
 
     ``targets`` has each source's share and cap on copies (None: no cap). The
     total is the largest at which every source that has documents reaches its
     share under its cap; without any cap it is that of the documents. Shares
-    of sources without documents go to the others in proportion.
+    of sources without documents go to the others in proportion. Raking ends
+    when a round changes no cell by more than 10^-9 of the total; a warning
+    says if it does not. Where caps leave the marginals out of reach together,
+    that of the sources holds.
     """
     names = sorted(c for c, t in cells.items() if t > 0 and c[0] in targets and targets[c[0]][0] > 0 and targets[c[0]][1] != 0)
     if not names:
@@ -112,9 +153,14 @@ def raked(cells: dict[Cell, float], targets: dict[str, tuple[float, float | None
     marginals = [share * total, *(np.bincount(a, have) / have.sum() * total for _, a in axes[1:])]
     x = have * (share * total / np.bincount(of, have))[of]
     for _ in range(rounds):
+        last = x
         for (_, a), m in [*zip(axes[1:], marginals[1:]), (axes[0], marginals[0])]:
             now = np.bincount(a, x)
             x = np.minimum(x * (m / np.maximum(now, 1e-300))[a], cap * have)
+        if np.abs(x - last).max() <= 1e-9 * total:
+            break
+    else:
+        warnings.warn(f"raking still moves by {np.abs(x - last).max() / total:.1e} of the total after {rounds} rounds", stacklevel=2)
     for _ in names:  # what caps took from a source goes to its other cells
         free = x < cap * have * (1 - 1e-12)
         lack, room = marginals[0] - np.bincount(of, x), np.bincount(of, np.where(free, x, 0))
@@ -124,26 +170,24 @@ def raked(cells: dict[Cell, float], targets: dict[str, tuple[float, float | None
     return dict(zip(names, (x / have).tolist()))
 
 
-def _shares_to_draw(weights: dict[Cell, float], docs: dict[Cell, int]) -> list[tuple]:
-    """Whole copies for all of a cell, the part that gets one more, and where the systematic draw of its source stands."""
-    out, stand, last = [], 0.5, None
-    for cell in sorted(docs):
-        if cell in weights:
-            stand = stand if cell[0] == last else 0.5
-            last = cell[0]
-            whole = int(np.floor(weights[cell] + 1e-9))
-            part = max(0.0, weights[cell] - whole)
-            out.append((*cell, whole, part, stand % 1.0))
-            stand += part * docs[cell]
-    return out
-
+def _draw(weights: dict[Cell, float], bins: dict[tuple[str, str, int, int], tuple[int, int]], targets: dict[str, tuple[float, float | None]]) -> list[tuple]:
+    """(source, language, topic, bin, whole, drawn, documents, salts): copies for all of a bin's documents, and how many get one more.
 
-def _drawn(docs: DataFrame, rows: list[tuple]) -> DataFrame:
-    weights = docs.sparkSession.createDataFrame(rows, "source string, lang string, topic int, whole int, part double, stand double")
-    length = F.floor(F.log2(F.col("n_tokens").cast("double")) * 4).cast("int")
-    ranked = rank_in_group(docs, ["source", "lang", "topic"], ["doc_id", "n_tokens"], length).join(F.broadcast(weights), ["source", "lang", "topic"])
-    extra = F.floor(F.col("stand") + F.col("part") * (F.col("rank") + 1)) - F.floor(F.col("stand") + F.col("part") * F.col("rank"))
-    return ranked.select("doc_id", "source", "n_tokens", (F.col("whole") + extra).cast("int").alias("copies")).where("copies > 0")
+    ``bins`` has documents and tokens. What rounding leaves of a source's tokens
+    goes on from bin to bin, the longest first, and from cell to cell.
+    """
+    out, carry, last = [], 0.0, None
+    for (s, lang, topic, at), (n, tokens) in sorted(bins.items(), key=lambda x: (*x[0][:3], -x[0][3])):
+        if (s, lang, topic) not in weights:
+            continue
+        carry, last = carry if s == last else 0.0, s
+        cap = targets[s][1]
+        whole = math.floor(weights[s, lang, topic] + 1e-9)
+        due = carry + max(0.0, weights[s, lang, topic] - whole) * tokens
+        drawn = min(max(round(due * n / tokens), 0), n if cap is None or whole + 1 <= cap else 0)
+        carry = due - drawn * tokens / n
+        out.append((s, lang, topic, at, whole, drawn, n, -(-n // PART_ROWS)))
+    return out
 
 
 def _targets(targets: DataFrame, source: str, share: str, max_repeats: str) -> dict[str, tuple[float, float | None]]:
@@ -157,36 +201,27 @@ def _targets(targets: DataFrame, source: str, share: str, max_repeats: str) -> d
 
 
 def mix(docs: DataFrame, targets: DataFrame, source: str = "source", share: str = "target_share", max_repeats: str = "max_repeats") -> DataFrame:
-    """``doc_id, source, n_tokens, copies`` of the documents in the mixture; ``docs`` as from ``measured``.
+    """``doc_id, source, n_tokens, copies, lang, topic`` of the documents in the mixture; ``docs`` as from ``measured``.
 
     Documents without tokens, or of a source that is null, has no target or
     target 0, are in no mixture. A cap of 0 excludes its source. Repeated rows
     are documents of their own. No documents give no rows.
     """
     spark, wanted = docs.sparkSession, _targets(targets, source, share, max_repeats)
-    usable = docs.select("doc_id", "source", "lang", "n_tokens", "topic").where("n_tokens > 0 AND source IS NOT NULL").join(F.broadcast(spark.createDataFrame([(s,) for s in wanted], "source string")), "source", "left_semi")
-    means = usable.groupBy("source").agg((F.avg("n_tokens") * LARGE).alias("large_from"))  # a row per source of the targets
-    known = usable.join(F.broadcast(means), "source").withColumn("large", F.col("n_tokens") > F.col("large_from")).drop("large_from")
-    cells = known.groupBy("source", "lang", "topic", "large").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()  # sources x languages x topics
-    docs_in: dict[bool, dict[Cell, int]] = {True: {}, False: {}}
-    tokens_in: dict[bool, dict[Cell, int]] = {True: {}, False: {}}
-    for s, lang, topic, large, n, t in map(tuple, cells):
-        docs_in[large][s, lang, topic], tokens_in[large][s, lang, topic] = n, t
+    usable = docs.select("doc_id", "source", "lang", "n_tokens", "topic", F.floor(F.log2(F.col("n_tokens").cast("double")) * BINS).cast("int").alias("bin")).where("n_tokens > 0 AND source IS NOT NULL")
+    usable = usable.join(spark.createDataFrame([(s,) for s in wanted], "source string"), "source", "left_semi")
+    # A row per source of the targets, language, topic and bin of length.
+    bins = {tuple(r)[:4]: (r["n"], r["t"]) for r in usable.groupBy("source", "lang", "topic", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()}
     tokens: dict[Cell, float] = {}
-    for by_cell in tokens_in.values():
-        for cell, t in by_cell.items():
-            tokens[cell] = tokens.get(cell, 0) + t
-    weights = raked(tokens, wanted)
-    # Few large documents make most of the draw's error: they are drawn first, the others make up for what they missed.
-    large = _drawn(known.where("large"), _shares_to_draw(weights, docs_in[True])).select("doc_id", "source", "n_tokens", "copies")
-    got = {r["source"]: r["t"] for r in large.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
-    scale = {}
-    for s in {cell[0] for cell in weights}:
-        due = sum(w * tokens[c] for c, w in weights.items() if c[0] == s) - got.get(s, 0)
-        small = sum(w * tokens_in[False].get(c, 0) for c, w in weights.items() if c[0] == s)
-        scale[s] = max(0.0, due / small) if small else 1.0
-    rest = {c: min(w * scale[c[0]], np.inf if wanted[c[0]][1] is None else wanted[c[0]][1]) for c, w in weights.items()}
-    return large.unionByName(_drawn(known.where("NOT large"), _shares_to_draw(rest, docs_in[False])))
+    for (s, lang, topic, _), (_, t) in bins.items():
+        tokens[s, lang, topic] = tokens.get((s, lang, topic), 0) + t
+    rows = _draw(raked(tokens, wanted), bins, wanted)
+    plan = spark.createDataFrame(rows, "source string, lang string, topic int, bin int, whole int, drawn long, n long, salts int")
+    drawn = usable.join(plan, ["source", "lang", "topic", "bin"])
+    ranked = rank_in_group(drawn, ["source", "lang", "topic", "bin"], ["doc_id", "n_tokens"], salts=F.col("salts"))
+    # Rank r of n is drawn where the multiples of drawn / n pass a whole number.
+    extra = F.floor((F.col("rank") + 1) * F.col("drawn") / F.col("n")) - F.floor(F.col("rank") * F.col("drawn") / F.col("n"))
+    return ranked.select("doc_id", "source", "n_tokens", (F.col("whole") + extra).cast("int").alias("copies"), "lang", "topic").where("copies > 0")
 
 
 def shares(mixture: DataFrame, docs: DataFrame, targets: DataFrame, source: str = "source", share: str = "target_share", max_repeats: str = "max_repeats") -> DataFrame:
@@ -200,3 +235,21 @@ def shares(mixture: DataFrame, docs: DataFrame, targets: DataFrame, source: str
         .join(drawn, "source", "left")
         .select("source", "target_share", (F.coalesce("drawn_tokens", F.lit(0)) / whole).alias("reached_share"), F.coalesce("held_tokens", F.lit(0)).alias("held_tokens"), F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats")
     )
+
+
+def marginals(mixture: DataFrame, docs: DataFrame, targets: DataFrame, source: str = "source", share: str = "target_share", max_repeats: str = "max_repeats") -> DataFrame:
+    """``axis, value, wanted_share, reached_share`` of tokens for every source, language and topic that the mixture may hold.
+
+    A source is wanted at its target, a language or topic at its share of the
+    tokens of those sources; sources without documents give their share to the others.
+    """
+    known = targets.where(f"`{share}` > 0 AND (`{max_repeats}` IS NULL OR `{max_repeats}` > 0)").select(F.col(source).alias("source"), F.col(share).alias("target"))
+    usable = docs.where("n_tokens > 0").join(known, "source")
+    axes = lambda: F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(c).cast("string").alias("value")) for a, c in (("source", "source"), ("language", "lang"), ("topic", "topic"))))).alias("x")
+    held = usable.select("n_tokens", "target", axes()).groupBy("x.axis", "x.value").agg(F.sum("n_tokens").alias("held"), F.max("target").alias("target"))
+    drawn = mixture.select((F.col("n_tokens") * F.col("copies")).alias("t"), axes()).groupBy("x.axis", "x.value").agg(F.sum("t").alias("drawn"))
+    weight = F.when(F.col("axis") == "source", F.col("target")).otherwise(F.col("held").cast("double"))
+    whole = W.partitionBy("axis")  # a row per source, language or topic
+    return held.join(drawn, ["axis", "value"], "left").select(
+        "axis", "value", (weight / F.sum(weight).over(whole)).alias("wanted_share"), (F.coalesce("drawn", F.lit(0)) / F.sum("drawn").over(whole)).alias("reached_share")
+    )

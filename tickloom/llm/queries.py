@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.cooccurrence import associations, baskets
-from tickloom.llm.mixing import measured, mix, shares
+from tickloom.llm.mixing import marginals, measured, mix, shares
 from tickloom.llm.neighbours import exact_neighbours, nearest_neighbours
 from tickloom.llm.packing import pack
 from tickloom.llm.splitting import bisection, split_sequences
@@ -105,6 +105,11 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return shares(*_mixture(spark, root))
 
 
+def p8_marginals(spark: SparkSession, root: str) -> DataFrame:
+    """Wanted and reached share of each source, language and topic."""
+    return marginals(*_mixture(spark, root))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents whose text was cut off."""
     return truncated(table(spark, root, "documents"), "doc_id", "source", "text").select("doc_id").distinct()
@@ -162,4 +167,4 @@ SQL = {
     "p6_neighbours": f"{_NEAR} SELECT vec_id, rank, neighbour, round(cosine, 6) AS cosine FROM ranked WHERE rank <= 10 AND vec_id % 50 = 0",
     "p6_found": f"{_NEAR} SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM ranked WHERE rank <= 10 AND cosine >= 0.9",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_bisected, p6_found, p6_neighbours, p6_recall, p7_packed, p7_report, p8_mixture, p8_shares, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_bisected, p6_found, p6_neighbours, p6_recall, p7_packed, p7_report, p8_mixture, p8_shares, p8_marginals, p9_found, p9_rates)}
