@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tickloom.llm.splitting import bisection, split_sequences
+from tickloom.llm.splitting import bisection, greedy, split_sequences
 
 SCHEMA = "seq_id long, tokens array<int>, piece_no string, piece_start string"
 
@@ -64,6 +64,22 @@ def test_bisection_covers_and_bounds(spark):
     assert pieces(spark, [(1, [9] * 100)], 40, 8, bisection)[0][1:] == (0, 25)
 
 
+def test_overlaps_and_kinds_of_ends(spark):
+    rng = random.Random(8)
+    rows = [(i, sequence(rng, 700, p)) for i, p in enumerate((0, 0.3, 1))] + [(9, [9] * 100)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    tokens = dict(rows)
+    for plan in (greedy, bisection):
+        last = {}
+        for r in split_sequences(df, "seq_id", "tokens", 60, 12, plan).orderBy("seq_id", "piece_no").collect():
+            t, before = tokens[r["seq_id"]], last.get(r["seq_id"])
+            assert r["piece_no"] == (before["piece_no"] + 1 if before else 0) and r["overlap"] == (before["piece_end"] - r["piece_start"] if before else 0) <= 12
+            after = [i for i in range(r["piece_end"], len(t)) if t[i] > 2]
+            assert r["end_kind"] == ("end" if not after else {3: "package", 4: "line"}.get(t[r["piece_end"]], "inside"))
+            last[r["seq_id"]] = r
+        assert {i for i, r in last.items() if r["end_kind"] == "end"} == set(tokens)
+
+
 def test_bad_overlap(spark):
     with pytest.raises(ValueError):
         pieces(spark, [], 10, 10)

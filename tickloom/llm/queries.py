@@ -37,7 +37,7 @@ def p2_pairs(spark: SparkSession, root: str) -> DataFrame:
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Pieces of the sequences that exceed the context."""
     out = split_sequences(table(spark, root, "packed_corpus"), "seq_id", "tokens", CONTEXT, OVERLAP)
-    return out.select("seq_id", "piece_start", "piece_end")
+    return out.select("seq_id", "piece_start", "piece_end").distinct()
 
 
 def p3_bisected(spark: SparkSession, root: str) -> DataFrame:
@@ -45,6 +45,13 @@ def p3_bisected(spark: SparkSession, root: str) -> DataFrame:
     return split_sequences(table(spark, root, "packed_corpus"), "seq_id", "tokens", CONTEXT, OVERLAP, bisection)
 
 
+def p3_report(spark: SparkSession, root: str) -> DataFrame:
+    """Of the bisected pieces: the longest, and per kind of end how many, their tokens and what they share with the piece before."""
+    size = F.col("piece_end") - F.col("piece_start")
+    kinds = p3_bisected(spark, root).groupBy("end_kind").agg(F.count(F.lit(1)).alias("n_pieces"), F.max(size).alias("longest"), F.sum(size).alias("n_tokens"), F.sum("overlap").alias("n_shared"), F.max("overlap").alias("most_shared"))
+    return kinds
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of vectors at a cosine of 0.9 or more, one among the 10 nearest of the other."""
     near = nearest_neighbours(table(spark, root, "oracle_token_vectors"), "vec_id", "v", NEIGHBOURS, at_least=SIMILAR)
@@ -145,13 +152,14 @@ near AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour) AS rank FROM near)"""
 
 _END = "CASE WHEN stop - st <= 254 THEN stop ELSE coalesce(list_max(list_filter(packages, lambda i: i > reached AND i <= st + 254)), list_max(list_filter(line_starts, lambda i: i > reached AND i <= st + 254)), st + 254) END"
-_PIECES = f"""
+_LONG = """
 WITH RECURSIVE arrays AS (SELECT DISTINCT seq_id, tokens FROM packed_corpus WHERE tokens IS NOT NULL AND seq_id IS NOT NULL),
 content AS (SELECT seq_id, tokens, list_filter(range(len(tokens)), lambda i: coalesce(tokens[i + 1], 0) > 2) AS pos FROM arrays),
 long AS (
-    SELECT row_number() OVER () AS k, seq_id, pos[1] AS begin, pos[len(pos)] + 1 AS stop, list_filter(pos, lambda i: tokens[i + 1] = 3) AS packages, list_filter(pos, lambda i: tokens[i + 1] IN (3, 4)) AS line_starts
+    SELECT row_number() OVER () AS k, seq_id, tokens, pos[1] AS begin, pos[len(pos)] + 1 AS stop, list_filter(pos, lambda i: tokens[i + 1] = 3) AS packages, list_filter(pos, lambda i: tokens[i + 1] IN (3, 4)) AS line_starts
     FROM content WHERE len(pos) > 254
-),
+)"""
+_PIECES = f"""{_LONG},
 pieces AS (
     SELECT k, begin AS st, begin AS reached FROM long
     UNION ALL
@@ -159,12 +167,25 @@ pieces AS (
     FROM (SELECT p.k, st, stop, line_starts, {_END} AS piece_end FROM pieces p JOIN long l ON l.k = p.k) WHERE stop - st > 254
 )
 SELECT DISTINCT seq_id, st AS piece_start, {_END} AS piece_end FROM pieces p JOIN long l ON l.k = p.k"""
+_NEAREST = "list_min(list_transform(list_filter({}, lambda i: i >= {} AND i <= {}), lambda i: abs(i - (b + s) // 2) * 4294967296 + i)) % 4294967296"
+_CUT = f"coalesce({_NEAREST.format('packages', 'greatest((b + s) // 2 - (s - b) // 4, b + 1)', 'least((b + s) // 2 + (s - b) // 4, s - 1)')}, {_NEAREST.format('line_starts', 'b + 1', 's - 1')}, (b + s) // 2)"
+_BISECTED = f"""{_LONG},
+parts AS (
+    SELECT k, begin AS b, stop AS s FROM long
+    UNION ALL
+    SELECT k, unnest([b, cut]), unnest([cut, s]) FROM (SELECT p.k, b, s, CAST({_CUT} AS BIGINT) AS cut FROM parts p JOIN long l ON l.k = p.k WHERE s - b > 230)
+),
+cores AS (SELECT l.*, b, s, row_number() OVER (PARTITION BY p.k ORDER BY b) - 1 AS piece_no FROM parts p JOIN long l ON l.k = p.k WHERE s - b <= 230),
+begun AS (SELECT *, CASE WHEN b = begin THEN b ELSE coalesce(list_min(list_filter(line_starts, lambda i: i > begin AND i >= b - 24 AND i <= b)), b) END AS st FROM cores),
+bisected AS (SELECT DISTINCT seq_id, piece_no, st AS piece_start, s AS piece_end, b - st AS overlap, CASE WHEN s = stop THEN 'end' WHEN tokens[s + 1] = 3 THEN 'package' WHEN tokens[s + 1] = 4 THEN 'line' ELSE 'inside' END AS end_kind FROM begun)"""
 
 SQL = {
+    "p3_bisected": f"{_BISECTED} SELECT * FROM bisected",
+    "p3_report": f"{_BISECTED} SELECT end_kind, count(*) AS n_pieces, max(piece_end - piece_start) AS longest, CAST(sum(piece_end - piece_start) AS BIGINT) AS n_tokens, CAST(sum(overlap) AS BIGINT) AS n_shared, max(overlap) AS most_shared FROM bisected GROUP BY 1",
     "p3_found": _PIECES,
     "p2_found": f"{_PAIRS} SELECT trade_month, token_a, token_b FROM rated WHERE n_ab >= 6 AND n_ab * n >= 10 * n_a * n_b",
     "p2_pairs": f"{_PAIRS} SELECT trade_month, token_a, token_b, n_ab, n_a, n_b, round(CASE WHEN n_ab * n >= n_a * n_b THEN {_LLR} ELSE -{_LLR} END, 4) + 0.0 AS llr FROM rated",
     "p6_neighbours": f"{_NEAR} SELECT vec_id, rank, neighbour, round(cosine, 6) AS cosine FROM ranked WHERE rank <= 10 AND vec_id % 50 = 0",
     "p6_found": f"{_NEAR} SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM ranked WHERE rank <= 10 AND cosine >= 0.9",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_bisected, p6_found, p6_neighbours, p6_recall, p7_packed, p7_report, p8_mixture, p8_shares, p8_marginals, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_bisected, p3_report, p6_found, p6_neighbours, p6_recall, p7_packed, p7_report, p8_mixture, p8_shares, p8_marginals, p9_found, p9_rates)}

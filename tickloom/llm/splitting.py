@@ -72,11 +72,18 @@ def bisection(packages: np.ndarray, lines: np.ndarray, begin: int, stop: int, li
     return [(b if b == begin else _overlapped(lines, b, begin, overlap), s) for b, s in cores]
 
 
+def _ends(tokens: np.ndarray, ends: np.ndarray, stop: int) -> np.ndarray:
+    """Where pieces end: at the end of the content, before a package, before a line, or inside a line."""
+    after = tokens[np.minimum(ends, len(tokens) - 1)]
+    return np.where(ends == stop, "end", np.where(after == PACKAGE, "package", np.where(after == LINE, "line", "inside")))
+
+
 def _split(plan: Callable[..., Pieces], limit: int, overlap: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, begins, ends, numbers = [], [], [], []
-            lists = batch.column(1)
+            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            kinds = [np.zeros(0, "<U7")]
+            lists, seq_ids = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
             length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             for row in np.flatnonzero(length > limit):
                 tokens = lists[int(row)].values.to_numpy(zero_copy_only=False)
@@ -85,28 +92,31 @@ def _split(plan: Callable[..., Pieces], limit: int, overlap: int):
                     continue
                 packages = np.flatnonzero(tokens == PACKAGE)
                 lines = np.flatnonzero((tokens == PACKAGE) | (tokens == LINE))
-                pieces = plan(packages, lines, int(content[0]), int(content[-1]) + 1, limit, overlap)
-                ids += [batch.column(0)[int(row)].as_py()] * len(pieces)
-                numbers += range(len(pieces))
-                begins += [b for b, _ in pieces]
-                ends += [e for _, e in pieces]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["seq_id", "piece_no", "piece_start", "piece_end"])
+                stop = int(content[-1]) + 1
+                begins, ends = np.array(plan(packages, lines, int(content[0]), stop, limit, overlap)).T
+                shared = np.r_[0, ends[:-1] - begins[1:]]
+                for column, values in zip(columns, (np.full(len(begins), seq_ids[row]), np.arange(len(begins)), begins, ends, shared)):
+                    column.append(values)
+                kinds.append(_ends(tokens, ends, stop))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)) for c in columns), pa.array(np.concatenate(kinds).tolist(), pa.string())], ["seq_id", "piece_no", "piece_start", "piece_end", "overlap", "end_kind"])
 
     return run
 
 
 def split_sequences(df: DataFrame, seq_id: str, tokens: str, limit: int, overlap: int, plan: Callable[..., Pieces] = greedy) -> DataFrame:
-    """``seq_id, piece_no, piece_start, piece_end``: the pieces of every sequence with more than ``limit`` content tokens.
+    """``seq_id, piece_no, piece_start, piece_end, overlap, end_kind``: the pieces of every sequence with more than ``limit`` content tokens.
 
     Positions are 0-based in ``tokens``, the end is exclusive. Content is all
-    but the special tokens 0, 1 and 2, from the first to the last. Sequences
-    without id or tokens and those that fit give no rows. A sequence written
-    several times gives its pieces once; different arrays under one id give
-    the distinct pieces of each. Null tokens count as padding. Other columns
-    are not read.
+    but the special tokens 0, 1 and 2, from the first to the last. ``overlap``
+    is how many tokens a piece shares with the one before; ``end_kind`` says
+    whether it ends at the content's end, before a package, before a line or
+    inside one. Sequences without id or tokens and those that fit give no rows.
+    A sequence written several times gives its pieces once; different arrays
+    under one id give the distinct pieces of each. Null tokens count as
+    padding. Other columns are not read.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap is shorter than the limit")
     rows = df.select(F.col(seq_id).cast("long").alias("seq_id"), F.expr(f"CASE WHEN exists(`{tokens}`, x -> x IS NULL) THEN transform(`{tokens}`, x -> coalesce(x, 0)) ELSE `{tokens}` END").cast("array<int>").alias("tokens"))
     long = rows.where((F.size("tokens") > limit) & F.col("seq_id").isNotNull())
-    return long.mapInArrow(_split(plan, limit, overlap), "seq_id long, piece_no int, piece_start long, piece_end long").distinct()
+    return long.mapInArrow(_split(plan, limit, overlap), "seq_id long, piece_no long, piece_start long, piece_end long, overlap long, end_kind string").distinct()
