@@ -21,7 +21,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +34,7 @@ TOPICS = 6
 ROUNDS, MOVED = 10, 1e-3  # k-means ends after so many rounds, or when no centroid moves more
 BUCKETS = 512
 BINS = 16  # of length, in an octave
+SMALL = 100_000  # rows of a plan that is broadcast; a larger one is joined by shuffle
 PART_ROWS = 200_000  # documents that one task ranks, about
 
 
@@ -53,8 +53,12 @@ def _unit(counts: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _read(column: pa.Array) -> np.ndarray:
-    return _unit(pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64))
+def _read(column: pa.BinaryArray) -> np.ndarray:
+    """Unit histograms of a column of histograms, each ``BUCKETS`` 4-byte counts."""
+    if not len(column):
+        return np.zeros((0, BUCKETS))
+    start, end = (np.frombuffer(column.buffers()[1], np.int32)[column.offset + i] for i in (0, len(column)))
+    return _unit(np.frombuffer(column.buffers()[2], np.int32, (end - start) // 4, start).astype(np.float64))
 
 
 def _count(folder: str):
@@ -64,9 +68,8 @@ def _count(folder: str):
         encode = encoder(folder)
         for batch in batches:
             tokens = [np.asarray(encode(t) if t else [], np.int64) for t in batch.column(3).to_pylist()]
-            histograms = np.array([np.bincount(t % BUCKETS, minlength=BUCKETS) for t in tokens], np.int32).ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * BUCKETS), pa.array(histograms))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in tokens], pa.int64()), lists], ["doc_id", "source", "lang", "n_tokens", "histogram"])
+            histograms = pa.array([np.bincount(t % BUCKETS, minlength=BUCKETS).astype(np.int32).tobytes() for t in tokens], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in tokens], pa.int64()), histograms], ["doc_id", "source", "lang", "n_tokens", "histogram"])
 
     return run
 
@@ -120,7 +123,7 @@ def measured(docs: DataFrame, doc_id: str, source: str, lang: str, text: str, fo
     language ``und``. An empty or null text has no tokens and topic 0.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.lower(F.split(F.col(lang), "[-_]")[0]), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    counted = materialise(rows.mapInArrow(_count(folder), "doc_id long, source string, lang string, n_tokens long, histogram array<int>"), "counted")
+    counted = materialise(rows.mapInArrow(_count(folder), "doc_id long, source string, lang string, n_tokens long, histogram binary"), "counted")
     return materialise(counted.mapInArrow(_topic(centroids(counted, topics)), "doc_id long, source string, lang string, n_tokens long, topic int"), "measured")
 
 
@@ -209,7 +212,7 @@ def mix(docs: DataFrame, targets: DataFrame, source: str = "source", share: str
     """
     spark, wanted = docs.sparkSession, _targets(targets, source, share, max_repeats)
     usable = docs.select("doc_id", "source", "lang", "n_tokens", "topic", F.floor(F.log2(F.col("n_tokens").cast("double")) * BINS).cast("int").alias("bin")).where("n_tokens > 0 AND source IS NOT NULL")
-    usable = usable.join(spark.createDataFrame([(s,) for s in wanted], "source string"), "source", "left_semi")
+    usable = usable.where(F.col("source").isin(list(wanted)))
     # A row per source of the targets, language, topic and bin of length.
     bins = {tuple(r)[:4]: (r["n"], r["t"]) for r in usable.groupBy("source", "lang", "topic", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()}
     tokens: dict[Cell, float] = {}
@@ -217,7 +220,7 @@ def mix(docs: DataFrame, targets: DataFrame, source: str = "source", share: str
         tokens[s, lang, topic] = tokens.get((s, lang, topic), 0) + t
     rows = _draw(raked(tokens, wanted), bins, wanted)
     plan = spark.createDataFrame(rows, "source string, lang string, topic int, bin int, whole int, drawn long, n long, salts int")
-    drawn = usable.join(plan, ["source", "lang", "topic", "bin"])
+    drawn = usable.join(F.broadcast(plan) if len(rows) <= SMALL else plan, ["source", "lang", "topic", "bin"])
     ranked = rank_in_group(drawn, ["source", "lang", "topic", "bin"], ["doc_id", "n_tokens"], salts=F.col("salts"))
     # Rank r of n is drawn where the multiples of drawn / n pass a whole number.
     extra = F.floor((F.col("rank") + 1) * F.col("drawn") / F.col("n")) - F.floor(F.col("rank") * F.col("drawn") / F.col("n"))

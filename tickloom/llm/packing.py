@@ -76,8 +76,9 @@ def pack(df: DataFrame, item: str, length: str, capacity: int) -> DataFrame:
     histogram = {r["n_tokens"]: r["count"] for r in parts.groupBy("n_tokens").count().collect()}  # at most `capacity` rows
     rows = placements(histogram, capacity)
     places = spark.createDataFrame(rows, "length long, first_rank long, end_rank long, first_pack long, pack_offset long")
+    # At most `capacity` rows.
     salts = spark.createDataFrame([(n, -(-count // PART_ROWS)) for n, count in histogram.items()], "n_tokens long, salts int")
-    ranked = rank_in_group(parts.join(salts, "n_tokens"), ["n_tokens"], ["item", "part_no"], salts=F.col("salts"))
+    ranked = rank_in_group(parts.join(F.broadcast(salts), "n_tokens"), ["n_tokens"], ["item", "part_no"], salts=F.col("salts"))
     # The placements grow with the capacity, not with the items.
     placed = ranked.join(F.broadcast(places), (F.col("n_tokens") == F.col("length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
     packed = placed.select("item", "part_no", "part_start", "n_tokens", (F.col("first_pack") + F.col("rank") - F.col("first_rank")).alias("pack_id"), "pack_offset")
