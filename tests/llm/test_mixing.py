@@ -56,3 +56,15 @@ def test_measured_documents(spark):
     assert {i: (r["lang"], r["n_tokens"] > 0) for i, r in got.items()} == {1: ("en", True), 2: ("und", False), 3: ("de", False), 4: ("en", True)}
     assert got[4]["n_tokens"] >= 20000
     assert M.measured(df.where(F.lit(False)), "doc_id", "source", "lang", "text").count() == 0
+
+
+def test_topics_separate_documents_of_different_words(spark):
+    rng = random.Random(2)
+    words = ["mill ferry harbour wagon", "Straße Mühle Hafen Brücke", "0 1 2 3 4 5 6 7", "récolte été hiver", "niño señor año", "XII IV VII", "a,b;c:d"]
+    rows = [(i, "a", "en", " ".join(rng.choice(words[i % 7].split(" ")) for _ in range(60))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    topics = {}
+    for r in M.measured(df, "doc_id", "source", "lang", "text", topics=7).collect():
+        topics.setdefault(r["doc_id"] % 7, []).append(r["topic"])
+    most = {max(set(t), key=t.count) for t in topics.values()}
+    assert len(most) == 7 and all(t.count(max(set(t), key=t.count)) == 100 for t in topics.values())

@@ -48,17 +48,13 @@ def _seeds(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def _unit(counts: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts.reshape(-1, BUCKETS))
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
-def _read(column: pa.BinaryArray) -> np.ndarray:
-    """Unit histograms of a column of histograms, each ``BUCKETS`` 4-byte counts."""
+def _roots(column: pa.BinaryArray) -> np.ndarray:
+    """Square roots of a column of histograms, each ``BUCKETS`` 4-byte counts; a row's length is the root of its tokens."""
     if not len(column):
-        return np.zeros((0, BUCKETS))
+        return np.zeros((0, BUCKETS), np.float32)
     start, end = (np.frombuffer(column.buffers()[1], np.int32)[column.offset + i] for i in (0, len(column)))
-    return _unit(np.frombuffer(column.buffers()[2], np.int32, (end - start) // 4, start).astype(np.float64))
+    counts = np.frombuffer(column.buffers()[2], np.int32, (end - start) // 4, start)
+    return np.sqrt(counts.astype(np.float32)).reshape(-1, BUCKETS)
 
 
 def _count(folder: str):
@@ -78,12 +74,13 @@ def _sums(centroids: np.ndarray):
     """A partition's sum of unit histograms for each centroid that is their nearest."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(centroids)
+        total = np.zeros(centroids.shape)
         for batch in batches:
             if batch.num_rows:
-                x = _read(batch.column(0))
-                near = np.argmax(x @ centroids.T, axis=1)
-                total += np.eye(len(centroids))[near].T @ x
+                x = _roots(batch.column(0))
+                near = np.argmax(x @ centroids.T.astype(np.float32), axis=1)
+                share = (near == np.arange(len(centroids))[:, None]) / np.sqrt(batch.column(1).to_numpy())
+                total += share.astype(np.float32) @ x
         k, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at])], ["k", "at", "s"])
 
@@ -93,7 +90,7 @@ def _sums(centroids: np.ndarray):
 def _topic(centroids: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.argmax(_read(batch.column(4)) @ centroids.T, axis=1) if batch.num_rows else np.zeros(0)
+            near = np.argmax(_roots(batch.column(4)) @ centroids.T.astype(np.float32), axis=1) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near.astype(np.int32))], ["doc_id", "source", "lang", "n_tokens", "topic"])
 
     return run
@@ -101,12 +98,13 @@ def _topic(centroids: np.ndarray):
 
 def centroids(counted: DataFrame, topics: int) -> np.ndarray:
     """Unit centroids of the documents' histograms; ``topics`` x ``BUCKETS`` numbers a round come to the driver."""
-    known = counted.where("n_tokens > 0").select("histogram", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(max(1, counted.count()))).alias("h"))
+    known = counted.where("n_tokens > 0").select("histogram", "n_tokens", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(max(1, counted.count()))).alias("h"))
     sample = known.where(F.col("h") < SAMPLE).select("histogram").toArrow()
-    c = _seeds(_read(sample["histogram"].combine_chunks()), topics)
+    x = _roots(sample["histogram"].combine_chunks())
+    c = _seeds(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), topics)
     for _ in range(ROUNDS):
         new = np.zeros_like(c)
-        for r in known.select("histogram").mapInArrow(_sums(c), "k int, at int, s double").groupBy("k", "at").agg(F.sum("s").alias("s")).collect():
+        for r in known.select("histogram", "n_tokens").mapInArrow(_sums(c), "k int, at int, s double").groupBy("k", "at").agg(F.sum("s").alias("s")).collect():
             new[r["k"], r["at"]] = r["s"]
         size = np.linalg.norm(new, axis=1, keepdims=True)
         new = np.where(size > 0, new / np.maximum(size, 1e-12), c)
