@@ -1,5 +1,7 @@
 import random
-from datetime import date, datetime, timedelta, timezone
+from collections import Counter
+from datetime import datetime, timedelta, timezone
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,81 +24,99 @@ TYPES = {
     "enquiry_outcome": "tinyint", "our_result": "tinyint", "outcome_ts": "timestamp", "exec_sprd_bp": "float", "exec_px": "double", "cover_sprd_bp": "float", "cover_px": "double", "rec_token_id": "long",
     "rec_delta": "float", "rec_propensity": "float", "policy_id": "int",
 }
-T0 = datetime(2026, 1, 5, 14, tzinfo=timezone.utc)
-# (disclosed, true, outcome, result): a line of each kind of end, then two that never arrived and one that expired
-ENDS = [(0, 0, 0, 0), (1, 1, 0, 2), (2, 0, 0, 0), (2, 1, 0, 1), (2, 0, 0, 2), (2, 1, 0, 3), (2, 0, 1, 4), (2, 1, 2, 4), (0, 0, 0, 5), (1, 1, 0, 5), (0, 0, 3, 4)]
-
-
-def tape(spark, **changes):
-    rows = []
-    for i, (shown, true, outcome, result) in enumerate(ENDS):
-        priced = outcome == 0
-        row = {
-            "event_id": i, "package_id": 2 if i in (2, 3) else i, "line_no": int(i == 3), "n_lines": 1, "package_type": 0, "ts": T0 + timedelta(minutes=i), "trade_date": date(2026, 1, 5), "grid_idx": i, "response_deadline": T0,
-            "client_id": 7, "instrument_id": 100 + i, "client_side_disclosed": shown, "qty_par": 10**6, "qty_bucket": 2, "n_dealers": 5, "anonymous": False, "platform": 1, "token_id": 300 + i, "client_side_true": true,
-            "our_in_panel": i != 9, "received": i not in (8, 9), "action": 0, "quote_sprd_bp": 85.0, "quote_px": 99.5, "response_ts": T0, "enquiry_outcome": outcome, "our_result": result, "outcome_ts": T0 + timedelta(minutes=i, seconds=120),
-            "exec_sprd_bp": 84.0 if priced else None, "exec_px": 99.55 if priced else None, "cover_sprd_bp": 86.5 if priced else None, "cover_px": 99.4 if priced else None, "rec_token_id": None, "rec_delta": None, "rec_propensity": None, "policy_id": None,
-        }
-        rows.append(tuple(changes.get(f"{c}_{i}", row[c]) for c in C.TAPE))
-    return spark.createDataFrame(rows, ", ".join(f"{c} {TYPES[c]}" for c in C.TAPE))
-
-
-def column(df, name):
-    return [r[name] for r in df.orderBy("event_id").collect()]
-
-
-def shown(df, name):
-    return [i for i, x in enumerate(column(df, name)) if x is not None]
-
-
-def test_views_show_what_their_policy_allows(spark):
-    view = P.observable(tape(spark))
-    assert view.columns == C.contract() and len(view.columns) == 33
-    assert column(view, "side_revealed") == [0, 1, 0, 1, None, None, None, None, 0]
-    assert shown(view, "exec_px") == shown(view, "cover_px") == [0, 2]
-    assert shown(P.observable(tape(spark), P.Policy(cover_shown_to=frozenset({0, 1, 2}))), "cover_px") == [0, 1, 2, 3, 4]
-    assert shown(P.observable(tape(spark), P.Policy(prints=True)), "exec_px") == [0, 1, 2, 3, 4, 5]
-    assert column(P.observable(tape(spark), P.Policy(sides_of_trades=frozenset({0, 1, 2}))), "side_revealed")[4] == 0
-    late = P.observable(tape(spark), P.Policy(lag_us=5_000_000))
-    times = [t.astimezone(timezone.utc) if t else None for t in column(late, "side_reveal_ts")]
-    assert times[2] == T0 + timedelta(minutes=2, seconds=125) and times[0] == T0
-
-
-def test_audit_finds_leaks_and_passes_clean_views(spark):
-    wide = P.Policy(sides_of_trades=frozenset({0, 1, 2, 3}), sides_of_others=frozenset({1, 2}), cover_shown_to=frozenset({0, 1}), prints=True)
-    view = P.observable(tape(spark), wide)
-    assert {r["n_rows"] for r in P.audit(view, wide).collect()} == {0}
-    found = {r["rule"]: r["n_rows"] for r in P.audit(view).collect()}
-    assert (found["two_way_side_shown"], found["execution_shown"], found["cover_shown"]) == (4, 4, 1)
-    early = view.withColumn("side_reveal_ts", F.col("side_reveal_ts") - F.expr("INTERVAL 10 MINUTES"))
-    assert {r["rule"]: r["n_rows"] for r in P.audit(early, wide).collect()}["reveal_before_request"] == 9
+START = datetime(2031, 6, 2, 8, 30, tzinfo=timezone.utc)
+# Every way an enquiry can look, show and end: (disclosed, true, outcome, result), a two-way being of either true side.
+WAYS = [(shown, true, outcome, result) for shown, true in ((0, 0), (1, 1), (2, 0), (2, 1)) for outcome, result in product(range(4), range(6))]
+
+
+def line(i, shown, true, outcome, result, **changes):
+    ts = START + timedelta(seconds=97 * i)
+    row = dict.fromkeys(C.TAPE) | {
+        "event_id": 1000 + i, "package_id": 1000 + i - i % 3, "line_no": i % 3, "n_lines": 3, "package_type": 1, "ts": ts, "trade_date": ts.date(), "client_id": 40 + i // 3 % 5, "instrument_id": 500 + i % 11, "token_id": 9000 + i,
+        "client_side_disclosed": shown, "client_side_true": true, "our_in_panel": True, "received": result != 5, "enquiry_outcome": outcome, "our_result": result, "outcome_ts": ts + timedelta(minutes=4), "qty_par": 250_000 * (i + 1), "n_dealers": 3,
+    }
+    if outcome == P.TRADED:
+        row |= {"exec_px": 101 + i / 8, "exec_sprd_bp": 40.0 + i, "cover_px": 100 + i / 8, "cover_sprd_bp": 41.0 + i}
+    return row | changes
+
+
+def tape(spark, rows=None):
+    rows = [line(i, *way) for i, way in enumerate(WAYS)] if rows is None else rows
+    return spark.createDataFrame([tuple(r[c] for c in C.TAPE) for r in rows], ", ".join(f"{c} {TYPES[c]}" for c in C.TAPE))
+
+
+EVERY_SIDE = P.Policy(sides_of_trades=frozenset(range(6)), sides_of_others=frozenset({1, 2, 3}), cover_shown_to=frozenset({0, 1, 2}), prints=True, lag_us=1_500_000)
+POLICIES = [P.DEFAULT, P.STRICT, EVERY_SIDE, P.Policy(sides_of_others=frozenset({3})), P.Policy(cover_shown_to=frozenset({1, 4}))]
+
+
+def allowed(policy, outcome, result):
+    """(side, execution, cover) that a policy shows at this end of an enquiry."""
+    side = result in policy.sides_of_trades if outcome == P.TRADED else outcome in policy.sides_of_others
+    return side, outcome == P.TRADED and (policy.prints or result == P.WON), outcome == P.TRADED and result in policy.cover_shown_to
+
+
+@pytest.mark.parametrize("policy", POLICIES)
+def test_views_show_what_their_policy_allows(spark, policy):
+    view = P.observable(tape(spark), policy)
+    assert view.columns == C.contract() and not {"token_id", "client_side_true", "received"} & set(view.columns)
+    got = {r["event_id"] - 1000: r for r in view.collect()}
+    assert got.keys() == {i for i, way in enumerate(WAYS) if way[3] != 5}
+    for i, r in got.items():
+        shown, true, outcome, result = WAYS[i]
+        side, execution, cover = allowed(policy, outcome, result)
+        asked = START + timedelta(seconds=97 * i)
+        when = r["side_reveal_ts"].astimezone(timezone.utc) if r["side_reveal_ts"] else None
+        if shown != P.TWO_WAY:
+            assert (r["side_revealed"], when) == (shown, asked)
+        else:
+            assert (r["side_revealed"], when) == ((true, asked + timedelta(minutes=4, microseconds=policy.lag_us)) if side else (None, None))
+        assert r["exec_px"] == (101 + i / 8 if execution else None) and r["cover_sprd_bp"] == (41.0 + i if cover else None)
+
+
+def test_audits_count_what_a_policy_does_not_allow(spark):
+    view = P.observable(tape(spark), EVERY_SIDE)
+    for policy in POLICIES:
+        ends = [(way, allowed(policy, *way[2:]), allowed(EVERY_SIDE, *way[2:])) for way in WAYS if way[3] != 5]
+        found = {r["rule"]: r["n_rows"] for r in P.audit(view, policy).collect()}
+        assert found.pop("two_way_side_shown") == sum(way[0] == P.TWO_WAY and was[0] and not may[0] for way, may, was in ends)
+        assert found.pop("execution_shown") == sum(was[1] and not may[1] for _, may, was in ends)
+        assert found.pop("cover_shown") == sum(was[2] and not may[2] for _, may, was in ends)
+        assert set(found.values()) == {0}
+    early = view.withColumn("side_reveal_ts", F.col("side_reveal_ts") - F.expr("INTERVAL 1 HOUR"))
+    found = {r["rule"]: r["n_rows"] for r in P.audit(early, EVERY_SIDE).collect()}
+    assert found["reveal_before_request"] == view.where("side_revealed IS NOT NULL").count()
 
 
 def test_invariants_and_contract(spark):
-    bad = tape(spark, client_side_true_0=1, our_in_panel_0=False)
+    rows = [line(i, *way) for i, way in enumerate(WAYS)]
+    rows[3] |= {"our_in_panel": False}
+    rows[5] |= {"our_in_panel": False}  # not received
+    rows[30] |= {"client_side_true": 0}
+    bad = tape(spark, rows)
     assert {r["rule"]: r["n_rows"] for r in P.invariants(bad).collect()} == {"received_off_panel": 1, "disclosed_side_differs": 1}
     with pytest.raises(C.ContractError):
-        P.observable(tape(spark).withColumn("sneaky", F.lit(1)))
-    with pytest.raises(C.ContractError):
-        P.audit(P.observable(tape(spark)).withColumn("token_id", F.lit(1)))
-    with pytest.raises(C.ContractError):
-        P.audit(P.observable(tape(spark)).drop("cover_px"))
-    assert C.with_classes(tape(spark).schema)["token_id"].metadata["class"] == C.LATENT
-    assert P.observable(tape(spark).where("false")).count() == 0
+        P.observable(bad.withColumn("hedge", F.lit(1)))
+    view = P.observable(tape(spark))
+    for other in (view.withColumn("received", F.lit(True)), view.drop("exec_px"), view.withColumnRenamed("ts", "time")):
+        with pytest.raises(C.ContractError):
+            P.audit(other)
+    assert C.with_classes(bad.schema)["our_in_panel"].metadata["class"] == C.SELECTOR
+    assert P.observable(bad.where("false")).count() == 0
 
 
 def test_sentences(spark):
     rows = tape(spark).withColumn("ts_us", F.unix_micros("ts"))
     got = {r["package_id"]: r for r in sentences(rows).collect()}
-    assert len(got) == 10 and got[2]["tokens"] == [302, 303] and got[2]["n_clients"] == 1
-    assert {r["n_clients"] for r in sentences(rows.withColumn("client_id", F.col("event_id"))).where("package_id = 2").collect()} == {2}
+    assert {p: r["tokens"] for p, r in got.items()} == {1000 + p: [9000 + p, 9001 + p, 9002 + p] for p in range(0, len(WAYS), 3)}
+    assert {r["n_clients"] for r in got.values()} == {1} and got[1006]["client_id"] == 42
+    assert {r["n_clients"] for r in sentences(rows.withColumn("client_id", F.col("event_id"))).collect()} == {3}
 
 
 def test_multi_author_packages_gather_no_group(spark, tmp_path):
-    changes = {"instrument_id_1": 100, "client_id_1": 8, "instrument_id_2": 100, "instrument_id_4": None, "instrument_id_5": None, "client_id_5": 9}
-    tape(spark, **changes).write.parquet(f"{tmp_path}/rfq_lines.parquet")
+    rows = [line(i, 0, 0, 0, 0, instrument_id=n, client_id=c) for i, (n, c) in enumerate([(70, 1), (70, 2), (70, 1), (71, 1), (None, 3), (None, 4), (71, None)])]
+    tape(spark, rows).write.parquet(f"{tmp_path}/rfq_lines.parquet")
     out = queries_tape.multi_author_packages(spark, str(tmp_path))
-    assert {r["instrument_id"]: (r["n_clients"], r["n_lines"]) for r in out.collect()} == {100: (2, 3), None: (2, 2)}
+    assert {r["instrument_id"]: (r["n_clients"], r["n_lines"]) for r in out.collect()} == {70: (2, 3), None: (2, 2)}
     assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
@@ -106,11 +126,18 @@ def test_all_contexts_drop_no_token(spark, tmp_path):
     assert got == [(i, k, n, n) for i, k, n in [(0, 0, 0), (1, 0, 1), (2, 0, 256), (3, 0, 256), (3, 1, 1), (4, 0, 256), (4, 1, 256), (4, 2, 188)]]
 
 
-def test_pair_counts_by_hand(spark):
-    rows = [(t, c, date(2026, 1, 5), i, i) for i, (t, c) in enumerate(zip([1, 2, 3, 1, 2, 2], [7, 7, 8, 7, 7, 7]))]
+@pytest.mark.parametrize("window", [2, 9, 500])
+def test_pair_counts_against_brute_force(spark, window):
+    rng = random.Random(window)
+    rows = [(rng.randrange(6), rng.choice([None, 1, 1, 2]), START.date() + timedelta(days=rng.randrange(2)), rng.randrange(40), i) for i in range(120)]
+    want = Counter()
+    for day in {r[2] for r in rows}:
+        order = sorted((r for r in rows if r[2] == day), key=lambda r: (r[3], r[4]))
+        for at in range(0, len(order), window):
+            for (t, c, *_), (u, d, *_) in combinations(order[at : at + window], 2):
+                want[min(t, u), max(t, u), c is not None and c == d] += 1
     df = spark.createDataFrame(rows, "token_id long, client_id long, trade_date date, ts_us long, event_id long")
-    got = {(r["token_a"], r["token_b"], r["same_client"]): r["n"] for r in window_pair_counts(df, window=3).collect()}
-    assert got == {(1, 2, True): 3, (1, 3, False): 1, (2, 3, False): 1, (2, 2, True): 1}
+    assert {(r["token_a"], r["token_b"], r["same_client"]): r["n"] for r in window_pair_counts(df, window=window).collect()} == want
 
 
 def lines(spark, rows):

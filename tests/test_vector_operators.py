@@ -1,12 +1,15 @@
 import math
 import os
+from datetime import date
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom import queries_vectors
 from tickloom.functions import counter_rng as R
 from tickloom.functions import vectors as V
+from tickloom.operators import attributes as A
 from tickloom.operators import choice as C
 from tickloom.operators import grid as G
 from tickloom.operators import recovery as M
@@ -22,9 +25,9 @@ def test_generator_gives_the_published_words(spark):
 
 def test_draws_follow_their_weights(spark):
     u = R.uniform(R.philox(F.col("id"), 1)[0])
-    weights = F.array(*(F.lit(float(w)) for w in (1, 2, 3, 0, 4)))
+    weights = F.array(*(F.lit(float(w)) for w in (6, 0, 1, 3)))
     got = {r[0]: r[1] / 20_000 for r in spark.range(20_000).select(R.categorical(u, weights).alias("i")).groupBy("i").count().collect()}
-    assert all(abs(got.get(i, 0) - p) < 0.015 for i, p in enumerate((0.1, 0.2, 0.3, 0, 0.4)))
+    assert all(abs(got.get(i, 0) - p) < 0.015 for i, p in enumerate((0.6, 0, 0.1, 0.3)))
     assert [r[0] for r in spark.range(1).select(R.categorical(F.lit(0.5), F.array(F.lit(0.0)))).collect()] == [-1]
     a, b = R.normal_pair(R.philox(F.col("id"), 2))
     mean, std, corr = spark.range(20_000).select(a.alias("a"), b.alias("b")).agg(F.avg("a"), F.stddev("b"), F.corr("a", "b")).first()
@@ -55,15 +58,41 @@ def test_poisson_counts_equal_the_inverse_distribution(spark):
 
 
 def test_partition_and_softmax_draw(spark):
-    rows = [(1, i, math.log(w), i != 3) for i, w in enumerate((1, 2, 3, 99, 4))] + [(2, 0, 0.0, False), (3, 0, None, True)]
+    rows = [(1, i, math.log(w), i != 3) for i, w in enumerate((5, 1, 2, 50, 8))] + [(2, 0, 0.0, False), (3, 0, None, True)]
     df = spark.createDataFrame(rows, "g long, c long, logit double, ok boolean")
     got = {r["g"]: r for r in C.log_partition(df, "g", F.col("logit"), F.col("ok")).collect()}
-    assert abs(math.exp(got[1]["log_z"]) - 10) < 1e-9 and (got[1]["n_candidates"], got[1]["n_masked"]) == (4, 1)
+    assert abs(math.exp(got[1]["log_z"]) - 16) < 1e-9 and (got[1]["n_candidates"], got[1]["n_masked"]) == (4, 1)
     assert got[2]["log_z"] == got[3]["log_z"] == -math.inf
     many = spark.range(4000).crossJoin(F.broadcast(df.where("g = 1").drop("g")))  # repetitions of a small fixture
     u = R.uniform(R.philox(F.col("id") * 8 + F.col("c"), 4)[0])
     share = {r[0]: r[1] / 4000 for r in C.softmax_draw(many, "id", "c", F.col("logit"), F.col("ok"), u).groupBy("chosen").count().collect()}
-    assert all(abs(share.get(i, 0) - p) < 0.04 for i, p in enumerate((0.1, 0.2, 0.3, 0, 0.4)))
+    assert all(abs(share.get(i, 0) - p) < 0.04 for i, p in enumerate((5 / 16, 1 / 16, 2 / 16, 0, 8 / 16)))
+
+
+INSTRUMENTS = "instrument_id long, issue_date date, maturity_date date, coupon double, amount double, rating int, seniority int, sector int, on_the_run boolean, in_index boolean, is_144a boolean, is_financial boolean"
+
+
+def test_features_of_instruments(spark):
+    asof = F.lit("2030-03-01").cast("date")
+    rows = [
+        (1, date(2020, 3, 1), date(2035, 3, 2), 4.5, 2e9, 4, 2, 1, True, False, None, True),
+        (2, date(2031, 1, 1), date(2029, 1, 1), 0.0, 0.0, 11, 0, 0, False, True, True, False),
+        (3, None, None, None, None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], INSTRUMENTS + ", feature string, value int")
+    got = {(r["instrument_id"], r["feature"]): r["value"] for r in A.features(df, asof, ["a", "b"]).collect()}
+    assert len(got) == 3 * len(A.names(["a", "b"])) and {got[3, n] for n in A.names(["a", "b"])} == {None}
+    of = lambda i: {n: got[i, n] for n in A.names(["a", "b"])}
+    one, two = of(1), of(2)
+    left = 1827 / 365.25
+    assert abs(one["log1p_age"] - math.log1p(3652 / 365.25)) < 1e-12 and abs(one["log1p_ttm"] - math.log1p(left)) < 1e-12
+    assert abs(one["tenor_rbf_7"] - math.exp(-((math.log1p(left) - math.log(8)) ** 2) / (2 * 0.35**2))) < 1e-12 and one["tenor_rbf_5"] > 0.999
+    assert abs(one["log_size_s"] - (math.log10(2e9) - 8) / 2) < 1e-12 and (one["coupon_s"], one["rating_unit"], one["seniority_s"]) == (0.45, 3 / 21, 2 / 3)
+    assert (one["is_hy"], one["is_otr"], one["in_index"], one["is_144a"], one["is_financial"], one["sector_a"], one["sector_b"]) == (0, 1, 0, None, 1, 0, 1)
+    assert (two["log1p_age"], two["log1p_ttm"], two["log_size_s"], two["is_hy"], two["sector_a"]) == (0, 0, -4, 1, 1)
+    with pytest.raises(Exception, match="no such sector: 1"):
+        A.features(df, asof, ["a"]).collect()
+    assert A.features(df.where("false"), asof, ["a"]).count() == 0
 
 
 def test_best_two(spark):

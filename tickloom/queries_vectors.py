@@ -20,7 +20,7 @@ from tickloom.sources.tables import table
 from tickloom.streaming import tape as T
 
 KEY = (1234567, 7654321)
-SECTORS = 12
+SECTORS = [f"{i:02d}" for i in range(12)]
 
 
 def _embeddings(spark: SparkSession, root: str) -> DataFrame:
@@ -131,7 +131,7 @@ def _instruments(spark: SparkSession, root: str) -> DataFrame:
     day = lambda d, n: F.date_add(F.lit(d).cast("date"), n.cast("int"))
     return table(spark, root, "part").select(
         F.col("p_partkey").alias("instrument_id"), day("2020-01-01", -size * 30).alias("issue_date"), day("2026-01-01", size * 100).alias("maturity_date"), (F.col("p_retailprice") / 100).alias("coupon"),
-        (size * 1e7).alias("amount"), (size % 22 + 1).alias("rating"), (size % 4).alias("seniority"), (brand % SECTORS).alias("sector"), (size % 5 == 0).alias("on_the_run"), (size % 3 == 0).alias("in_index"), (size % 2 == 0).alias("is_144a"), (brand % 4 == 0).alias("is_financial"),
+        (size * 1e7).alias("amount"), (size % 22 + 1).alias("rating"), (size % 4).alias("seniority"), (brand % len(SECTORS)).alias("sector"), (size % 5 == 0).alias("on_the_run"), (size % 3 == 0).alias("in_index"), (size % 2 == 0).alias("is_144a"), (brand % 4 == 0).alias("is_financial"),
     )
 
 
@@ -141,7 +141,7 @@ def instrument_features(spark: SparkSession, root: str) -> DataFrame:
 
 
 def standard_features(spark: SparkSession, root: str) -> DataFrame:
-    out = A.standardised(A.features(_instruments(spark, root), F.lit("2026-01-05").cast("date"), 0), "instrument_id", ("is_144a",))
+    out = A.standardised(A.features(_instruments(spark, root), F.lit("2026-01-05").cast("date"), []), "instrument_id", ("is_144a",))
     return out.select("instrument_id", "feature", (F.round("value", 4) + 0.0).alias("value"))
 
 
@@ -247,15 +247,11 @@ _INSTRUMENTS = f"""inst AS (SELECT p_partkey AS instrument_id, DATE '2026-01-05'
 timed AS (SELECT *, greatest(age_days / 365.25, 0) AS age, greatest(left_days / 365.25, 0) AS lft FROM inst)"""
 
 
-def _features_sql(sectors: int) -> str:
-    values = {"log1p_age": "ln(1 + age)", "log1p_ttm": "ln(1 + lft)"}
-    values |= {f"tenor_bump_{int(k)}": f"exp(-0.5 * pow((ln(1 + lft) - ln(1 + {k})) / 0.35, 2))" for k in A.KNOTS}
-    values |= {
-        "coupon": "coupon / 10", "log_amount": "(log10(amount) - 8) / 2", "rating": "(rating - 1) / 21.0", "is_high_yield": "CAST(rating >= 11 AS INT)", "on_the_run": "CAST(otr AS INT)", "in_index": "CAST(idx AS INT)",
-        "is_144a": "CAST(r144a AS INT)", "is_financial": "CAST(fin AS INT)", "seniority": "seniority / 3.0",
-    }
-    values |= {f"sector_{i:02d}": f"CAST(sector = {i} AS INT)" for i in range(sectors)}
-    return _INSTRUMENTS + ", feats AS (" + " UNION ALL ".join(f"SELECT instrument_id, '{n}' AS feature, CAST({v} AS DOUBLE) AS value FROM timed" for n, v in values.items()) + ")"
+def _features_sql(sectors: list[str]) -> str:
+    tenor = "exp(-0.5 * pow((ln(1 + lft) - ln(1 + {})) / 0.35, 2))"
+    plain = ("coupon / 10", "(log10(greatest(amount, 1)) - 8) / 2", "(rating - 1) / 21.0", "CAST(rating >= 11 AS INT)", "CAST(otr AS INT)", "CAST(idx AS INT)", "CAST(r144a AS INT)", "CAST(fin AS INT)", "seniority / 3.0")
+    values = ["ln(1 + age)", "ln(1 + lft)", *map(tenor.format, A.KNOTS), *plain, *(f"CAST(sector = {i} AS INT)" for i in range(len(sectors)))]
+    return _INSTRUMENTS + ", feats AS (" + " UNION ALL ".join(f"SELECT instrument_id, '{n}' AS feature, CAST({v} AS DOUBLE) AS value FROM timed" for n, v in zip(A.names(sectors), values)) + ")"
 
 
 _DOTS = """
@@ -300,7 +296,7 @@ SELECT (SELECT count(*) FROM per) AS n, (SELECT round(avg(sep), 6) FROM per) AS
 WITH {_DOTS} SELECT round(fl, 6) AS full_left, round(fr, 6) AS full_right, round(lr, 6) AS left_right, round((fl - fr * lr) / sqrt((1 - fr * fr) * (1 - lr * lr)), 6) AS left_given_right, round((fr - fl * lr) / sqrt((1 - fl * fl) * (1 - lr * lr)), 6) AS right_given_left FROM c""",
     "instrument_features": f"WITH {_features_sql(SECTORS)} SELECT instrument_id, feature, round(value, 6) AS value FROM feats",
     "standard_features": f"""
-WITH {_features_sql(0)}, m AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM feats GROUP BY 1)
+WITH {_features_sql([])}, m AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM feats GROUP BY 1)
 SELECT instrument_id, feature, round(CASE WHEN feature = 'is_144a' THEN value ELSE (value - m) / CASE WHEN s < 1e-8 THEN 1 ELSE s END END, 4) + 0.0 AS value FROM feats JOIN m USING (feature)""",
     "token_weights": "WITH t AS (SELECT token_id, (DATE '2010-03-01' - CAST(born_ts AS DATE)) / 365.25 AS age FROM token_map) SELECT token_id, round(2.0 * exp(-age / 4) * CASE WHEN age < 1 THEN 1.5 ELSE 1.0 END, 6) AS weight FROM t",
     "entropy_floor": f"WITH {_LOGGED} SELECT count(*) AS n, round(-avg(lp), 6) AS floor_nats, round(avg(ln(greatest(n, 1))), 6) AS uniform_nats FROM logged",
