@@ -219,6 +219,35 @@ def test_streams_hold_a_day_of_a_key_at_a_time(spark, tmp_path, monkeypatch):
     assert len(widest) == 2 and all(n <= 60 for _, n in widest)
 
 
+def test_stream_gaps_equal_the_batch_whatever_order_files_come_in(spark, tmp_path):
+    day = 86_400_000_000
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(1, 4)), int(rng.integers(0, 3 * day)) // 10**9 * 10**9) for i in range(240)]
+    rows += rows[:9]  # delivered again
+    files = [sorted(rows[120:200], key=lambda r: -r[2]), rows[:80], rows[200:], rows[80:120]]
+    for part in files:
+        df = spark.createDataFrame(part, "event_id long, user_id long, us long").select("event_id", "user_id", F.timestamp_micros("us").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream = T.stream_table(spark, str(tmp_path), "events", files_per_batch=1)
+    drained = T.drained(T.day_gaps(stream, "user_id", "ts", "event_id"), "append")
+    assert drained.agg(F.max("version")).first()[0] >= 2
+    got = sorted((r["key"], r["item"], r["gap_us"] is None, r["gap_us"] or 0) for r in T.gaps(drained).collect())
+    want = []
+    for user in (1, 2, 3):
+        order = sorted((us, i) for i, u, us in rows if u == user)
+        want += [(user, i, k == 0, us - order[k - 1][0] if k else 0) for k, (us, i) in enumerate(order)]
+    assert got == sorted(want)
+
+
+def test_clock_after_the_last_session(spark):
+    day = 86_400_000_000
+    calendar = spark.createDataFrame([(date(1970, 1, 3), 2 * day + 100, 2 * day + 400), (date(1970, 1, 6), 5 * day + 100, 5 * day + 600)], "trade_date date, open_us long, close_us long")
+    times = {0: 0, 2 * day + 150: 50, 4 * day: 300, 5 * day + 300: 500, 6 * day: 800, 800 * day: 800}
+    events = spark.createDataFrame([(t,) for t in times], "ts_us long")
+    assert {r["ts_us"]: r["session_us"] for r in G.session_clock(events, calendar).collect()} == times
+    assert {r["session_us"] for r in G.session_clock(events, calendar.where("false")).collect()} == {0}
+
+
 def test_event_ids(spark):
     row = spark.range(1).select(L.event_id(F.lit(5), F.lit(77)).alias("i")).select("i", L.shard_of(F.col("i")), L.counter_of(F.col("i"))).first()
     assert tuple(row) == ((5 << 48) + 77, 5, 77)

@@ -21,8 +21,9 @@ def session_clock(events: DataFrame, calendar: DataFrame) -> DataFrame:
     days = calendar.select(F.datediff("trade_date", F.lit("1970-01-01")).cast("long").alias("d"), "open_us", "close_us").where("open_us IS NOT NULL AND close_us IS NOT NULL")
     order = W.orderBy("d").rowsBetween(W.unboundedPreceding, -1)
     summed = days.withColumn("before", F.coalesce(F.sum(F.col("close_us") - F.col("open_us")).over(order), F.lit(0)))
-    # A row for every day up to the next session, so that days without a session find the last one.
-    spans = summed.withColumn("next_d", F.coalesce(F.lead("d").over(W.orderBy("d")), F.col("d") + 366)).withColumn("day", F.explode(F.sequence("d", F.col("next_d") - 1)))
+    # A row for every day up to the next session, so that days without a session find the last one; days after the last session count as its day.
+    day = F.least(day, days.agg(F.max("d")).scalar())
+    spans = summed.withColumn("next_d", F.coalesce(F.lead("d").over(W.orderBy("d")), F.col("d") + 1)).withColumn("day", F.explode(F.sequence("d", F.col("next_d") - 1)))
     at = F.least(F.greatest(F.col("ts_us") - F.col("open_us"), F.lit(0)), F.col("close_us") - F.col("open_us"))
     return events.withColumn("_day", day).join(spans.select("day", "open_us", "close_us", "before"), F.col("_day") == F.col("day"), "left").select(
         *events.columns, F.coalesce(F.col("before") + at, F.lit(0)).alias("session_us")

@@ -4,7 +4,8 @@ Rows are never moved to their key. Every input split encodes its keys with
 its own dictionary and reduces them into dense arrays (bincount and
 scatter-reduce), so a task's work follows the size of its split, whatever the
 keys. Only array blocks are shuffled: one block per (group, page of the key
-space) and split, and a page is summed as its blocks stream by.
+space) and split, and a page is summed as its blocks stream by, sorted by page,
+so that a task holds one page at a time.
 """
 
 from collections.abc import Iterable, Iterator
@@ -22,6 +23,11 @@ _EMPTY = {"sum": 0, "min": np.iinfo(np.int64).max, "max": np.iinfo(np.int64).min
 _SCATTER = {"sum": np.add, "min": np.minimum, "max": np.maximum}
 
 
+def _fits(sums: np.ndarray) -> None:
+    if (np.abs(sums) >= 2.0**63).any():
+        raise OverflowError("a sum does not fit 64 bits")
+
+
 class Accumulators:
     """A growing key dictionary and, aligned with it, one dense array per total."""
 
@@ -45,12 +51,16 @@ class Accumulators:
         self.n[at] += np.bincount(inverse, minlength=len(unique))
         codes = at[inverse]
         for kind, total, value in zip(self.kinds, self.totals, values):
+            if kind == "sum":
+                _fits(total[at] + np.bincount(inverse, value.astype(np.float64), len(unique)))
             _SCATTER[kind].at(total, codes, value)
 
     def add_block(self, keys: np.ndarray, n: np.ndarray, totals: list[np.ndarray]) -> None:
         at = self._encode(keys)
         self.n[at] += n
         for kind, own, other in zip(self.kinds, self.totals, totals):
+            if kind == "sum":
+                _fits(own[at] + other.astype(np.float64))
             own[at] = _SCATTER[kind](own[at], other)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -103,22 +113,29 @@ def _blocks(kinds: list[str], pages: int):
 
 
 def _sum_blocks(kinds: list[str]):
-    """Reduce side: blocks of a page stream by and are added into one dense array each."""
+    """Reduce side: the blocks of a page come one after another and are added into one dense array each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], Accumulators] = {}
+        page, acc = None, Accumulators(kinds)
+
+        def summed() -> pa.RecordBatch:
+            keys, n, totals = acc.arrays()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([page[0]] * len(keys), pa.string()), pa.array(keys), pa.array(n), *map(pa.array, totals)],
+                ["grp", "key_id", "n", *(f"t{i}" for i in range(len(kinds)))],
+            )
+
         for batch in batches:
             lists = [batch.column(2 + i) for i in range(2 + len(kinds))]
             names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for row, name in enumerate(names):
-                keys, n, *totals = (x[row].values.to_numpy(zero_copy_only=False) for x in lists)
-                held.setdefault(name, Accumulators(kinds)).add_block(keys, n, totals)
-        for (group, _), acc in held.items():
-            keys, n, totals = acc.arrays()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([group] * len(keys), pa.string()), pa.array(keys), pa.array(n), *map(pa.array, totals)],
-                ["grp", "key_id", "n", *(f"t{i}" for i in range(len(kinds)))],
-            )
+                if name != page:
+                    if page is not None:
+                        yield summed()
+                    page, acc = name, Accumulators(kinds)
+                acc.add_block(*(x[row].values.to_numpy(zero_copy_only=False) for x in lists[:2]), [x[row].values.to_numpy(zero_copy_only=False) for x in lists[2:]])
+        if page is not None:
+            yield summed()
 
     return run
 
@@ -131,22 +148,21 @@ def totals_by_key(df: DataFrame, key: Column, group: Column, totals: dict[str, t
     with kind sum, min or max. Returns ``grp, key_id, n`` and the totals.
 
     Rows whose key or group is null belong to no key and do not count. A null
-    value adds nothing; a key with only null values has a null total. Repeated
-    rows count as often as they occur. An empty input gives no rows. Other
+    value adds nothing; a key with only null values has a null total. A sum that
+    does not fit 64 bits fails the query. Repeated rows count as often as they occur. An empty input gives no rows. Other
     columns of ``df`` are not read, so their names can't clash.
     """
     totals = totals or {}
     kinds = [kind for kind, _ in totals.values()]
     if bad := set(kinds) - set(_EMPTY):
         raise ValueError(f"totals are sum, min or max, not {sorted(bad)}")
-    # A sum that ignores nulls must still tell "no value" from 0, so each sum brings the count of its values.
+    # A total that ignores nulls must still tell "no value" from any value, so each brings the count of its values.
     names, columns, extra = [], [], []
     for name, (kind, column) in totals.items():
         value = column.cast("long")
-        names.append((name, kind, len(columns)))
+        names.append((name, len(columns)))
         columns.append(F.coalesce(value, F.lit(int(_EMPTY[kind]))))
-        if kind == "sum":
-            extra.append((name, value))
+        extra.append((name, value))
     for name, value in extra:
         columns.append(value.isNotNull().cast("long"))
         kinds.append("sum")
@@ -154,9 +170,9 @@ def totals_by_key(df: DataFrame, key: Column, group: Column, totals: dict[str, t
     arrays = ", ".join(f"t{i} array<long>" for i in range(len(kinds)))
     blocks = rows.mapInArrow(_blocks(kinds, pages), "grp string, page int, keys array<long>, n array<long>" + (f", {arrays}" if kinds else ""))
     flat = ", ".join(f"t{i} long" for i in range(len(kinds)))
-    summed = blocks.repartition("grp", "page").mapInArrow(_sum_blocks(kinds), "grp string, key_id long, n long" + (f", {flat}" if kinds else ""))
+    summed = blocks.repartition("grp", "page").sortWithinPartitions("grp", "page").mapInArrow(_sum_blocks(kinds), "grp string, key_id long, n long" + (f", {flat}" if kinds else ""))
     seen = {name: F.col(f"t{len(totals) + i}") > 0 for i, (name, _) in enumerate(extra)}
-    out = [F.when(seen[name] if kind == "sum" else F.col(f"t{i}") != F.lit(int(_EMPTY[kind])), F.col(f"t{i}")).alias(name) for name, kind, i in names]
+    out = [F.when(seen[name], F.col(f"t{i}")).alias(name) for name, i in names]
     return summed.select("grp", "key_id", "n", *out)
 
 
@@ -164,5 +180,3 @@ def dominant_keys(counts: DataFrame, one_in: int = 25, at_least: int = 10) -> Da
     """Keys of ``totals_by_key`` that hold at least ``1/one_in`` of their group and ``at_least`` rows."""
     whole = counts.groupBy("grp").agg(F.sum("n").alias("whole"))
     return counts.join(whole, "grp").where((F.col("n") * one_in >= F.col("whole")) & (F.col("n") >= at_least)).select("grp", "key_id", "n", "whole")
-
-

@@ -1,9 +1,15 @@
-"""Structured Streaming forms: state per key, and windowed counts, equal to the batch results once a stream is drained."""
+"""Structured Streaming forms: state per key, and windowed counts.
+
+Once a stream is drained, gaps and window counts equal the batch results in
+whatever order files come (windows as far as the watermark waits); blocks number
+a day's events in the order they come.
+"""
 
 import os
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,11 +20,12 @@ from tickloom.plans.storage import shared_dir
 from tickloom.sources.tables import table
 
 
-def stream_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The table as a stream of files; NTZ times become UTC timestamps, which watermarks need."""
+def stream_table(spark: SparkSession, root: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """The table as a stream of files; NTZ times become UTC timestamps, which watermarks need. By default a micro-batch takes all files there are."""
     schema = table(spark, root, name).schema
     # A pattern, since a stream takes a plain path for a folder and the table may be one file.
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    stream = (reader.option("maxFilesPerTrigger", str(files_per_batch)) if files_per_batch else reader).parquet(f"{root}/{name}.parque[t]")
     return stream.select(*(F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in schema))
 
 
@@ -45,31 +52,42 @@ def _by_day(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
 
 
 def day_gaps(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
-    """``key, day, item, us, gap_us``: microseconds since the key's previous event of the day, null for its first; the last time is kept as state.
+    """``key, day, item, nth, us, version, gap_us``: microseconds since the key's previous event of the day, null for its first.
 
-    A micro-batch may be the whole table, so a group is a day of a key and never all of it; ``gaps`` joins the days.
+    The day's events are kept as state (a micro-batch may be the whole table, so
+    a group is a day of a key and never all of it; ``gaps`` joins the days). A
+    late event comes out with its own gap and with the changed gap of the event
+    after it, under a higher version. ``nth`` tells repeated events apart.
     """
 
     def step(name: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["us", "item"])
-        before = rows["us"].shift(1).astype("Int64")
-        if last is not None and len(rows):
-            before.iloc[0] = last
-        state.update((int(rows["us"].iloc[-1]),))
-        yield pd.DataFrame({"key": name[0], "day": name[1], "item": rows["item"], "us": rows["us"], "gap_us": rows["us"] - before})
-
-    return _by_day(events, key, ts, item).groupBy("key", "day").applyInPandasWithState(step, "key long, day long, item long, us long, gap_us long", "last long", "append", "NoTimeout")
+        held, version = (np.frombuffer(state.get[0], np.int64).reshape(-1, 2), state.get[1] + 1) if state.exists else (np.zeros((0, 2), np.int64), 0)
+        rows = np.concatenate([held, *(f[["us", "item"]].to_numpy(np.int64) for f in frames)])
+        new = np.arange(len(rows)) >= len(held)
+        order = np.lexsort((new, rows[:, 1], rows[:, 0]))
+        rows, new = rows[order], new[order]
+        again = np.r_[False, (rows[1:] == rows[:-1]).all(axis=1)]
+        at = np.arange(len(rows))
+        gap = pd.array(np.r_[0, np.diff(rows[:, 0])], "Int64")
+        gap[:1] = pd.NA
+        state.update((rows.tobytes(), version))
+        out = pd.DataFrame({"key": name[0], "day": name[1], "item": rows[:, 1], "nth": at - np.maximum.accumulate(np.where(again, 0, at)), "us": rows[:, 0], "version": version, "gap_us": gap})
+        yield out[new | np.r_[False, new[:-1]]]
+
+    kind = "key long, day long, item long, nth long, us long, version long, gap_us long"
+    return _by_day(events, key, ts, item).groupBy("key", "day").applyInPandasWithState(step, kind, "held binary, version long", "append", "NoTimeout")
 
 
 def gaps(drained_days: DataFrame) -> DataFrame:
     """``key, item, gap_us``: microseconds since the key's previous event, null for its first, from what ``day_gaps`` wrote.
 
-    A day's first event looks at the last one of the days before, of which there is one row per key and day.
+    Of each event the last version counts. A day's first event looks at the
+    last one of the days before, of which there is one row per key and day.
     """
+    final = drained_days.groupBy("key", "day", "item", "nth", "us").agg(F.max_by("gap_us", "version").alias("gap_us"))
     lasts = drained_days.groupBy("key", "day").agg(F.max("us").alias("last"))
     before = lasts.select("key", "day", F.lag("last").over(W.partitionBy("key").orderBy("day")).alias("before"))
-    return drained_days.join(before, ["key", "day"], "left").select("key", "item", F.coalesce("gap_us", F.col("us") - F.col("before")).alias("gap_us"))
+    return final.join(before, ["key", "day"], "left").select("key", "item", F.coalesce("gap_us", F.col("us") - F.col("before")).alias("gap_us"))
 
 
 def day_places(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
