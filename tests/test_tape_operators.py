@@ -14,6 +14,7 @@ from tickloom.operators.blocks import DEALER_EDGES, edge_bucket, gap_bucket
 from tickloom.operators.packages import sentences, window_pair_counts
 from tickloom.operators.sequences import anchor_positions, fixed_context, greedy_sequences, mixture_plan
 from tickloom.operators.tape_windows import tape_windows
+from tickloom.plans.chains import begins
 from tickloom.plans.neighbours_in_time import previous_time
 from tickloom.plans.ranking import rank_in_group
 
@@ -223,3 +224,19 @@ def test_ranks_and_previous_times(spark):
     for g in (1, 2):
         order = sorted((u, i) for k, u, i in rows if k == g)
         assert [before[i] for _, i in order] == [None, *(u for u, _ in order[:-1])]
+
+
+def test_states_are_chained_over_levels(spark):
+    rng = random.Random(12)
+    rows = [(g, s, [rng.randrange(4) for _ in range(4)], [rng.randrange(3) for _ in range(4)]) for g, n in ((1, 40), (2, 3), (5, 1)) for s in range(n)]
+    want = {}
+    for g in (1, 2, 5):
+        state = number = 0
+        for _, s, after, marks in sorted(r for r in rows if r[0] == g):
+            want[g, s] = (state, number)
+            state, number = after[state], number + marks[state]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "grp long, stretch long, after array<int>, marks array<int>")
+    for fan in (2, 3, 256):
+        assert {(r["grp"], r["stretch"]): (r["state"], r["number"]) for r in begins(df, fan).collect()} == want
+    assert begins(df.where("false")).count() == 0

@@ -12,6 +12,7 @@ from tickloom.operators import summary as S
 from tickloom.operators.packages import latest_lines, packages_by_first_lines, sentences, window_pair_counts
 from tickloom.operators.sequences import anchor_positions, fixed_context, greedy_sequences, mixture_plan, packed
 from tickloom.operators.tape_windows import tape_windows
+from tickloom.plans.storage import materialise
 from tickloom.sources.tables import table
 
 CONTEXT = 256
@@ -165,6 +166,26 @@ def tape_stretches(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumnRenamed("grp", "month_no")
 
 
+def _corpus(items: DataFrame, lines: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    out = packed(items, B.blocks(lines, *_codes(spark, root)))
+    return out.select("grp", "seq_no", "n_lines", *(F.array_join(c, " ").alias(c) for c in ("tokens", "family", "event_ids")))
+
+
+def session_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """Each client's lines in runs that fit a context: tokens, their families, and the lines' ids at their anchors."""
+    lines = materialise(_lines(spark, root), "lines")
+    length = F.when(F.col("line_no") == 0, 7).otherwise(3)
+    return _corpus(greedy_sequences(lines, "client_id", "ts_us", "event_id", length, CONTEXT - 2), lines, spark, root).withColumnRenamed("grp", "client_id")
+
+
+def tape_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """The same of windows along the whole tape of all clients, one chain over all months, each half a context on from the last."""
+    lines = materialise(_lines(spark, root), "lines")
+    length = F.when(F.col("line_no") == 0, 7).otherwise(3)
+    items = tape_windows(lines, F.lit(0), "ts_us", "event_id", length, CONTEXT - 2, (CONTEXT - 2) // 2, members=True)
+    return _corpus(items, lines, spark, root).drop("grp")
+
+
 def training_mixture(spark: SparkSession, root: str) -> DataFrame:
     """Written sequences in a training order, a quarter of it tape."""
     return mixture_plan(table(spark, root, "packed_corpus").where("tokens IS NOT NULL"), "seq_id", F.col("axis") == "tape", 0.25, (11, 13))
@@ -322,6 +343,7 @@ cut AS (
     SELECT s.client_id, s.event_id, s.rn, CASE WHEN c.fill + s.len > 254 THEN s.len ELSE c.fill + s.len END, CASE WHEN c.fill + s.len > 254 THEN c.seq_no + 1 ELSE c.seq_no END
     FROM cut c JOIN sized s ON s.client_id = c.client_id AND s.rn = c.rn + 1
 )"""
+_JOINED = "'1 ' || string_agg(array_to_string(toks, ' '), ' ' ORDER BY {order}) || ' 2' AS tokens, '0 ' || string_agg(array_to_string(fams, ' '), ' ' ORDER BY {order}) || ' 0' AS family, '0 ' || string_agg(array_to_string(list_transform(fams, lambda f: CASE WHEN f = 3 THEN b.event_id ELSE 0 END), ' '), ' ' ORDER BY {order}) || ' 0' AS event_ids"
 _DRIFT = f"""{_LINES},
 grid AS (SELECT trade_date, CAST((ts_us % 86400000000) // 3600000000 AS BIGINT) AS hour, count(*) FILTER (client_side_disclosed = 0) AS a, count(*) FILTER (client_side_disclosed = 1) AS b, count(*) FILTER (client_side_disclosed = 2) AS c FROM lines GROUP BY ALL),
 stepped AS (SELECT trade_date, hour, CAST(abs(a - lag(a) OVER w) + abs(b - lag(b) OVER w) + abs(c - lag(c) OVER w) AS DOUBLE) AS step FROM grid WINDOW w AS (PARTITION BY trade_date ORDER BY hour)),
@@ -377,6 +399,18 @@ FROM placed a JOIN placed b ON a.trade_date = b.trade_date AND a.rn // 64 = b.rn
 WITH RECURSIVE {_BLOCKS}, {_WINDOWS[_WINDOWS.index("sized AS"):]}
 SELECT c.client_id, c.seq_no, count(*) AS n_lines, CAST(sum(len(toks)) + 2 AS BIGINT) AS n_tokens, '1 ' || string_agg(array_to_string(toks, ' '), ' ' ORDER BY c.rn) || ' 2' AS tokens
 FROM cut c JOIN blk b ON b.event_id = c.event_id GROUP BY 1, 2""",
+    "session_corpus": f"""
+WITH RECURSIVE {_BLOCKS}, {_WINDOWS[_WINDOWS.index("sized AS"):]}
+SELECT c.client_id, c.seq_no, count(*) AS n_lines, {_JOINED.format(order="c.rn")} FROM cut c JOIN blk b ON b.event_id = c.event_id GROUP BY 1, 2""",
+    "tape_corpus": f"""
+WITH RECURSIVE {_BLOCKS},
+sized AS (SELECT event_id, CASE WHEN line_no = 0 THEN 7 ELSE 3 END AS len, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS rn FROM lines),
+cum AS (SELECT rn, event_id, len, CAST(coalesce(sum(len) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c FROM sized),
+ends AS (SELECT rn, c FROM cum UNION ALL SELECT max(rn) + 1, max(c + len) FROM cum),
+nxt AS (SELECT a.rn, max(CASE WHEN b.c <= a.c + 127 THEN b.rn END) AS next_rn, max(b.rn) AS end_rn FROM cum a JOIN ends b ON b.rn BETWEEN a.rn AND a.rn + 90 AND b.c <= a.c + 254 GROUP BY ALL),
+chain AS (SELECT rn, CAST(0 AS BIGINT) AS seq_no FROM nxt WHERE rn = 0 UNION ALL SELECT greatest(n.next_rn, n.rn + 1), h.seq_no + 1 FROM chain h JOIN nxt n ON n.rn = h.rn WHERE greatest(n.next_rn, n.rn + 1) < (SELECT count(*) FROM cum)),
+held AS (SELECT h.seq_no, unnest(range(n.rn, n.end_rn)) AS rn FROM chain h JOIN nxt n ON n.rn = h.rn)
+SELECT h.seq_no, count(*) AS n_lines, {_JOINED.format(order="h.rn")} FROM held h JOIN cum USING (rn) JOIN blk b ON b.event_id = cum.event_id GROUP BY 1""",
     "tape_stretches": f"""
 WITH RECURSIVE {_LINES},
 sized AS (SELECT year(trade_date) * 12 + month(trade_date) - 1 AS month_no, CASE WHEN line_no = 0 THEN 7 ELSE 3 END AS len, row_number() OVER w - 1 AS rn, ts_us, event_id FROM lines WINDOW w AS (PARTITION BY year(trade_date) * 12 + month(trade_date) ORDER BY ts_us, event_id)),
@@ -431,7 +465,7 @@ QUERIES = {f"observable_{name}": _observable(name) for name in POLICIES} | {
     f.__name__: f
     for f in (
         leakage_audit, leakage_audit_clean, invariant_report, observable_tokens, token_parity, vocabulary, vocabulary_layout, tokens_alive, vocabulary_encode, gap_buckets, size_dealer_buckets, token_blocks,
-        package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, tape_stretches, training_mixture, fixed_contexts, all_contexts, anchor_predictions, hour_grid, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
+        package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, session_corpus, tape_corpus, tape_stretches, training_mixture, fixed_contexts, all_contexts, anchor_predictions, hour_grid, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
         drift_budget, activity_level, validation_battery, token_counts, token_gini,
     )
 }

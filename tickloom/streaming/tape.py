@@ -47,7 +47,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 
 
 def _by_day(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
-    rows = events.select(F.col(key).alias("key"), F.col(item).alias("item"), F.unix_micros(ts).alias("us")).where("key IS NOT NULL AND us IS NOT NULL")
+    rows = events.select(F.col(key).alias("key"), F.col(item).alias("item"), F.unix_micros(ts).alias("us")).where("key IS NOT NULL AND us IS NOT NULL AND item IS NOT NULL")
     return rows.withColumn("day", F.floor(F.col("us") / 86_400_000_000).cast("long"))
 
 
