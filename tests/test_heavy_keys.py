@@ -56,3 +56,11 @@ def test_dominant_keys(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = H.dominant_keys(H.totals_by_key(df, F.col("k"), F.col("g"))).collect()
     assert [(r["grp"], r["key_id"], r["n"], r["whole"]) for r in got] == [("a", 1, 30, 130)]
+
+
+def test_extreme_values_and_sums_that_do_not_fit(spark):
+    df = spark.createDataFrame([(1, "a", 2**63 - 1), (2, "a", -(2**63)), (2, "a", None)], "k long, g string, v long")
+    got = totals(df, lo="min", hi="max")
+    assert (got["a", 1]["lo"], got["a", 2]["hi"]) == (2**63 - 1, -(2**63))
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        totals(spark.createDataFrame([(1, "a", 2**62)] * 2, "k long, g string, v long").repartition(2), s="sum")

@@ -18,13 +18,6 @@ from tickloom.plans.chains import begins
 from tickloom.plans.neighbours_in_time import previous_time
 from tickloom.plans.ranking import rank_in_group
 
-TYPES = {
-    "event_id": "long", "package_id": "long", "line_no": "int", "n_lines": "int", "package_type": "tinyint", "ts": "timestamp", "trade_date": "date", "grid_idx": "long", "response_deadline": "timestamp",
-    "client_id": "long", "instrument_id": "long", "client_side_disclosed": "tinyint", "qty_par": "long", "qty_bucket": "tinyint", "n_dealers": "smallint", "anonymous": "boolean", "platform": "smallint",
-    "token_id": "long", "client_side_true": "tinyint", "our_in_panel": "boolean", "received": "boolean", "action": "tinyint", "quote_sprd_bp": "float", "quote_px": "double", "response_ts": "timestamp",
-    "enquiry_outcome": "tinyint", "our_result": "tinyint", "outcome_ts": "timestamp", "exec_sprd_bp": "float", "exec_px": "double", "cover_sprd_bp": "float", "cover_px": "double", "rec_token_id": "long",
-    "rec_delta": "float", "rec_propensity": "float", "policy_id": "int",
-}
 START = datetime(2031, 6, 2, 8, 30, tzinfo=timezone.utc)
 # Every way an enquiry can look, show and end: (disclosed, true, outcome, result), a two-way being of either true side.
 WAYS = [(shown, true, outcome, result) for shown, true in ((0, 0), (1, 1), (2, 0), (2, 1)) for outcome, result in product(range(4), range(6))]
@@ -43,7 +36,7 @@ def line(i, shown, true, outcome, result, **changes):
 
 def tape(spark, rows=None):
     rows = [line(i, *way) for i, way in enumerate(WAYS)] if rows is None else rows
-    return spark.createDataFrame([tuple(r[c] for c in C.TAPE) for r in rows], ", ".join(f"{c} {TYPES[c]}" for c in C.TAPE))
+    return spark.createDataFrame([tuple(r[c] for c in C.TAPE) for r in rows], ", ".join(f"{c} {C.TYPES[c]}" for c in C.TAPE))
 
 
 EVERY_SIDE = P.Policy(sides_of_trades=frozenset(range(6)), sides_of_others=frozenset({1, 2, 3}), cover_shown_to=frozenset({0, 1, 2}), prints=True, lag_us=1_500_000)
@@ -98,7 +91,8 @@ def test_invariants_and_contract(spark):
     with pytest.raises(C.ContractError):
         P.observable(bad.withColumn("hedge", F.lit(1)))
     view = P.observable(tape(spark))
-    for other in (view.withColumn("received", F.lit(True)), view.drop("exec_px"), view.withColumnRenamed("ts", "time")):
+    moved = view.select(*view.columns[1:], view.columns[0])
+    for other in (view.withColumn("received", F.lit(True)), view.drop("exec_px"), view.withColumnRenamed("ts", "time"), moved, view.withColumn("exec_px", F.col("exec_px").cast("float"))):
         with pytest.raises(C.ContractError):
             P.audit(other)
     assert C.with_classes(bad.schema)["our_in_panel"].metadata["class"] == C.SELECTOR
@@ -208,6 +202,25 @@ def test_dictionary(spark):
     assert [r.first(f) for f in ("TDLT", "CLI", "TOK", "SZ", "NDLR", "OUT")] == [6, 31, 2431, 6031, 6039, 6047]
 
 
+def test_tokens_that_must_be_known(spark):
+    known = spark.createDataFrame([(5, 0, 50), (5, 1, 51), (5, 2, 52), (6, 0, 60)], "instrument_id long, sense int, token_id long")
+    lines = lambda *rows: spark.createDataFrame([(*r, "x") for r in rows], "instrument_id long, client_side_disclosed int, sense string")
+    assert [r["observed_token"] for r in D.tokens_for(lines((5, 2), (6, 0)), known).collect()] == [52, 60]
+    for row, message in (((5, 3), "no such sense: 3"), ((5, None), "no such sense: null"), ((6, 1), "no token for instrument 6"), ((None, 0), "no token for instrument null")):
+        with pytest.raises(Exception, match=message):
+            D.tokens_for(lines(row), known).collect()
+    assert {r["token_id"]: (r["instrument_row"], r["sense"]) for r in D.token_rows(known).collect()} == {50: (0, 0), 51: (0, 1), 52: (0, 2), 60: (1, 0)}
+
+
+def test_decoding_undoes_encoding(spark):
+    clients, tokens = spark.createDataFrame([(8,), (3,)], "client_id long"), spark.createDataFrame([(70,), (10,), (40,)], "token_id long")
+    known = D.vocabulary(spark, clients, tokens)
+    codes = D.sorted_codes(tokens, "token_id", D.ranges(clients, tokens).first("TOK"))
+    coded = D.encode(spark.createDataFrame([(40, 1), (11, 2), (None, 3)], "t long, family int"), "t", codes, "g")
+    assert {r["t"]: (r["family"], r["raw_id"]) for r in D.decode(coded, "g", known).collect()} == {40: ("TOK", 40), 11: ("SPECIAL", D.UNK), None: ("SPECIAL", D.UNK)}
+    assert D.decode(spark.createDataFrame([(10**6,)], "g long"), "g", known).first()["family"] is None
+
+
 def test_ranks_and_previous_times(spark):
     rng = random.Random(1)
     rows = [(rng.choice([1, 1, 2, None]), rng.randrange(50), i) for i in range(300)]

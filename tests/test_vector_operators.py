@@ -248,6 +248,22 @@ def test_clock_after_the_last_session(spark):
     assert {r["session_us"] for r in G.session_clock(events, calendar.where("false")).collect()} == {0}
 
 
+def test_manifest_keeps_its_version(spark, tmp_path):
+    df = spark.createDataFrame([(i, date(2031, 1 + i % 2, 3)) for i in range(50)], "i long, d date")
+    L.write_monthly(df, f"{tmp_path}/t", "d", ["i"])
+    L.write_manifest(spark, f"{tmp_path}/t", f"{tmp_path}/m", "7")
+    assert L.read_manifest(spark, f"{tmp_path}/m", "7").agg(F.sum("n_rows")).first()[0] == 50
+    assert L.mismatches(L.read_manifest(spark, f"{tmp_path}/m", "7"), L.inventory(spark, f"{tmp_path}/t")).count() == 0
+    with pytest.raises(Exception, match="schema version is not 8: 7"):
+        L.read_manifest(spark, f"{tmp_path}/m", "8").collect()
+
+
+def test_gini_of_equal_and_odd_values(spark):
+    df = spark.createDataFrame([(3.0,)] * 500 + [(None,), (float("nan"),), (0.0,), (-2.0,)], "n double")
+    assert tuple(S.gini(df).first()) == (500, 0.0)
+    assert abs(S.gini(spark.createDataFrame([(1.0,)] * 99 + [(101.0,)], "n double")).first()["gini"] - 0.495) < 1e-12
+
+
 def test_event_ids(spark):
     row = spark.range(1).select(L.event_id(F.lit(5), F.lit(77)).alias("i")).select("i", L.shard_of(F.col("i")), L.counter_of(F.col("i"))).first()
     assert tuple(row) == ((5 << 48) + 77, 5, 77)

@@ -4,17 +4,21 @@ from pyspark.sql import types as T
 
 OBSERVABLE, LATENT, SELECTOR, GATED = "observable", "latent", "selector", "policy_gated"
 
-# The columns of the canonical tape in order, and the class of those that are not plainly observable.
-TAPE = (
-    "event_id package_id line_no n_lines package_type ts trade_date grid_idx response_deadline client_id instrument_id client_side_disclosed "
-    "qty_par qty_bucket n_dealers anonymous platform token_id client_side_true our_in_panel received action quote_sprd_bp quote_px response_ts "
-    "enquiry_outcome our_result outcome_ts exec_sprd_bp exec_px cover_sprd_bp cover_px rec_token_id rec_delta rec_propensity policy_id"
-).split()
+# The columns of the canonical tape in order with their types, those that the observable tape adds, and the
+# class of those that are not plainly observable.
+TYPES = {
+    "event_id": "bigint", "package_id": "bigint", "line_no": "int", "n_lines": "int", "package_type": "tinyint", "ts": "timestamp", "trade_date": "date", "grid_idx": "bigint", "response_deadline": "timestamp",
+    "client_id": "bigint", "instrument_id": "bigint", "client_side_disclosed": "tinyint", "qty_par": "bigint", "qty_bucket": "tinyint", "n_dealers": "smallint", "anonymous": "boolean", "platform": "smallint",
+    "token_id": "bigint", "client_side_true": "tinyint", "our_in_panel": "boolean", "received": "boolean", "action": "tinyint", "quote_sprd_bp": "float", "quote_px": "double", "response_ts": "timestamp",
+    "enquiry_outcome": "tinyint", "our_result": "tinyint", "outcome_ts": "timestamp", "exec_sprd_bp": "float", "exec_px": "double", "cover_sprd_bp": "float", "cover_px": "double", "rec_token_id": "bigint",
+    "rec_delta": "float", "rec_propensity": "float", "policy_id": "int",
+}
+ADDED = {"side_revealed": "tinyint", "side_reveal_ts": "timestamp"}
+TAPE = tuple(TYPES)
 RESTRICTED = {
     "grid_idx": LATENT, "token_id": LATENT, "client_side_true": LATENT, "our_in_panel": SELECTOR, "received": SELECTOR,
     "exec_sprd_bp": GATED, "exec_px": GATED, "cover_sprd_bp": GATED, "cover_px": GATED,
 }
-ADDED = ("side_revealed", "side_reveal_ts")
 
 
 class ContractError(ValueError):
@@ -39,6 +43,15 @@ def check_columns(found: list[str], wanted: list[str]) -> None:
         raise ContractError(f"unknown columns {sorted(set(found) - set(wanted))}, missing columns {sorted(set(wanted) - set(found))}")
 
 
+def check_contract(schema: T.StructType) -> None:
+    """The observable tape's columns, their order and their types."""
+    check_columns(schema.names, contract())
+    kinds = TYPES | ADDED
+    wrong = [f"{f.name} {f.dataType.simpleString()} for {name} {kinds[name]}" for f, name in zip(schema, contract()) if (f.name, f.dataType.simpleString()) != (name, kinds[name])]
+    if wrong:
+        raise ContractError(f"columns out of place or of another type: {wrong}")
+
+
 def with_classes(schema: T.StructType) -> T.StructType:
     """The schema with every field's class in its metadata."""
     check_columns(schema.names, TAPE)

@@ -9,6 +9,7 @@ from tickloom.plans.ranking import rank_in_group
 
 # Special ids and the sizes of the closed families.
 PAD, BOS, EOS, SEP, LEG, UNK = range(6)
+SENSES = (0, 1, 2)
 CLOSED = {"TDLT": 25, "SZ": 8, "NDLR": 8, "OUT": 24}
 
 
@@ -71,6 +72,28 @@ def observable_tokens(lines: DataFrame, token_map: DataFrame) -> DataFrame:
     return lines.join(known, (F.col("instrument_id") == F.col("_i")) & (F.col("client_side_disclosed") == F.col("_s")), "left").drop("_i", "_s")
 
 
+def tokens_for(lines: DataFrame, token_map: DataFrame) -> DataFrame:
+    """``lines`` with ``observed_token``; a side that is no sense, or an instrument the dictionary lacks, fails the query."""
+    out = observable_tokens(lines, token_map)
+    side, instrument = F.col("client_side_disclosed"), F.col("instrument_id")
+    wrong = F.when(side.isNull() | ~side.isin(*SENSES), F.concat(F.lit("no such sense: "), F.coalesce(side.cast("string"), F.lit("null")))).when(
+        F.col("observed_token").isNull(), F.concat(F.lit("no token for instrument "), F.coalesce(instrument.cast("string"), F.lit("null")))
+    )
+    return out.withColumn("observed_token", F.when(wrong.isNull(), F.col("observed_token")).otherwise(F.raise_error(wrong).cast("long")))
+
+
+def decode(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """``df`` with ``family, raw_id`` of the global ids in ``column``, null for ids that ``known`` (``vocabulary``) lacks."""
+    own = known.select("family", "raw_id", F.col("gid").alias("_gid"))
+    return df.drop("family", "raw_id").join(own, F.col(column) == F.col("_gid"), "left").drop("_gid")
+
+
+def token_rows(token_map: DataFrame) -> DataFrame:
+    """``token_id, instrument_row, sense``: each token's instrument as a row number of the sorted instruments."""
+    rows = sorted_codes(token_map, "instrument_id", 0).select(F.col("raw_id").alias("_i"), F.col("gid").alias("instrument_row"))
+    return token_map.join(rows, F.col("instrument_id") == F.col("_i")).select("token_id", "instrument_row", F.col("sense").cast("long").alias("sense"))
+
+
 def valid_at(entries: DataFrame, born: str, retired: str, at: Column) -> DataFrame:
     """Entries in force at a time: born at or before it and not yet retired; a null birth is never in force."""
     return entries.where((F.col(born) <= at) & (F.col(retired).isNull() | (F.col(retired) > at)))

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.classes import TAPE, check_columns, contract
+from tickloom.operators.classes import ADDED, TAPE, TYPES, check_columns, check_contract, contract
 
 # Codes of the tape.
 TWO_WAY = 2
@@ -56,7 +56,7 @@ def _later(ts: str, us: int) -> Column:
 def observable(tape: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Received lines without latent columns; sides and prices as far as ``policy`` shows them.
 
-    Raises if the columns are not exactly those of the tape. A null code opens
+    Raises if the columns are not exactly those of the tape; types become those of the contract. A null code opens
     no gate; a null disclosed side stays null. Repeated lines stay repeated.
     """
     check_columns(tape.columns, TAPE)
@@ -69,7 +69,8 @@ def observable(tape: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
         *(F.when(execution, F.col(c)).alias(c) for c in ("exec_sprd_bp", "exec_px")),
         *(F.when(cover, F.col(c)).alias(c) for c in ("cover_sprd_bp", "cover_px")),
     )
-    return seen.select(*contract())
+    kinds = TYPES | ADDED
+    return seen.select(*(F.col(c).cast(kinds[c]).alias(c) for c in contract()))
 
 
 def _counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -90,8 +91,8 @@ def invariants(tape: DataFrame) -> DataFrame:
 
 
 def audit(view: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """``rule, n_rows``: rows of an observable view that show more than ``policy`` allows; raises on other columns."""
-    check_columns(view.columns, contract())
+    """``rule, n_rows``: rows of an observable view that show more than ``policy`` allows; raises on other columns, another order or other types."""
+    check_contract(view.schema)
     side, execution, cover = _gates(policy)
     two_way = F.col("client_side_disclosed") == TWO_WAY
     revealed = F.col("side_revealed").isNotNull()

@@ -1,10 +1,9 @@
 """Checks and summary statistics of a tape."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.plans.ranking import rank_in_group
-
 
 def dense_counts(dim: DataFrame, key: str, lines: DataFrame, column: str) -> DataFrame:
     """``key, n`` for every key of ``dim``, 0 where no line has it."""
@@ -13,10 +12,22 @@ def dense_counts(dim: DataFrame, key: str, lines: DataFrame, column: str) -> Dat
 
 
 def gini(counts: DataFrame, column: str = "n") -> DataFrame:
-    """``n_active, gini`` of the positive values; ranks come from counts per value range, not from one sort."""
-    active = counts.select(F.col(column).cast("double").alias("x")).where("x > 0")
-    ranked = rank_in_group(active, [], ["x"], F.floor(F.log2("x") * 64), salts=1)
-    sums = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum((F.col("rank") + 1) * F.col("x")).alias("rx"))
+    """``n_active, gini`` of the positive values.
+
+    Equal values are one row with their number, whose ranks are summed by
+    arithmetic. Smaller values are counted per range of values and within it,
+    so neither a common value nor the whole is sorted in one task; null, NaN
+    and values that are not positive take no part.
+    """
+    active = counts.select(F.col(column).cast("double").alias("x")).where("x > 0 AND NOT isnan(x)")
+    values = active.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.floor(F.log2("x") * 64))
+    before = W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)  # over one row per range, of which a double has some 130,000 at most
+    ranges = values.groupBy(F.col("range").alias("r")).agg(F.sum("n").alias("in_range")).select("r", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("below"))
+    smaller = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = values.withColumn("smaller", smaller).join(ranges, F.col("range") == F.col("r"))
+    n = F.col("n").cast("double")
+    rank_sum = n * (F.col("below") + F.col("smaller")) + n * (n + 1) / 2
+    sums = placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(n * F.col("x")).alias("s"), F.sum(rank_sum * F.col("x")).alias("rx"))
     return sums.select(F.col("n").alias("n_active"), F.when(F.col("n") > 0, (2 * F.col("rx") - (F.col("n") + 1) * F.col("s")) / (F.col("n") * F.col("s"))).alias("gini"))
 
 

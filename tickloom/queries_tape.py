@@ -13,6 +13,7 @@ from tickloom.operators.packages import latest_lines, packages_by_first_lines, s
 from tickloom.operators.sequences import anchor_positions, fixed_context, greedy_sequences, mixture_plan, packed
 from tickloom.operators.tape_windows import tape_windows
 from tickloom.plans.storage import materialise
+from tickloom.queries_vectors import _U, _philox_sql
 from tickloom.sources.tables import table
 
 CONTEXT = 256
@@ -68,6 +69,17 @@ def observable_tokens(spark: SparkSession, root: str) -> DataFrame:
     return out.select("event_id", "observed_token")
 
 
+def strict_tokens(spark: SparkSession, root: str) -> DataFrame:
+    """The same, where a side that is no sense or an unknown instrument would fail the query."""
+    out = D.tokens_for(_tape(spark, root).where("received").select("event_id", "instrument_id", "client_side_disclosed"), table(spark, root, "token_map"))
+    return out.select("event_id", "observed_token")
+
+
+def token_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Each token's instrument as a row number, and its sense."""
+    return D.token_rows(table(spark, root, "token_map"))
+
+
 def token_parity(spark: SparkSession, root: str) -> DataFrame:
     """Per day: received lines, and those whose observed token is the logged one."""
     out = D.observable_tokens(_tape(spark, root).where("received").select("trade_date", "token_id", "instrument_id", "client_side_disclosed"), table(spark, root, "token_map"))
@@ -83,6 +95,25 @@ def vocabulary_layout(spark: SparkSession, root: str) -> DataFrame:
     return D.layout_breaks(table(spark, root, "token_map"))
 
 
+def vocabulary_saved(spark: SparkSession, root: str) -> DataFrame:
+    """The vocabulary as written to the shared folder and read again."""
+    return materialise(vocabulary(spark, root), "vocabulary")
+
+
+def decoded_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """How often each id of each family stands in the lines' blocks, by decoding the blocks' tokens."""
+    tokens = B.blocks(_lines(spark, root), *_codes(spark, root)).select(F.explode("tokens").alias("gid")).groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+    return D.decode(tokens, "gid", vocabulary(spark, root)).select("family", "raw_id", "n")
+
+
+def anchor_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """Per axis of the written sequences: events at anchors, those of them on the tape, and the tape's events without an anchor."""
+    known = _tape(spark, root).select("event_id").distinct()
+    anchors = table(spark, root, "packed_corpus").select("axis", F.explode("event_id").alias("event_id")).where("event_id <> 0").distinct()
+    met = anchors.join(known.withColumn("on_tape", F.lit(1)), "event_id", "left").groupBy("axis").agg(F.count(F.lit(1)).alias("n_anchored"), F.count("on_tape").alias("n_on_tape"))
+    return met.select("axis", "n_anchored", "n_on_tape", (known.agg(F.count(F.lit(1))).scalar() - F.col("n_on_tape")).alias("n_missing"))
+
+
 def tokens_alive(spark: SparkSession, root: str) -> DataFrame:
     """Per sense, tokens in force at the middle of the tape."""
     alive = D.valid_at(table(spark, root, "token_map"), "born_ts", "retired_ts", F.lit("2010-02-01 00:00:00+00:00").cast("timestamp"))
@@ -143,19 +174,20 @@ def pair_counts(spark: SparkSession, root: str) -> DataFrame:
     return window_pair_counts(_lines(spark, root))
 
 
-def _session_items(spark: SparkSession, root: str) -> DataFrame:
+def _session_items(lines: DataFrame) -> DataFrame:
     length = F.when(F.col("line_no") == 0, 7).otherwise(3)
-    return greedy_sequences(_lines(spark, root), "client_id", "ts_us", "event_id", length, CONTEXT - 2)
+    return greedy_sequences(lines, "client_id", "ts_us", "event_id", length, CONTEXT - 2)
 
 
 def session_windows(spark: SparkSession, root: str) -> DataFrame:
     """Each client's lines in runs that fit a context."""
-    return _session_items(spark, root).select(F.col("grp").alias("client_id"), F.col("item").alias("event_id"), "seq_no")
+    return _session_items(_lines(spark, root)).select(F.col("grp").alias("client_id"), F.col("item").alias("event_id"), "seq_no")
 
 
 def packed_sessions(spark: SparkSession, root: str) -> DataFrame:
     """The runs' tokens between begin and end marks."""
-    out = packed(_session_items(spark, root), B.blocks(_lines(spark, root), *_codes(spark, root)))
+    lines = materialise(_lines(spark, root), "lines")
+    out = packed(_session_items(lines), B.blocks(lines, *_codes(spark, root)))
     return out.select(F.col("grp").alias("client_id"), "seq_no", "n_lines", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -174,8 +206,7 @@ def _corpus(items: DataFrame, lines: DataFrame, spark: SparkSession, root: str)
 def session_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Each client's lines in runs that fit a context: tokens, their families, and the lines' ids at their anchors."""
     lines = materialise(_lines(spark, root), "lines")
-    length = F.when(F.col("line_no") == 0, 7).otherwise(3)
-    return _corpus(greedy_sequences(lines, "client_id", "ts_us", "event_id", length, CONTEXT - 2), lines, spark, root).withColumnRenamed("grp", "client_id")
+    return _corpus(_session_items(lines), lines, spark, root).withColumnRenamed("grp", "client_id")
 
 
 def tape_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -321,6 +352,10 @@ _SIDES = "(enquiry_outcome = 0 AND our_result IN (0, 1))"
 _RULES = ("disclosed_side_changed", "disclosed_time_changed", "two_way_side_shown", "reveal_before_request", "reveal_without_time", "execution_shown", "cover_shown")
 _CLIENT_CODES = "cli AS (SELECT client_id, 30 + row_number() OVER (ORDER BY client_id) AS gid FROM (SELECT DISTINCT client_id FROM clients))"
 _TOKEN_CODES = "tok AS (SELECT token_id, 30 + (SELECT count(*) FROM cli) + row_number() OVER (ORDER BY token_id) AS gid FROM (SELECT DISTINCT token_id FROM token_map))"
+_VOCABULARY = """
+SELECT 'SPECIAL' AS family, range AS raw_id, range AS gid FROM range(6) UNION ALL SELECT 'TDLT', range, 6 + range FROM range(25)
+UNION ALL SELECT 'CLI', client_id, gid FROM cli UNION ALL SELECT 'TOK', token_id, gid FROM tok
+UNION ALL SELECT f, range, (SELECT count(*) FROM cli) + (SELECT count(*) FROM tok) + 31 + o + range FROM (VALUES ('SZ', 0, 8), ('NDLR', 8, 8), ('OUT', 16, 24)) t(f, o, s), range(24) WHERE range < s"""
 _SIZE = " + ".join(f"CAST(qty_par >= {e:.0f} AS BIGINT)" for e in B.SIZE_EDGES)
 _DEALERS = " + ".join(f"CAST(n_dealers >= {e} AS BIGINT)" for e in B.DEALER_EDGES)
 _GAPS = "gaps AS (SELECT event_id, client_id, (ts_us - lag(ts_us) OVER (PARTITION BY client_id ORDER BY ts_us, event_id)) / 1e6 AS g FROM lines WHERE line_no = 0)"
@@ -370,12 +405,25 @@ SELECT rule, CASE rule WHEN 'two_way_side_shown' THEN (SELECT count(*) FROM v WH
 SELECT 'received_off_panel' AS rule, count(*) FILTER (received AND NOT our_in_panel) AS n_rows FROM rfq_lines
 UNION ALL SELECT 'disclosed_side_differs', count(*) FILTER (client_side_disclosed <> 2 AND client_side_disclosed <> client_side_true) FROM rfq_lines""",
     "observable_tokens": "SELECT event_id, m.token_id AS observed_token FROM rfq_lines l LEFT JOIN token_map m ON l.instrument_id = m.instrument_id AND l.client_side_disclosed = m.sense WHERE received",
+    "strict_tokens": "SELECT event_id, m.token_id AS observed_token FROM rfq_lines l JOIN token_map m ON l.instrument_id = m.instrument_id AND l.client_side_disclosed = m.sense WHERE received",
+    "token_rows": "SELECT token_id, dense_rank() OVER (ORDER BY instrument_id) - 1 AS instrument_row, CAST(sense AS BIGINT) AS sense FROM token_map",
     "token_parity": "SELECT trade_date, count(*) AS n_lines, count(*) FILTER (m.token_id = l.token_id) AS n_equal FROM rfq_lines l LEFT JOIN token_map m ON l.instrument_id = m.instrument_id AND l.client_side_disclosed = m.sense WHERE received GROUP BY trade_date",
-    "vocabulary": f"""
-WITH {_CLIENT_CODES}, {_TOKEN_CODES}, tail AS (SELECT (SELECT count(*) FROM cli) + (SELECT count(*) FROM tok) + 31 AS t)
-SELECT 'SPECIAL' AS family, range AS raw_id, range AS gid FROM range(6) UNION ALL SELECT 'TDLT', range, 6 + range FROM range(25)
-UNION ALL SELECT 'CLI', client_id, gid FROM cli UNION ALL SELECT 'TOK', token_id, gid FROM tok
-UNION ALL SELECT 'SZ', range, t + range FROM range(8), tail UNION ALL SELECT 'NDLR', range, t + 8 + range FROM range(8), tail UNION ALL SELECT 'OUT', range, t + 16 + range FROM range(24), tail""",
+    "anchor_coverage": """
+WITH known AS (SELECT DISTINCT event_id FROM rfq_lines), anchors AS (SELECT DISTINCT axis, e AS event_id FROM (SELECT axis, unnest(event_id) AS e FROM packed_corpus) WHERE e <> 0)
+SELECT axis, count(*) AS n_anchored, count(k.event_id) AS n_on_tape, (SELECT count(*) FROM known) - count(k.event_id) AS n_missing FROM anchors LEFT JOIN known k USING (event_id) GROUP BY 1""",
+    "decoded_blocks": f"""
+WITH {_BLOCKS}, counted AS (SELECT gid, count(*) AS n FROM (SELECT unnest(toks) AS gid FROM blk) GROUP BY 1), vocab AS ({_VOCABULARY})
+SELECT family, raw_id, n FROM counted LEFT JOIN vocab USING (gid)""",
+    "vocabulary_saved": f"WITH {_CLIENT_CODES}, {_TOKEN_CODES} {_VOCABULARY}",
+    "training_mixture": f"""
+WITH seqs AS (SELECT DISTINCT seq_id, coalesce(axis = 'tape', false) AS is_tape FROM packed_corpus WHERE tokens IS NOT NULL AND seq_id IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY is_tape ORDER BY seq_id) - 1 AS rank FROM seqs),
+sizes AS (SELECT count(*) FILTER (NOT is_tape) AS n, count(*) FILTER (is_tape) AS m FROM seqs),
+positions AS (SELECT unnest(range(n + CAST(floor(n * 0.25 / 0.75) AS BIGINT))) AS position FROM sizes),
+{_philox_sql("position", "positions", 3, (11, 13))},
+drawn AS (SELECT id AS position, n, m, m > 0 AND {_U.format("c0")} < 0.25 AS is_tape, {_U.format("c1")} AS u FROM r10, sizes)
+SELECT position, d.is_tape, seq_id FROM drawn d JOIN ranked r ON r.is_tape = d.is_tape AND r.rank = CASE WHEN d.is_tape THEN CAST(floor(u * m) AS BIGINT) ELSE position % n END""",
+    "vocabulary": f"WITH {_CLIENT_CODES}, {_TOKEN_CODES} {_VOCABULARY}",
     "vocabulary_layout": "SELECT instrument_id, count(*) AS n FROM token_map GROUP BY 1 HAVING count(*) <> 3 OR min(token_id - sense) <> max(token_id - sense) OR min(token_id) <> min(token_id - sense)",
     "tokens_alive": "SELECT CAST(sense AS BIGINT) AS sense, count(*) AS n FROM token_map WHERE born_ts <= TIMESTAMPTZ '2010-02-01 00:00:00+00' AND (retired_ts IS NULL OR retired_ts > TIMESTAMPTZ '2010-02-01 00:00:00+00') GROUP BY 1",
     "vocabulary_encode": """
@@ -464,7 +512,7 @@ SELECT max(n) AS n_active, round(sum((2 * i - n - 1) * x) / (max(n) * sum(x)), 9
 QUERIES = {f"observable_{name}": _observable(name) for name in POLICIES} | {
     f.__name__: f
     for f in (
-        leakage_audit, leakage_audit_clean, invariant_report, observable_tokens, token_parity, vocabulary, vocabulary_layout, tokens_alive, vocabulary_encode, gap_buckets, size_dealer_buckets, token_blocks,
+        leakage_audit, leakage_audit_clean, invariant_report, observable_tokens, strict_tokens, token_rows, token_parity, vocabulary, vocabulary_saved, decoded_blocks, anchor_coverage, vocabulary_layout, tokens_alive, vocabulary_encode, gap_buckets, size_dealer_buckets, token_blocks,
         package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, session_corpus, tape_corpus, tape_stretches, training_mixture, fixed_contexts, all_contexts, anchor_predictions, hour_grid, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
         drift_budget, activity_level, validation_battery, token_counts, token_gini,
     )

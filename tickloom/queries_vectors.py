@@ -16,7 +16,7 @@ from tickloom.operators import summary as S
 from tickloom.operators.packages import latest_lines
 from tickloom.plans.storage import shared_dir
 from tickloom.sources import layout as L
-from tickloom.sources.tables import table
+from tickloom.sources.tables import row_counts, table
 from tickloom.streaming import tape as T
 
 KEY = (1234567, 7654321)
@@ -209,6 +209,34 @@ def layout_mismatches(spark: SparkSession, root: str) -> DataFrame:
     return L.mismatches(L.inventory(spark, path), L.inventory(spark, path))
 
 
+def layout_record(spark: SparkSession, root: str) -> DataFrame:
+    """Rows, files and bytes per month by the manifest that was written beside the tape and read again, as far as they must be."""
+    path = _written(spark, root)
+    L.write_manifest(spark, path, f"{path}-manifest", "1")
+    months = L.read_manifest(spark, f"{path}-manifest", "1").groupBy(F.regexp_extract("file", r"trade_month=(\d{4}-\d{2})", 1).alias("trade_month"))
+    return months.agg(F.sum("n_rows").alias("n_rows"), (F.min("n_bytes") > 0).alias("no_file_empty"), (F.count_distinct("sha256") == F.count(F.lit(1))).alias("no_file_twice"), F.max("schema_version").alias("schema_version"))
+
+
+def layout_tampered(spark: SparkSession, root: str) -> DataFrame:
+    """What the check of a record finds per month where the first month's hashes, the second's sizes and a file are wrong."""
+    path = _written(spark, root)
+    found = L.inventory(spark, path).withColumn("trade_month", F.regexp_extract("file", r"trade_month=(\d{4}-\d{2})", 1))
+    ends = found.agg(F.min("trade_month").alias("low"), F.max("trade_month").alias("high")).head()
+    recorded = found.select(
+        "file", (F.col("n_bytes") + F.when((F.col("trade_month") == ends["high"]) & F.lit(ends["low"] != ends["high"]), 1).otherwise(0)).alias("n_bytes"), F.when(F.col("trade_month") == ends["low"], F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256")
+    )
+    lost = recorded.groupBy().agg(F.lit("trade_month=0000-00/lost.parquet").alias("file"), F.max("n_bytes").alias("n_bytes"), F.max("sha256").alias("sha256"))
+    return L.mismatches(recorded.unionByName(lost), found).select(F.regexp_extract("file", r"trade_month=(\d{4}-\d{2})", 1).alias("trade_month"), "problem").distinct()
+
+
+RUN = ["rfq_lines", "line_blocks", "sentences", "packed_corpus", "client_mandates", "clients", "token_map", "oracle_token_vectors"]
+
+
+def run_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Rows and columns of every table of a run."""
+    return row_counts(spark, root, RUN)
+
+
 def stream_gaps(spark: SparkSession, root: str) -> DataFrame:
     """Gaps between a user's events, from a stream with state."""
     out = T.gaps(T.drained(T.day_gaps(T.stream_table(spark, root, "events"), "user_id", "ts", "event_id"), "append"))
@@ -226,8 +254,8 @@ def stream_windows(spark: SparkSession, root: str) -> DataFrame:
     return T.drained(T.windowed(T.stream_table(spark, root, "events"), "ts", "1 hour", "2 hours", "event_type"), "complete")
 
 
-def _philox_sql(id_: str, source: str, stream: int) -> str:
-    k0, k1 = KEY
+def _philox_sql(id_: str, source: str, stream: int, key: tuple[int, int] = KEY) -> str:
+    k0, k1 = key
     out = f"r0 AS (SELECT {id_} AS id, CAST({id_} & 4294967295 AS HUGEINT) AS c0, CAST({id_} >> 32 AS HUGEINT) AS c1, CAST({stream} AS HUGEINT) AS c2, CAST(0 AS HUGEINT) AS c3 FROM {source})"
     for i in range(10):
         a, b = (k0 + i * 0x9E3779B9) % 2**32, (k1 + i * 0xBB67AE85) % 2**32
@@ -311,6 +339,12 @@ s AS (SELECT token_id, avg(list_dot_product(v, v) / 128) AS s FROM good GROUP BY
     "event_ids": "SELECT event_id, (user_id % 8) * 281474976710656 + event_id AS packed_id, user_id % 8 AS shard, event_id AS counter FROM events",
     "monthly_layout": "SELECT strftime(trade_date, '%Y-%m') AS trade_month, count(*) AS n_rows FROM rfq_lines GROUP BY 1",
     "layout_mismatches": "SELECT '' AS file, '' AS problem WHERE false",
+    "layout_record": "SELECT strftime(trade_date, '%Y-%m') AS trade_month, count(*) AS n_rows, true AS no_file_empty, true AS no_file_twice, '1' AS schema_version FROM rfq_lines GROUP BY 1",
+    "layout_tampered": """
+WITH m AS (SELECT DISTINCT strftime(trade_date, '%Y-%m') AS trade_month FROM rfq_lines)
+SELECT trade_month, 'sha256' AS problem FROM m WHERE trade_month = (SELECT min(trade_month) FROM m)
+UNION ALL SELECT trade_month, 'size' FROM m WHERE trade_month = (SELECT max(trade_month) FROM m) AND trade_month <> (SELECT min(trade_month) FROM m) UNION ALL SELECT '0000-00', 'missing'""",
+    "run_manifest": " UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, count(*) AS n_rows FROM {t}" for t in RUN),
     "stream_gaps": "SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events",
     "stream_blocks": "SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 64 AS block FROM events",
     "stream_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2",
@@ -319,6 +353,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         philox_words, philox_numbers, categorical_draws, bucket_draws, resampled_hours, log_partition, softmax_draws, best_offers, vector_norms, token_means, side_axis, gram_recovery, axis_recovery, instrument_features, standard_features,
-        token_weights, entropy_floor, entropy_floor_by_size, excess_over_floor, norm_frequency, event_ids, monthly_layout, layout_mismatches, stream_gaps, stream_blocks, stream_windows,
+        token_weights, entropy_floor, entropy_floor_by_size, excess_over_floor, norm_frequency, event_ids, monthly_layout, layout_mismatches, layout_record, layout_tampered, run_manifest, stream_gaps, stream_blocks, stream_windows,
     )
 }

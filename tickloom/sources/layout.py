@@ -43,3 +43,20 @@ def mismatches(recorded: DataFrame, found: DataFrame) -> DataFrame:
     now = found.select("file", F.col("n_bytes").alias("b"), F.col("sha256").alias("s"))
     problem = F.when(F.col("b").isNull(), "missing").when(F.col("b") != F.col("n_bytes"), "size").when(F.col("s") != F.col("sha256"), "sha256")
     return recorded.join(now, "file", "left").select("file", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``file, n_bytes, sha256, n_rows`` of the files below ``path``; rows are counted without reading a column."""
+    return inventory(spark, path).join(file_rows(spark, path), "file", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
+def write_manifest(spark: SparkSession, path: str, at: str, version: str) -> None:
+    """Record the files below ``path`` as a table at ``at``, with the version of their schema."""
+    manifest(spark, path).withColumn("schema_version", F.lit(version)).write.mode("overwrite").parquet(at)
+
+
+def read_manifest(spark: SparkSession, at: str, version: str) -> DataFrame:
+    """The record at ``at``; one of another schema version fails the query."""
+    own = F.col("schema_version")
+    kept = F.when(own == version, own).otherwise(F.raise_error(F.concat(F.lit(f"schema version is not {version}: "), F.coalesce(own, F.lit("null")))))
+    return spark.read.parquet(at).withColumn("schema_version", kept)
