@@ -16,3 +16,11 @@ def test_tables_go_to_the_named_folder_and_keep_their_types(spark):
     back = storage.materialise(df, "test")
     assert back.dtypes == df.dtypes and back.count() == 5
     assert spark.conf.get("spark.checkpoint.dir").removeprefix("file://") in back.inputFiles()[0]
+
+
+def test_intermediate_tables_can_be_dropped(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_made", [])
+    path = storage.materialise(spark.range(5), "test").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    storage.drop_intermediate(spark)
+    assert not os.path.exists(path) and not storage._made

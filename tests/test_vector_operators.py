@@ -248,6 +248,20 @@ def test_clock_after_the_last_session(spark):
     assert {r["session_us"] for r in G.session_clock(events, calendar.where("false")).collect()} == {0}
 
 
+def test_parts_of_a_geometry(spark):
+    rng = np.random.default_rng(9)
+    attribute = np.zeros((300, 6))
+    attribute[:, :2] = 3 * rng.standard_normal((300, 2))
+    full = attribute + rng.standard_normal((300, 6))
+    df = spark.createDataFrame([(a.tolist(), (f - a).tolist(), (2 * f).tolist()) for a, f in zip(attribute, full)], "a array<double>, r array<double>, f array<double>")
+    centred = full - full.mean(axis=0)
+    assert abs(M.subspace_share(df, "a", "f", 2) - (centred[:, :2] ** 2).sum() / (centred**2).sum()) < 1e-9
+    assert abs(M.subspace_share(df, "a", "f", 6) - 1) < 1e-9 and math.isnan(M.subspace_share(df.where("false"), "a", "f", 2))
+    assert M.checked_parts(df, "a", "r", "f").count() == 300
+    with pytest.raises(Exception, match="do not add up"):
+        M.checked_parts(df.withColumn("r", F.transform("r", lambda x: x + 0.1)), "a", "r", "f").collect()
+
+
 def test_manifest_keeps_its_version(spark, tmp_path):
     df = spark.createDataFrame([(i, date(2031, 1 + i % 2, 3)) for i in range(50)], "i long, d date")
     L.write_monthly(df, f"{tmp_path}/t", "d", ["i"])

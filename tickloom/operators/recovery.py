@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.vectors import unit
+
 
 def _moments(columns: int):
     """Rows of ``columns`` float arrays to one row of sums: counts, column sums, diagonal products, cross products."""
@@ -118,6 +120,27 @@ def top_axes_alignment(df: DataFrame, a: str, b: str, k: int) -> float:
     return float(((ua.T @ ub) ** 2).sum() / k)
 
 
+def subspace_share(df: DataFrame, part: str, full: str, k: int) -> float:
+    """Of the variance of ``full``, the share within the k directions in which ``part`` varies most; nan without rows or variance."""
+    one = df.select(F.concat(F.array(F.lit(1.0)), F.col(part).cast("array<double>")).alias("p"), F.concat(F.array(F.lit(1.0)), F.col(full).cast("array<double>")).alias("f"))
+    covariances = []
+    for m in (second_moments(one, ["p"]), second_moments(one, ["f"])):
+        if not len(m):
+            return float("nan")
+        covariances.append(m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]))
+    basis = np.linalg.eigh(covariances[0])[1][:, ::-1][:, :k]
+    whole = np.trace(covariances[1])
+    return float(np.trace(basis.T @ covariances[1] @ basis) / whole) if whole > 1e-12 else float("nan")
+
+
+def checked_parts(df: DataFrame, attribute: str, residual: str, full: str, within: float = 1e-4) -> DataFrame:
+    """``df``, in which every row's two parts must add up to the direction of ``full``; one that does not fails the query."""
+    apart = lambda x, y: F.abs(x - y)
+    away = F.array_max(F.zip_with(unit(F.zip_with(attribute, residual, lambda x, y: x + y)), unit(F.col(full)), apart))
+    kept = F.when(F.col(full).isNull() | (away <= within), F.col(full)).otherwise(F.raise_error(F.lit("the parts do not add up to the whole")).cast(df.schema[full].dataType))
+    return df.withColumn(full, kept)
+
+
 def canonical_correlations(df: DataFrame, a: str, b: str) -> list[float]:
     """Canonical correlations (uncentred) of two array columns, greatest first."""
     m = second_moments(df, [a, b])

@@ -25,6 +25,15 @@ def _local_dir(master: str) -> str:
     return "file://" + made
 
 
+_made: list[str] = []
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Remove every intermediate table written so far; results that still read one are lost, so take them first."""
+    while _made:
+        _drop(spark, _made.pop())
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -43,5 +52,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"tickloom-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    if not _made:
+        atexit.register(drop_intermediate, spark)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from tickloom.operators import choice as C
 from tickloom.operators import recovery as M
 from tickloom.operators import summary as S
 from tickloom.operators.packages import latest_lines
-from tickloom.plans.storage import shared_dir
+from tickloom.plans.storage import materialise, shared_dir
 from tickloom.sources import layout as L
 from tickloom.sources.tables import row_counts, table
 from tickloom.streaming import tape as T
@@ -117,6 +117,30 @@ def gram_recovery(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(float(x), 6) for x in values)], ", ".join(f"{n} double" for n in names))
 
 
+def _parts(spark: SparkSession, root: str) -> DataFrame:
+    """Each token's direction, the mean of its instrument's tokens (its attributes, whatever the side), and what that leaves."""
+    means = M.mean_vectors(table(spark, root, "oracle_token_vectors"), "token_id", "v").select("token_id", V.unit(F.col("v")).alias("full"))
+    known = materialise(means.join(table(spark, root, "token_map").select("token_id", "instrument_id"), "token_id"), "directions")
+    attributes = M.mean_vectors(known, "instrument_id", "full").select("instrument_id", F.col("full").alias("attribute"))
+    parts = known.join(attributes, "instrument_id").withColumn("residual", F.zip_with("full", "attribute", lambda x, y: x - y))
+    return M.checked_parts(parts, "attribute", "residual", "full")
+
+
+def geometry_parts(spark: SparkSession, root: str) -> DataFrame:
+    """How the Gram matrix of token directions is recovered by its attribute and residual parts, alone and with the other held fixed."""
+    c = M.gram_correlations(_parts(spark, root), ["full", "attribute", "residual"])
+    fa, fr, ar = c["full", "attribute"], c["full", "residual"], c["attribute", "residual"]
+    values = [fa, fr, M.partial_correlation(fa, fr, ar), M.partial_correlation(fr, fa, ar)]
+    return spark.createDataFrame([tuple(round(float(x), 6) for x in values)], "attribute double, residual double, attribute_given_residual double, residual_given_attribute double")
+
+
+def attribute_share(spark: SparkSession, root: str) -> DataFrame:
+    """Share of the variance of token directions that lies in their attribute part."""
+    rows = _parts(spark, root).select(F.posexplode("full").alias("at", "x"), "attribute").select("at", "x", F.get("attribute", F.col("at")).alias("a"))
+    by = rows.groupBy("at").agg(F.var_pop("x").alias("x"), F.var_pop("a").alias("a"), F.count(F.lit(1)).alias("n"))
+    return by.agg(F.max("n").alias("n_tokens"), F.round(F.sum("a") / F.sum("x"), 6).alias("share"))
+
+
 def axis_recovery(spark: SparkSession, root: str) -> DataFrame:
     """Alignment of the leading axes of embeddings' halves, and their canonical correlations."""
     e = F.col("embedding")
@@ -269,6 +293,9 @@ _PARTS = """
 good AS (SELECT token_id, v FROM oracle_token_vectors WHERE token_id IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0),
 parts AS (SELECT token_id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM good),
 means AS (SELECT token_id, pos, avg(CAST(x AS DOUBLE)) AS x FROM parts GROUP BY 1, 2)"""
+_TOKEN_PARTS = """
+directions AS (SELECT token_id, instrument_id, pos, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY token_id)), 1e-12) AS x FROM means JOIN token_map USING (token_id)),
+both_parts AS (SELECT token_id, pos, x, avg(x) OVER (PARTITION BY instrument_id, pos) AS a FROM directions)"""
 _BRAND = "CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT)"
 _INSTRUMENTS = f"""inst AS (SELECT p_partkey AS instrument_id, DATE '2026-01-05' - (DATE '2020-01-01' - p_size * 30) AS age_days, (DATE '2026-01-01' + p_size * 100) - DATE '2026-01-05' AS left_days, p_retailprice / 100 AS coupon,
     p_size * 1e7 AS amount, p_size % 22 + 1 AS rating, p_size % 4 AS seniority, {_BRAND} % 12 AS sector, p_size % 5 = 0 AS otr, p_size % 3 = 0 AS idx, p_size % 2 = 0 AS r144a, {_BRAND} % 4 = 0 AS fin FROM part),
@@ -322,6 +349,11 @@ axis AS (SELECT pos, avg((b - s) / size) AS m FROM sides JOIN per USING (instrum
 SELECT (SELECT count(*) FROM per) AS n, (SELECT round(avg(sep), 6) FROM per) AS separation, round(sqrt(sum(m * m)), 6) AS coherence FROM axis""",
     "gram_recovery": f"""
 WITH {_DOTS} SELECT round(fl, 6) AS full_left, round(fr, 6) AS full_right, round(lr, 6) AS left_right, round((fl - fr * lr) / sqrt((1 - fr * fr) * (1 - lr * lr)), 6) AS left_given_right, round((fr - fl * lr) / sqrt((1 - fl * fl) * (1 - lr * lr)), 6) AS right_given_left FROM c""",
+    "geometry_parts": f"""
+WITH {_PARTS}, {_TOKEN_PARTS}, v AS (SELECT token_id, list(x ORDER BY pos) AS f, list(a ORDER BY pos) AS a, list(x - a ORDER BY pos) AS r FROM both_parts GROUP BY 1),
+g AS (SELECT list_dot_product(x.f, y.f) AS f, list_dot_product(x.a, y.a) AS a, list_dot_product(x.r, y.r) AS r FROM v x JOIN v y ON x.token_id < y.token_id), c AS (SELECT corr(f, a) AS fa, corr(f, r) AS fr, corr(a, r) AS ar FROM g)
+SELECT round(fa, 6) AS attribute, round(fr, 6) AS residual, round((fa - fr * ar) / sqrt((1 - fr * fr) * (1 - ar * ar)), 6) AS attribute_given_residual, round((fr - fa * ar) / sqrt((1 - fa * fa) * (1 - ar * ar)), 6) AS residual_given_attribute FROM c""",
+    "attribute_share": f"WITH {_PARTS}, {_TOKEN_PARTS}, by_pos AS (SELECT pos, var_pop(x) AS x, var_pop(a) AS a, count(*) AS n FROM both_parts GROUP BY 1) SELECT max(n) AS n_tokens, round(sum(a) / sum(x), 6) AS share FROM by_pos",
     "instrument_features": f"WITH {_features_sql(SECTORS)} SELECT instrument_id, feature, round(value, 6) AS value FROM feats",
     "standard_features": f"""
 WITH {_features_sql([])}, m AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM feats GROUP BY 1)
@@ -352,7 +384,7 @@ UNION ALL SELECT trade_month, 'size' FROM m WHERE trade_month = (SELECT max(trad
 QUERIES = {
     f.__name__: f
     for f in (
-        philox_words, philox_numbers, categorical_draws, bucket_draws, resampled_hours, log_partition, softmax_draws, best_offers, vector_norms, token_means, side_axis, gram_recovery, axis_recovery, instrument_features, standard_features,
+        philox_words, philox_numbers, categorical_draws, bucket_draws, resampled_hours, log_partition, softmax_draws, best_offers, vector_norms, token_means, side_axis, gram_recovery, geometry_parts, attribute_share, axis_recovery, instrument_features, standard_features,
         token_weights, entropy_floor, entropy_floor_by_size, excess_over_floor, norm_frequency, event_ids, monthly_layout, layout_mismatches, layout_record, layout_tampered, run_manifest, stream_gaps, stream_blocks, stream_windows,
     )
 }
