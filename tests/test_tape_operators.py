@@ -16,7 +16,7 @@ from tickloom.operators.sequences import anchor_positions, fixed_context, greedy
 from tickloom.operators.tape_windows import tape_windows
 from tickloom.plans.chains import begins
 from tickloom.plans.neighbours_in_time import previous_time
-from tickloom.plans.ranking import rank_in_group
+from tickloom.plans.ranking import rank_in_group, running_total
 
 START = datetime(2031, 6, 2, 8, 30, tzinfo=timezone.utc)
 # Every way an enquiry can look, show and end: (disclosed, true, outcome, result), a two-way being of either true side.
@@ -212,6 +212,33 @@ def test_tokens_that_must_be_known(spark):
     assert {r["token_id"]: (r["instrument_row"], r["sense"]) for r in D.token_rows(known).collect()} == {50: (0, 0), 51: (0, 1), 52: (0, 2), 60: (1, 0)}
 
 
+def test_registration_and_retirement(spark):
+    at = lambda d: START + timedelta(days=d)
+    kinds = "token_id long, instrument_id long, sense tinyint, born_ts timestamp, retired_ts timestamp"
+    known = spark.createDataFrame([(i, 5, i, at(0), None) for i in range(3)], kinds)
+    more = spark.createDataFrame([(9, at(3)), (8, at(3)), (2, at(9)), (None, at(1)), (4, None)], "instrument_id long, born_ts timestamp")
+    grown = D.register(known, more)
+    got = {r["token_id"]: (r["instrument_id"], r["sense"]) for r in grown.collect()}
+    assert got == {i * 3 + s: (k, s) for i, k in enumerate((5, 8, 9, 2)) for s in range(3)} and grown.dtypes == known.dtypes
+    for twice in ([(5, at(1))], [(7, at(1)), (7, at(2))]):
+        with pytest.raises(Exception, match="already registered"):
+            D.register(known, spark.createDataFrame(twice, "instrument_id long, born_ts timestamp")).collect()
+    gone = D.retire(grown, spark.createDataFrame([(8, at(5)), (8, at(4)), (77, at(1))], "instrument_id long, retired_ts timestamp"))
+    alive = lambda d: {r["token_id"] for r in D.valid_at(gone, "born_ts", "retired_ts", F.lit(at(d))).collect()}
+    assert alive(1) == {0, 1, 2} and alive(3) == set(range(9)) and alive(4) == {0, 1, 2, 6, 7, 8} and alive(10) == {0, 1, 2, *range(6, 12)}
+
+
+def test_running_totals(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(90), i, rng.randrange(9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b long, n long").repartition(4)
+    got = {r["b"]: r["before"] for r in running_total(df, ["a", "b"], F.floor(F.col("a") / 7), "n", "before").collect()}
+    total = 0
+    for _, b, n in sorted(rows):
+        assert got[b] == total
+        total += n
+
+
 def test_decoding_undoes_encoding(spark):
     clients, tokens = spark.createDataFrame([(8,), (3,)], "client_id long"), spark.createDataFrame([(70,), (10,), (40,)], "token_id long")
     known = D.vocabulary(spark, clients, tokens)

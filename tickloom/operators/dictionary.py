@@ -94,6 +94,33 @@ def token_rows(token_map: DataFrame) -> DataFrame:
     return token_map.join(rows, F.col("instrument_id") == F.col("_i")).select("token_id", "instrument_row", F.col("sense").cast("long").alias("sense"))
 
 
+def register(token_map: DataFrame, newcomers: DataFrame) -> DataFrame:
+    """``token_map`` with three more tokens for each of ``newcomers`` (``instrument_id, born_ts``), a sense each.
+
+    New ids go on from the greatest known, in the order of (birth, instrument).
+    An instrument that is known or comes twice fails the query, one without id
+    or birth takes no part.
+    """
+    rows = newcomers.select(F.col("instrument_id").cast("long").alias("instrument_id"), "born_ts").where("instrument_id IS NOT NULL AND born_ts IS NOT NULL")
+    once = rows.groupBy("instrument_id").agg(F.min("born_ts").alias("born_ts"), F.count(F.lit(1)).alias("_n"))
+    known = token_map.select(F.col("instrument_id").alias("_i")).distinct()
+    checked = once.join(known, F.col("instrument_id") == F.col("_i"), "left")
+    fresh = F.when((F.col("_n") == 1) & F.col("_i").isNull(), F.col("instrument_id")).otherwise(F.raise_error(F.concat(F.lit("already registered: instrument "), F.col("instrument_id").cast("string"))).cast("long"))
+    ranked = rank_in_group(checked.select(fresh.alias("instrument_id"), "born_ts"), [], ["born_ts", "instrument_id"], F.floor(F.unix_micros(F.col("born_ts").cast("timestamp")) / 86_400_000_000), salts=1)
+    after = F.coalesce(token_map.agg(F.max("token_id")).scalar() + 1, F.lit(0))
+    senses = ranked.select("*", F.explode(F.array(*map(F.lit, SENSES))).alias("sense"))
+    types = dict(token_map.dtypes)
+    added = senses.select((after + F.col("rank") * len(SENSES) + F.col("sense")).alias("token_id"), "instrument_id", "sense", "born_ts", F.lit(None).alias("retired_ts"))
+    return token_map.unionByName(added.select(*(F.col(c).cast(types[c]).alias(c) for c in token_map.columns)))
+
+
+def retire(token_map: DataFrame, retired: DataFrame) -> DataFrame:
+    """``token_map`` in which the instruments of ``retired`` (``instrument_id, retired_ts``) end then, at the earliest time if there are several."""
+    ends = retired.groupBy(F.col("instrument_id").alias("_i")).agg(F.min("retired_ts").alias("_end"))
+    joined = token_map.join(ends, F.col("instrument_id") == F.col("_i"), "left")
+    return joined.select(*(F.coalesce("_end", "retired_ts").alias(c) if c == "retired_ts" else c for c in token_map.columns))
+
+
 def valid_at(entries: DataFrame, born: str, retired: str, at: Column) -> DataFrame:
     """Entries in force at a time: born at or before it and not yet retired; a null birth is never in force."""
     return entries.where((F.col(born) <= at) & (F.col(retired).isNull() | (F.col(retired) > at)))

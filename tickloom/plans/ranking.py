@@ -30,3 +30,17 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], stratum: Co
     for s in same[1:]:
         met = met & s
     return numbered.join(begins, met, "left").select(*df.columns, (F.col("_begin") + F.col("_row") - 1).alias("rank"))
+
+
+def running_total(df: DataFrame, order: list[str], stratum: Column, value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over all rows before, in the order of ``order``.
+
+    ``stratum`` rises with the order and cuts the whole into stretches; each is
+    summed by itself and begins where those before it end. The table of
+    stretches is the only one that is ordered in one task.
+    """
+    placed = df.withColumn("_stratum", stratum)
+    before = W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    begins = placed.groupBy(F.col("_stratum").alias("_s")).agg(F.sum(value).alias("_whole")).select("_s", F.coalesce(F.sum("_whole").over(before), F.lit(0)).alias("_begin"))
+    own = F.coalesce(F.sum(value).over(W.partitionBy("_stratum").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_own", own).join(begins, F.col("_stratum").eqNullSafe(F.col("_s"))).select(*df.columns, (F.col("_begin") + F.col("_own")).alias(out))

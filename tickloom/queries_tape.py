@@ -12,8 +12,10 @@ from tickloom.operators import summary as S
 from tickloom.operators.packages import latest_lines, packages_by_first_lines, sentences, window_pair_counts
 from tickloom.operators.sequences import anchor_positions, fixed_context, greedy_sequences, mixture_plan, packed
 from tickloom.operators.tape_windows import tape_windows
+from tickloom.plans.ranking import running_total
 from tickloom.plans.storage import materialise
-from tickloom.queries_vectors import _U, _philox_sql
+from tickloom.queries_vectors import SQL as VECTOR_SQL
+from tickloom.queries_vectors import _U, _philox_sql, norm_frequency
 from tickloom.sources.tables import table
 
 CONTEXT = 256
@@ -114,6 +116,14 @@ def anchor_coverage(spark: SparkSession, root: str) -> DataFrame:
     return met.select("axis", "n_anchored", "n_on_tape", (known.agg(F.count(F.lit(1))).scalar() - F.col("n_on_tape")).alias("n_missing"))
 
 
+def token_lifecycle(spark: SparkSession, root: str) -> DataFrame:
+    """A token map built anew: every instrument registered in the order of its birth, and retired as the given map has it."""
+    known = table(spark, root, "token_map")
+    by = known.groupBy("instrument_id").agg(F.min("born_ts").alias("born_ts"), F.max("retired_ts").alias("retired_ts"))
+    built = D.retire(D.register(known.where("false"), by.select("instrument_id", "born_ts")), by.select("instrument_id", "retired_ts").where("retired_ts IS NOT NULL"))
+    return built.select("token_id", "instrument_id", F.col("sense").cast("long").alias("sense"), micros(F.col("born_ts")).alias("born_us"), micros(F.col("retired_ts")).alias("retired_us"))
+
+
 def tokens_alive(spark: SparkSession, root: str) -> DataFrame:
     """Per sense, tokens in force at the middle of the tape."""
     alive = D.valid_at(table(spark, root, "token_map"), "born_ts", "retired_ts", F.lit("2010-02-01 00:00:00+00:00").cast("timestamp"))
@@ -217,6 +227,16 @@ def tape_corpus(spark: SparkSession, root: str) -> DataFrame:
     return _corpus(items, lines, spark, root).drop("grp")
 
 
+def sequence_offsets(spark: SparkSession, root: str) -> DataFrame:
+    """Where each client's runs stand in the stream of all of them, one after another with their two marks."""
+    length = F.when(F.col("line_no") == 0, 7).otherwise(3)
+    lines = materialise(_lines(spark, root), "lines")
+    items = _session_items(lines).join(lines.select(F.col("event_id").alias("item"), length.alias("length")), "item")
+    runs = items.groupBy(F.col("grp").alias("client_id"), "seq_no").agg((F.sum("length") + 2).alias("n_tokens"))
+    out = running_total(runs, ["client_id", "seq_no"], F.floor(F.col("client_id") / 64), "n_tokens", "seq_start")
+    return out.select("client_id", "seq_no", "seq_start", (F.col("seq_start") + F.col("n_tokens")).alias("seq_end"))
+
+
 def training_mixture(spark: SparkSession, root: str) -> DataFrame:
     """Written sequences in a training order, a quarter of it tape."""
     return mixture_plan(table(spark, root, "packed_corpus").where("tokens IS NOT NULL"), "seq_id", F.col("axis") == "tape", 0.25, (11, 13))
@@ -322,6 +342,14 @@ def validation_battery(spark: SparkSession, root: str) -> DataFrame:
     return S.shares(_lines(spark, root), checks).select("check", F.round("value", 9).alias("value"), "low", "high", "status")
 
 
+def validation_shape(spark: SparkSession, root: str) -> DataFrame:
+    """Skew of the tokens, and how their frequency goes with their vectors' size, against their bands."""
+    gini = token_gini(spark, root).select(F.lit("token_gini").alias("check"), F.col("gini").alias("value"), F.lit(0.35).alias("low"), F.lit(0.95).alias("high"))
+    norms = norm_frequency(spark, root).select(F.lit("norm_frequency").alias("check"), F.col("correlation").alias("value"), F.lit(0.3).alias("low"), F.lit(None).cast("double").alias("high"))
+    value, inside = F.col("value"), (F.col("value") >= F.col("low")) & (F.col("high").isNull() | (F.col("value") <= F.col("high")))
+    return gini.unionByName(norms).select("check", value, "low", "high", F.when(inside, "PASS").otherwise("FAIL").alias("status"))
+
+
 def token_counts(spark: SparkSession, root: str) -> DataFrame:
     """Lines of every token of the dictionary, zero included."""
     return S.dense_counts(table(spark, root, "token_map"), "token_id", _lines(spark, root), "token_id")
@@ -425,6 +453,9 @@ drawn AS (SELECT id AS position, n, m, m > 0 AND {_U.format("c0")} < 0.25 AS is_
 SELECT position, d.is_tape, seq_id FROM drawn d JOIN ranked r ON r.is_tape = d.is_tape AND r.rank = CASE WHEN d.is_tape THEN CAST(floor(u * m) AS BIGINT) ELSE position % n END""",
     "vocabulary": f"WITH {_CLIENT_CODES}, {_TOKEN_CODES} {_VOCABULARY}",
     "vocabulary_layout": "SELECT instrument_id, count(*) AS n FROM token_map GROUP BY 1 HAVING count(*) <> 3 OR min(token_id - sense) <> max(token_id - sense) OR min(token_id) <> min(token_id - sense)",
+    "token_lifecycle": """
+WITH i AS (SELECT instrument_id, min(born_ts) AS b, max(retired_ts) AS r FROM token_map GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY b, instrument_id) - 1 AS k FROM i)
+SELECT k * 3 + s.range AS token_id, instrument_id, s.range AS sense, epoch_us(b) AS born_us, epoch_us(r) AS retired_us FROM n, range(3) s""",
     "tokens_alive": "SELECT CAST(sense AS BIGINT) AS sense, count(*) AS n FROM token_map WHERE born_ts <= TIMESTAMPTZ '2010-02-01 00:00:00+00' AND (retired_ts IS NULL OR retired_ts > TIMESTAMPTZ '2010-02-01 00:00:00+00') GROUP BY 1",
     "vocabulary_encode": """
 WITH cli AS (SELECT client_id, 30 + row_number() OVER (ORDER BY client_id) AS gid FROM (SELECT DISTINCT client_id FROM clients WHERE onboard_date < DATE '2009-01-01'))
@@ -450,6 +481,9 @@ FROM cut c JOIN blk b ON b.event_id = c.event_id GROUP BY 1, 2""",
     "session_corpus": f"""
 WITH RECURSIVE {_BLOCKS}, {_WINDOWS[_WINDOWS.index("sized AS"):]}
 SELECT c.client_id, c.seq_no, count(*) AS n_lines, {_JOINED.format(order="c.rn")} FROM cut c JOIN blk b ON b.event_id = c.event_id GROUP BY 1, 2""",
+    "sequence_offsets": f"""
+WITH RECURSIVE {_WINDOWS}, runs AS (SELECT c.client_id, c.seq_no, CAST(sum(s.len) AS BIGINT) + 2 AS n FROM cut c JOIN sized s ON s.event_id = c.event_id GROUP BY 1, 2)
+SELECT client_id, seq_no, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS seq_start, CAST(coalesce(sum(n) OVER w, 0) + n AS BIGINT) AS seq_end FROM runs WINDOW w AS (ORDER BY client_id, seq_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "tape_corpus": f"""
 WITH RECURSIVE {_BLOCKS},
 sized AS (SELECT event_id, CASE WHEN line_no = 0 THEN 7 ELSE 3 END AS len, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS rn FROM lines),
@@ -509,11 +543,14 @@ SELECT a.client_id, a.trade_date AS day, round(sum(b.x * pow(0.5, date_diff('day
 WITH {_LINES}, c AS (SELECT count(*) AS x FROM lines l JOIN (SELECT DISTINCT token_id FROM token_map) USING (token_id) GROUP BY token_id), r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM c)
 SELECT max(n) AS n_active, round(sum((2 * i - n - 1) * x) / (max(n) * sum(x)), 9) AS gini FROM r""",
 }
+SQL["validation_shape"] = f"""
+SELECT 'token_gini' AS "check", gini AS value, CAST(0.35 AS DOUBLE) AS low, CAST(0.95 AS DOUBLE) AS high, CASE WHEN gini BETWEEN 0.35 AND 0.95 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({SQL["token_gini"]})
+UNION ALL SELECT 'norm_frequency', correlation, 0.3, NULL, CASE WHEN correlation >= 0.3 THEN 'PASS' ELSE 'FAIL' END FROM ({VECTOR_SQL["norm_frequency"]})"""
 QUERIES = {f"observable_{name}": _observable(name) for name in POLICIES} | {
     f.__name__: f
     for f in (
         leakage_audit, leakage_audit_clean, invariant_report, observable_tokens, strict_tokens, token_rows, token_parity, vocabulary, vocabulary_saved, decoded_blocks, anchor_coverage, vocabulary_layout, tokens_alive, vocabulary_encode, gap_buckets, size_dealer_buckets, token_blocks,
-        package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, session_corpus, tape_corpus, tape_stretches, training_mixture, fixed_contexts, all_contexts, anchor_predictions, hour_grid, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
+        package_sentences, multi_author_packages, line_packages, pair_counts, session_windows, packed_sessions, session_corpus, tape_corpus, sequence_offsets, token_lifecycle, validation_shape, tape_stretches, training_mixture, fixed_contexts, all_contexts, anchor_predictions, hour_grid, minute_grid, trading_clock, side_sojourns, hourly_drift, hourly_drift_summary,
         drift_budget, activity_level, validation_battery, token_counts, token_gini,
     )
 }
