@@ -280,3 +280,22 @@ def test_states_are_chained_over_levels(spark):
     for fan in (2, 3, 256):
         assert {(r["grp"], r["stretch"]): (r["state"], r["number"]) for r in begins(df, fan).collect()} == want
     assert begins(df.where("false")).count() == 0
+
+
+def test_greedy_sequences_over_many_batches(spark):
+    rng = random.Random(21)
+    rows = [(rng.choice([1, 1, 2, 3, 3, 4]), rng.randrange(10**12), i, rng.choice([3, 7, 45])) for i in range(300)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        got = {r["item"]: r["seq_no"] for r in greedy_sequences(lines(spark, rows), "g", "us", "item", F.col("n"), 30, stretch=40).collect()}
+    finally:
+        spark.conf.set(size, before)
+    for g in range(1, 5):
+        fill = number = 0
+        for _, _, item, n in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
+            if fill + n > 30 and fill:
+                fill, number = 0, number + 1
+            fill += n
+            assert got[item] == number
