@@ -50,7 +50,7 @@ def trie(words: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     asked = tokens.where("token IS NOT NULL").select(F.col("token").alias("prefix")).distinct()
     lengths = sorted(r["n"] for r in asked.select(F.length("prefix").alias("n")).distinct().collect())
-    nodes = words.select("word", F.explode(F.lit(lengths).cast("array<int>")).alias("n")).where(F.col("n") <= F.length("word")).select(F.expr("left(word, n)").alias("prefix"), (F.col("n") == F.length("word")).alias("ends"))
+    nodes = words.select("word", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("word"))).alias("n")).select(F.expr("left(word, n)").alias("prefix"), (F.col("n") == F.length("word")).alias("ends"))
     return nodes.join(asked, "prefix", "left_semi").groupBy("prefix").agg(F.max("ends").alias("is_word"), F.max(~F.col("ends")).alias("goes_on"))
 
 
