@@ -281,3 +281,16 @@ def test_gini_of_equal_and_odd_values(spark):
 def test_event_ids(spark):
     row = spark.range(1).select(L.event_id(F.lit(5), F.lit(77)).alias("i")).select("i", L.shard_of(F.col("i")), L.counter_of(F.col("i"))).first()
     assert tuple(row) == ((5 << 48) + 77, 5, 77)
+
+
+def test_stream_places_count_on_over_files_and_buckets(spark, tmp_path):
+    rows = [(i, i % 5 if i % 2 else 0, 1000 * i) for i in range(200)]
+    for part in (rows[:90], rows[90:]):
+        df = spark.createDataFrame(part, "event_id long, user_id long, us long").select("event_id", "user_id", F.timestamp_micros("us").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    for buckets in (1, 3):
+        stream = T.stream_table(spark, str(tmp_path), "events", files_per_batch=1)
+        places = T.drained(T.day_places(stream, "user_id", "ts", "event_id", buckets), "append").collect()
+        assert len(places) == 200
+        for user in range(5):
+            assert sorted(r["place"] for r in places if r["key"] == user) == list(range(sum(u == user for _, u, _ in rows)))

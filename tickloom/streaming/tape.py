@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -46,36 +46,46 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
-def _by_day(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
+def _by_day(events: DataFrame, key: str, ts: str, item: str, buckets: int | None) -> GroupedData:
+    """A day's events of a bucket of keys; by default there are as many buckets as the stream's state has partitions."""
+    n = buckets or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = events.select(F.col(key).alias("key"), F.col(item).alias("item"), F.unix_micros(ts).alias("us")).where("key IS NOT NULL AND us IS NOT NULL AND item IS NOT NULL")
-    return rows.withColumn("day", F.floor(F.col("us") / 86_400_000_000).cast("long"))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n))).withColumn("day", F.floor(F.col("us") / 86_400_000_000).cast("long")).groupBy("bucket", "day")
 
 
-def day_gaps(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
+def _arrived(frames: Iterable[pd.DataFrame]) -> np.ndarray:
+    return np.concatenate([np.zeros((0, 3), np.int64), *(f[["key", "us", "item"]].to_numpy(np.int64) for f in frames)])
+
+
+def day_gaps(events: DataFrame, key: str, ts: str, item: str, buckets: int | None = None) -> DataFrame:
     """``key, day, item, nth, us, version, gap_us``: microseconds since the key's previous event of the day, null for its first.
 
-    The day's events are kept as state (a micro-batch may be the whole table, so
-    a group is a day of a key and never all of it; ``gaps`` joins the days). A
-    late event comes out with its own gap and with the changed gap of the event
-    after it, under a higher version. ``nth`` tells repeated events apart.
+    The day's events are kept as state. A micro-batch may be the whole table, so
+    a group is a day of a bucket of keys and never all of a key (``gaps`` joins
+    the days); many keys share a call, and more ``buckets`` make groups smaller,
+    down to one key's day. A late event comes out with its own gap and with the
+    changed gap of the event after it, under a higher version. ``nth`` tells
+    repeated events apart.
     """
 
     def step(name: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, version = (np.frombuffer(state.get[0], np.int64).reshape(-1, 2), state.get[1] + 1) if state.exists else (np.zeros((0, 2), np.int64), 0)
-        rows = np.concatenate([held, *(f[["us", "item"]].to_numpy(np.int64) for f in frames)])
+        held, version = (np.frombuffer(state.get[0], np.int64).reshape(-1, 3), state.get[1] + 1) if state.exists else (np.zeros((0, 3), np.int64), 0)
+        rows = np.concatenate([held, _arrived(frames)])
         new = np.arange(len(rows)) >= len(held)
-        order = np.lexsort((new, rows[:, 1], rows[:, 0]))
+        order = np.lexsort((new, rows[:, 2], rows[:, 1], rows[:, 0]))
         rows, new = rows[order], new[order]
+        follows = np.r_[False, rows[1:, 0] == rows[:-1, 0]]
         again = np.r_[False, (rows[1:] == rows[:-1]).all(axis=1)]
         at = np.arange(len(rows))
-        gap = pd.array(np.r_[0, np.diff(rows[:, 0])], "Int64")
-        gap[:1] = pd.NA
+        gap = pd.array(np.r_[0, np.diff(rows[:, 1])], "Int64")
+        gap[~follows] = pd.NA
         state.update((rows.tobytes(), version))
-        out = pd.DataFrame({"key": name[0], "day": name[1], "item": rows[:, 1], "nth": at - np.maximum.accumulate(np.where(again, 0, at)), "us": rows[:, 0], "version": version, "gap_us": gap})
-        yield out[new | np.r_[False, new[:-1]]]
+        nth = at - np.maximum.accumulate(np.where(again, 0, at))
+        out = pd.DataFrame({"key": rows[:, 0], "day": name[1], "item": rows[:, 2], "nth": nth, "us": rows[:, 1], "version": version, "gap_us": gap})
+        yield out[new | (follows & np.r_[False, new[:-1]])]
 
     kind = "key long, day long, item long, nth long, us long, version long, gap_us long"
-    return _by_day(events, key, ts, item).groupBy("key", "day").applyInPandasWithState(step, kind, "held binary, version long", "append", "NoTimeout")
+    return _by_day(events, key, ts, item, buckets).applyInPandasWithState(step, kind, "held binary, version long", "append", "NoTimeout")
 
 
 def gaps(drained_days: DataFrame) -> DataFrame:
@@ -90,16 +100,26 @@ def gaps(drained_days: DataFrame) -> DataFrame:
     return final.join(before, ["key", "day"], "left").select("key", "item", F.coalesce("gap_us", F.col("us") - F.col("before")).alias("gap_us"))
 
 
-def day_places(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
-    """``key, day, item, place``: each event's number, from 0, within its key's day in the order they come; how many came is kept as state."""
+def day_places(events: DataFrame, key: str, ts: str, item: str, buckets: int | None = None) -> DataFrame:
+    """``key, day, item, place``: each event's number, from 0, within its key's day in the order they come.
 
-    def step(name: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["us", "item"])
-        state.update((seen + len(rows),))
-        yield pd.DataFrame({"key": name[0], "day": name[1], "item": rows["item"], "place": range(seen, seen + len(rows))})
+    How many came of each key is kept as state; groups are as in ``day_gaps``.
+    """
 
-    return _by_day(events, key, ts, item).groupBy("key", "day").applyInPandasWithState(step, "key long, day long, item long, place long", "seen long", "append", "NoTimeout")
+    def step(name: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, seen = np.frombuffer(state.get[0], np.int64).reshape(2, -1) if state.exists else np.zeros((2, 0), np.int64)
+        rows = _arrived(frames)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        own, first, n = np.unique(rows[:, 0], return_index=True, return_counts=True)
+        known, of = np.unique(np.r_[keys, own], return_inverse=True)
+        before, after = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        before[of[: len(keys)]] = seen
+        after[of[len(keys) :]] = n
+        state.update((np.stack([known, before + after]).tobytes(),))
+        place = np.arange(len(rows)) + np.repeat(before[of[len(keys) :]] - first, n)
+        yield pd.DataFrame({"key": rows[:, 0], "day": name[1], "item": rows[:, 2], "place": place})
+
+    return _by_day(events, key, ts, item, buckets).applyInPandasWithState(step, "key long, day long, item long, place long", "seen binary", "append", "NoTimeout")
 
 
 def blocks(drained_days: DataFrame, size: int) -> DataFrame:
