@@ -54,7 +54,10 @@ def window_pair_counts(lines: DataFrame, token: str = "token_id", window: int =
     rows = lines.select("trade_date", "ts_us", "event_id", "client_id", F.col(token).alias("token")).where("trade_date IS NOT NULL AND ts_us IS NOT NULL AND token IS NOT NULL")
     placed = rank_in_group(rows, ["trade_date"], ["ts_us", "event_id"], F.floor(F.col("ts_us") / slot_us), salts=1)
     sorted_rows = F.array_sort(F.collect_list(F.struct("token", "client_id", "rank")))  # by token, so that every later one is not smaller
-    stretches = placed.groupBy("trade_date", F.floor(F.col("rank") / window).alias("stretch")).agg(sorted_rows.alias("rows"))
+    keyed = placed.withColumn("stretch", F.floor(F.col("rank") / window))
+    # By number: a stretch grows by window / 2 when its pairs come out, which joining partitions by their bytes does not see.
+    spread = keyed.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "trade_date", "stretch")
+    stretches = spread.groupBy("trade_date", "stretch").agg(sorted_rows.alias("rows"))
     arrays = stretches.select(F.expr("transform(rows, x -> x.token)").alias("t"), F.expr("transform(rows, x -> x.client_id)").alias("c"))
     later = arrays.select(F.posexplode("t").alias("i", "token_a"), "t", "c").select("token_a", F.get("c", F.col("i")).alias("ca"), *(F.slice(x, F.col("i") + 2, F.lit(window)).alias(n) for x, n in (("t", "token_b"), ("c", "cb"))))
     pairs = later.select("token_a", "ca", F.inline(F.arrays_zip("token_b", "cb")))
