@@ -36,6 +36,12 @@ def _lines(spark: SparkSession, root: str) -> DataFrame:
     return latest_lines(_tape(spark, root)).withColumn("ts_us", micros(F.col("ts")))
 
 
+def _written_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The columns that blocks and sequences take of the lines, written once for both."""
+    own = ["event_id", "client_id", "ts_us", "line_no", "token_id", "qty_par", "n_dealers", "enquiry_outcome", "our_result"]
+    return materialise(_lines(spark, root).select(*own), "lines")
+
+
 def _flat(view: DataFrame) -> DataFrame:
     long = {c: F.col(c).cast("long").alias(c) for c in ("event_id", "client_id", "enquiry_outcome", "our_result", "side_revealed")}
     prices = [F.col(c).cast("double").alias(c) for c in ("exec_sprd_bp", "exec_px", "cover_sprd_bp", "cover_px")]
@@ -196,7 +202,7 @@ def session_windows(spark: SparkSession, root: str) -> DataFrame:
 
 def packed_sessions(spark: SparkSession, root: str) -> DataFrame:
     """The runs' tokens between begin and end marks."""
-    lines = materialise(_lines(spark, root), "lines")
+    lines = _written_lines(spark, root)
     out = packed(_session_items(lines), B.blocks(lines, *_codes(spark, root)))
     return out.select(F.col("grp").alias("client_id"), "seq_no", "n_lines", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
@@ -215,13 +221,13 @@ def _corpus(items: DataFrame, lines: DataFrame, spark: SparkSession, root: str)
 
 def session_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Each client's lines in runs that fit a context: tokens, their families, and the lines' ids at their anchors."""
-    lines = materialise(_lines(spark, root), "lines")
+    lines = _written_lines(spark, root)
     return _corpus(_session_items(lines), lines, spark, root).withColumnRenamed("grp", "client_id")
 
 
 def tape_corpus(spark: SparkSession, root: str) -> DataFrame:
     """The same of windows along the whole tape of all clients, one chain over all months, each half a context on from the last."""
-    lines = materialise(_lines(spark, root), "lines")
+    lines = _written_lines(spark, root)
     length = F.when(F.col("line_no") == 0, 7).otherwise(3)
     items = tape_windows(lines, F.lit(0), "ts_us", "event_id", length, CONTEXT - 2, (CONTEXT - 2) // 2, members=True)
     return _corpus(items, lines, spark, root).drop("grp")
@@ -230,7 +236,7 @@ def tape_corpus(spark: SparkSession, root: str) -> DataFrame:
 def sequence_offsets(spark: SparkSession, root: str) -> DataFrame:
     """Where each client's runs stand in the stream of all of them, one after another with their two marks."""
     length = F.when(F.col("line_no") == 0, 7).otherwise(3)
-    lines = materialise(_lines(spark, root), "lines")
+    lines = _written_lines(spark, root)
     items = _session_items(lines).join(lines.select(F.col("event_id").alias("item"), length.alias("length")), "item")
     runs = items.groupBy(F.col("grp").alias("client_id"), "seq_no").agg((F.sum("length") + 2).alias("n_tokens"))
     out = running_total(runs, ["client_id", "seq_no"], F.floor(F.col("client_id") / 64), "n_tokens", "seq_start")
