@@ -272,18 +272,18 @@ def anchor_predictions(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("seq_id", F.size("p").cast("long").alias("n_anchors"), F.array_min("p").cast("long").alias("first_pos"), F.array_max("p").cast("long").alias("last_pos"))
 
 
-def _hours(spark: SparkSession, root: str, first: int, last: int) -> DataFrame:
-    return G.grid_counts(_lines(spark, root), "trade_date", F.floor(F.pmod(F.col("ts_us"), F.lit(86_400_000_000)) / 3_600_000_000), first, last)
+def _grid(spark: SparkSession, root: str, slot_us: int) -> DataFrame:
+    return G.grid_counts(_lines(spark, root), "trade_date", F.floor(F.pmod(F.col("ts_us"), F.lit(86_400_000_000)) / slot_us), 0, 86_400_000_000 // slot_us - 1)
 
 
 def hour_grid(spark: SparkSession, root: str) -> DataFrame:
     """Lines per hour of day, empty hours included: every line is in one hour."""
-    return _hours(spark, root, 0, 23)
+    return _grid(spark, root, 3_600_000_000)
 
 
 def minute_grid(spark: SparkSession, root: str) -> DataFrame:
-    """Lines per hour of day from 7 to 23, the hours that its SQL asks for, empty ones included; ``hour_grid`` has the whole day."""
-    return _hours(spark, root, 7, 23).where("slot BETWEEN 7 AND 23")
+    """Lines per minute of day, empty minutes included: every line is in one minute."""
+    return _grid(spark, root, 60_000_000)
 
 
 def trading_clock(spark: SparkSession, root: str) -> DataFrame:
@@ -425,6 +425,14 @@ _CHECKS = {
     "received": ("received", "true", 0.35, 0.90),
 }
 
+
+
+def _grid_sql(slot_us: int) -> str:
+    return f"""
+WITH {_LINES}, counts AS (SELECT trade_date AS day, CAST((ts_us % 86400000000) // {slot_us} AS BIGINT) AS slot, count(*) AS n FROM lines GROUP BY ALL)
+SELECT d.day, s.range AS slot, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT day FROM counts) d CROSS JOIN range(0, {86_400_000_000 // slot_us}) s LEFT JOIN counts c ON c.day = d.day AND c.slot = s.range"""
+
+
 SQL = {
     "observable_default": _view_sql(_SIDES, _TRADED_WON, _TRADED_WON, 0),
     "observable_strict": _view_sql(f"({_TRADED_WON})", _TRADED_WON, "false", 0),
@@ -516,12 +524,8 @@ SELECT seq_id, k AS context_no, CAST(len(t) AS BIGINT) AS n_kept, CAST(coalesce(
     "anchor_predictions": """
 WITH p AS (SELECT seq_id, list_filter(range(len(family) - 1), lambda i: family[i + 2] = 3) AS p FROM packed_corpus WHERE len(family) > 1)
 SELECT seq_id, len(p) AS n_anchors, list_min(p) AS first_pos, list_max(p) AS last_pos FROM p""",
-    "hour_grid": f"""
-WITH {_LINES}, counts AS (SELECT trade_date AS day, CAST((ts_us % 86400000000) // 3600000000 AS BIGINT) AS slot, count(*) AS n FROM lines GROUP BY ALL)
-SELECT d.day, s.range AS slot, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT day FROM counts) d CROSS JOIN range(0, 24) s LEFT JOIN counts c ON c.day = d.day AND c.slot = s.range""",
-    "minute_grid": f"""
-WITH {_LINES}, counts AS (SELECT trade_date AS day, CAST((ts_us % 86400000000) // 3600000000 AS BIGINT) AS slot, count(*) AS n FROM lines GROUP BY ALL)
-SELECT d.day, s.range AS slot, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT day FROM counts) d CROSS JOIN range(7, 24) s LEFT JOIN counts c ON c.day = d.day AND c.slot = s.range""",
+    "hour_grid": _grid_sql(3_600_000_000),
+    "minute_grid": _grid_sql(60_000_000),
     "trading_clock": f"""
 WITH {_LINES}, days AS (SELECT DISTINCT trade_date FROM lines WHERE isodow(trade_date) < 6),
 cal AS (SELECT epoch_us(trade_date) + 9 * 3600000000 AS o, epoch_us(trade_date) + 17 * 3600000000 AS c, CAST(coalesce(sum(8 * 3600000000) OVER (ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, epoch_us(trade_date) AS midnight FROM days)
